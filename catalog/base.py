@@ -58,7 +58,7 @@ def table(spark, sf_dir, name) -> DataFrame:
 # ---- SQL text for the check engine -------------------------------------------------------------
 
 def rd(expr: str, digits: int = 6) -> str:
-    return f"(round({expr}, {digits}) + 0.0)"
+    return f"(round(cast({expr} as double), {digits}) + 0.0)"
 
 
 def rdd(expr: str, digits: int) -> str:

@@ -66,57 +66,55 @@ def max_distinct_in_window(df: DataFrame, keys: Sequence[str], ts: str, item: st
         *keys, F.col(ts).cast("double").alias("_ts"), F.col(item).alias("_item")).distinct()
     sliced = events.withColumn("_home", F.floor(F.col("_ts") / width_s)).withColumn(
         "_slice", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
-    w = Window.partitionBy(*keys, "_slice").orderBy("_ts").rangeBetween(-width_s, 0)
+    w = Window.partitionBy(*keys, "_slice").orderBy("_ts").rangeBetween(-int(width_s), 0)
     seen = sliced.withColumn("_n", F.size(F.collect_set("_item").over(w))).where(F.col("_home") == F.col("_slice"))
     return seen.groupBy(*keys).agg(F.max("_n").cast("bigint").alias(out))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], names: Sequence[str],
-              hot_rows: int = 2_000_000) -> DataFrame:
-    """Exact linear-interpolated quantiles per key.
+def _cell(value: Column) -> Column:
+    """Monotone cell number of a value, about 0.001 % wide: few distinct values share a cell."""
+    return F.floor(F.signum(value) * F.log2(1 + F.abs(value) * 1e6) * 64_000).cast("bigint")
 
-    Equal values are counted first. Keys with few values use ``percentile``. For a key with more than
-    ``hot_rows`` different values a bounded sketch brackets each wanted position, only the values inside the
-    bracket are ordered, and the position is found by counting the values below it."""
-    tally = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float],
+              names: Sequence[str]) -> DataFrame:
+    """Exact linear-interpolated quantiles per key, without holding the values of a key in one task."""
+    return tally_quantiles(value_tally(df, keys, value), keys, fractions, names)
+
+
+def value_tally(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Equal values counted: keys, _v, _c."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_c"))
-    sizes = tally.groupBy(*keys).agg(F.count(F.lit(1)).alias("_values"), F.sum("_c").alias("_rows"))
-    hot = sizes.where(F.col("_values") > hot_rows)
-    exact = F.percentile("_v", [float(f) for f in fractions], F.col("_c"))
-    small = (tally.join(hot.select(*keys), list(keys), "left_anti").groupBy(*keys).agg(exact.alias("_q"))
-             .select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]))
-    return small.unionByName(_hot_quantiles(tally, hot, keys, fractions, names))
-
-
-def _hot_quantiles(tally: DataFrame, hot: DataFrame, keys, fractions, names, accuracy: int = 10_000) -> DataFrame:
-    rows = tally.join(hot, list(keys))
-    # The sketch runs over the distinct values; its grid brackets a wanted value by position among them.
-    grid = [i / 200.0 for i in range(201)]
-    sketch = rows.groupBy(*keys).agg(F.percentile_approx("_v", grid, accuracy).alias("_grid"))
-    cells = rows.join(sketch, list(keys)).withColumn(
-        "_cell", F.size(F.filter("_grid", lambda g: g < F.col("_v"))))
-    per_cell = cells.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_n"), F.first("_rows").alias("_rows"))
-    below = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    per_cell = per_cell.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0)))
-    wanted = F.array(*[
-        F.struct(F.lit(i).alias("i"), side(F.lit(float(f)) * (F.col("_rows") - 1)).cast("bigint").alias("pos"))
-        for i, f in enumerate(fractions) for side in (F.floor, F.ceil)])
-    targets = (per_cell.withColumn("_t", F.explode(F.array_distinct(wanted)))
-               .where((F.col("_t.pos") >= F.col("_below")) & (F.col("_t.pos") < F.col("_below") + F.col("_n"))))
-    inside = cells.select(*keys, "_cell", "_v", "_c").join(
-        targets.select(*keys, "_cell", "_below").distinct(), [*keys, "_cell"])
-    run = Window.partitionBy(*keys, "_cell").orderBy("_v")
-    spans = inside.withColumn("_to", F.col("_below") + F.sum("_c").over(run)).withColumn(
-        "_from", F.col("_to") - F.col("_c"))
-    picked = (targets.select(*keys, "_cell", "_t", "_rows")
-              .join(spans.select(*keys, "_cell", "_v", "_from", "_to"), [*keys, "_cell"])
-              .where((F.col("_t.pos") >= F.col("_from")) & (F.col("_t.pos") < F.col("_to"))))
-    ends = picked.groupBy(*keys, F.col("_t.i").alias("_i")).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("_rows").alias("_rows"))
-    at = F.element_at(F.array(*[F.lit(float(f)) for f in fractions]), F.col("_i") + 1) * (F.col("_rows") - 1)
-    ends = ends.withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (at - F.floor(at)))
-    return ends.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n)
-                                     for i, n in enumerate(names)])
+
+
+def tally_quantiles(tally: DataFrame, keys: Sequence[str], fractions: Sequence[float],
+                    names: Sequence[str]) -> DataFrame:
+    """Quantiles of counted values. The counts are summed into narrow cells, the cell of each wanted position
+    is found from the running cell totals, and only the values of those cells are ordered."""
+    keys = list(keys)
+    tally = tally.withColumn("_cell", _cell(F.col("_v")))
+    order = Window.partitionBy(*keys).orderBy("_cell")
+    cells = tally.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_n")).withColumns({
+        "_upto": F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)),
+        "_rows": F.sum("_n").over(Window.partitionBy(*keys))})
+    at = [F.lit(float(f)) * (F.col("_rows") - 1) for f in fractions]
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), side(a).cast("bigint").alias("pos"), (a - F.floor(a)).alias("part"))
+                       for i, a in enumerate(at) for side in (F.floor, F.ceil)])
+    targets = cells.select(*keys, "_cell", (F.col("_upto") - F.col("_n")).alias("_below"), "_upto",
+                           F.inline(wanted)).where((F.col("pos") >= F.col("_below")) & (F.col("pos") < F.col("_upto")))
+    run = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = tally.join(targets.select(*keys, "_cell").distinct(), [*keys, "_cell"], "left_semi").withColumn(
+        "_to", F.sum("_c").over(run))
+    placed = ranked.join(targets.drop("_upto"), [*keys, "_cell"]).where(
+        (F.col("pos") - F.col("_below") < F.col("_to")) & (F.col("pos") - F.col("_below") >= F.col("_to") - F.col("_c")))
+
+    def interpolated(i):
+        mine = F.when(F.col("i") == i, F.col("_v"))
+        part = F.max(F.when(F.col("i") == i, F.col("part")))
+        return F.min(mine) + (F.max(mine) - F.min(mine)) * part
+
+    return placed.groupBy(*keys).agg(*[interpolated(i).alias(n) for i, n in enumerate(names)])
 
 
 def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str = "feature",
