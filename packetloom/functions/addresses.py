@@ -5,25 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# IPv4 blocks of the IANA special-purpose registry, as (first, last) dotted pairs.
-PRIVATE_V4 = (
-    ("0.0.0.0", "0.255.255.255"),
-    ("10.0.0.0", "10.255.255.255"),
-    ("127.0.0.0", "127.255.255.255"),
-    ("169.254.0.0", "169.254.255.255"),
-    ("172.16.0.0", "172.31.255.255"),
-    ("192.0.0.0", "192.0.0.255"),
-    ("192.0.2.0", "192.0.2.255"),
-    ("192.168.0.0", "192.168.255.255"),
-    ("198.18.0.0", "198.19.255.255"),
-    ("198.51.100.0", "198.51.100.255"),
-    ("203.0.113.0", "203.0.113.255"),
-    ("240.0.0.0", "255.255.255.255"),
+# IPv4 blocks of the IANA special-purpose registry, as patterns on the dotted text:
+# 0/8, 10/8, 127/8, 240/4, 169.254/16, 172.16/12, 192.0.0/24 without .9 and .10, 192.0.2/24, 192.168/16,
+# 198.18/15, 198.51.100/24, 203.0.113/24; then carrier-shared 100.64/10 and multicast 224/4.
+PRIVATE_V4_PATTERN = (
+    r"^(0\.|10\.|127\.|24[0-9]\.|25[0-5]\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.0\.0\.(?!(9|10)$)"
+    r"|192\.0\.2\.|192\.168\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.)"
 )
-# Blocks inside 192.0.0.0/24 that are globally reachable.
-PRIVATE_V4_EXCEPTIONS = (("192.0.0.9", "192.0.0.10"),)
-SHARED_V4 = (("100.64.0.0", "100.127.255.255"),)
-MULTICAST_V4 = (("224.0.0.0", "239.255.255.255"),)
+SHARED_V4_PATTERN = r"^100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\."
+MULTICAST_V4_PATTERN = r"^(22[4-9]|23[0-9])\."
 
 IPV4_PATTERN = (
     r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -39,11 +29,6 @@ PRIVATE_V6_PATTERN = (
 MULTICAST_V6_PATTERN = r"(?i)^ff[0-9a-f]{2}:"
 
 
-def _dotted(text: str) -> int:
-    a, b, c, d = (int(p) for p in text.split("."))
-    return ((a * 256 + b) * 256 + c) * 256 + d
-
-
 def ipv4_long(ip: Column) -> Column:
     """Dotted quad as BIGINT; NULL for anything that is not a valid IPv4 address."""
     parts = F.split(ip, r"\.")
@@ -53,35 +38,25 @@ def ipv4_long(ip: Column) -> Column:
     return F.when(ip.rlike(IPV4_PATTERN), number)
 
 
-def _within(number: Column, blocks) -> Column:
-    hit = F.lit(False)
-    for low, high in blocks:
-        hit = hit | number.between(_dotted(low), _dotted(high))
-    return hit
-
-
 def is_private(ip: Column) -> Column:
     """True for addresses of the private registry (both families); false for invalid text and NULL."""
-    n = ipv4_long(ip)
-    v4 = _within(n, PRIVATE_V4) & ~_within(n, PRIVATE_V4_EXCEPTIONS)
+    v4 = ip.rlike(IPV4_PATTERN) & ip.rlike(PRIVATE_V4_PATTERN)
     v6 = ip.rlike(IPV6_PATTERN) & ip.rlike(PRIVATE_V6_PATTERN)
-    return F.coalesce(v4, v6, F.lit(False))
+    return F.coalesce(v4 | v6, F.lit(False))
 
 
 def is_local_scope(ip: Column) -> Column:
     """Private, link-local, loopback, multicast or unspecified."""
-    n = ipv4_long(ip)
-    multicast = F.coalesce(_within(n, MULTICAST_V4), ip.rlike(IPV6_PATTERN) & ip.rlike(MULTICAST_V6_PATTERN),
-                           F.lit(False))
-    return is_private(ip) | multicast
+    v4 = ip.rlike(IPV4_PATTERN) & ip.rlike(f"{PRIVATE_V4_PATTERN}|{MULTICAST_V4_PATTERN}")
+    v6 = ip.rlike(IPV6_PATTERN) & (ip.rlike(PRIVATE_V6_PATTERN) | ip.rlike(MULTICAST_V6_PATTERN))
+    return F.coalesce(v4 | v6, F.lit(False))
 
 
 def is_public(ip: Column) -> Column:
     """Globally reachable: valid, not private and not in the shared carrier block."""
-    n = ipv4_long(ip)
-    v4 = ~(_within(n, PRIVATE_V4) & ~_within(n, PRIVATE_V4_EXCEPTIONS)) & ~_within(n, SHARED_V4)
+    v4 = ip.rlike(IPV4_PATTERN) & ~ip.rlike(f"{PRIVATE_V4_PATTERN}|{SHARED_V4_PATTERN}")
     v6 = ip.rlike(IPV6_PATTERN) & ~ip.rlike(PRIVATE_V6_PATTERN)
-    return F.coalesce(v4, v6, F.lit(False))
+    return F.coalesce(v4 | v6, F.lit(False))
 
 
 def coalesce_ip(v4: Column, v6: Column) -> Column:
