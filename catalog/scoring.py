@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from packetloom.operators import features as A, scoring as M
+from packetloom.session import cut_lineage
 from packetloom.sources.schema import FEATURES_MODEL, FEATURES_PROFILE
 
 from .base import FLOWS_SQL, Catalog, flows, packets, private_sql, rd, rdd
@@ -162,8 +163,10 @@ def _(spark, d):
 
 @C.add("m14_model_diagnostics")
 def _(spark, d):
+    # Each model result is a stored table of the session, so it is cut here before the report joins them.
     p = packets(spark, d)
-    f = A.ip_features(p)
-    x = M.standardize(f)
-    eps = M.knn_elbow_eps(x)
-    return M.model_diagnostics(M.isolation_forest(f), eps, M.silhouette(x, M.dbscan(x, eps)), M.rate_anomaly(p))
+    f = cut_lineage(A.ip_features(p))
+    x = cut_lineage(M.standardize(f))
+    eps = cut_lineage(M.knn_elbow_eps(x))
+    quality = cut_lineage(M.silhouette(x, cut_lineage(M.dbscan(x, eps))))
+    return M.model_diagnostics(cut_lineage(M.isolation_forest(f)), eps, quality, cut_lineage(M.rate_anomaly(p)))
