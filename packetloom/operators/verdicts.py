@@ -293,7 +293,7 @@ def panel_resolve(votes: DataFrame, keys, *, quorum: str = "majority") -> DataFr
             .otherwise("judges disagree after debate; using the more severe verdict"))
     return g.withColumn("_e", eff).select(
         *keys, "n_valid", "_e.*", F.coalesce(agreed, F.lit(False)).alias("agreement"),
-        ~F.coalesce(agreed | by_majority, F.lit(False)).alias("needs_human_review"), note.alias("note"))
+        (~F.coalesce(agreed | by_majority, F.lit(False))).alias("needs_human_review"), note.alias("note"))
 
 
 def _pick(label: Column) -> Column:
