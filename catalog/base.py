@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from dataclasses import dataclass, field
 from typing import Callable
 
@@ -9,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packetloom.session import ensure_checkpoint_dir
 from packetloom.sources.adapters import PACKET_EXPRESSIONS, flows_from_lineitem, packets_from_events
+from packetloom.sources.tables import read_results, write_results
 
 _INT = (T.ByteType, T.ShortType, T.IntegerType)
 
@@ -51,6 +55,19 @@ def flows(spark, sf_dir) -> DataFrame:
     return flows_from_lineitem(spark, sf_dir)
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark, sf_dir, name, build) -> DataFrame:
+    """A result table as the history store keeps it: written once per application, read by what follows."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        write_results({name: build()}, path)
+        _stored[key] = path
+    return read_results(spark, _stored[key], name)
+
+
 def table(spark, sf_dir, name) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from packetloom.operators import common, engines as E, features as A, rules as D
 from packetloom.operators.providers import Providers
-from packetloom.session import ensure_checkpoint_dir
 
-from .base import FLOWS_SQL, Catalog, flows, local_scope_sql, ipnum_sql, packets, rd, rdd
+from .base import FLOWS_SQL, Catalog, flows, local_scope_sql, ipnum_sql, packets, rd, rdd, stored
 from .features import ARP_SQL, W, WF, reg_sql
 
 C = Catalog()
@@ -333,18 +330,9 @@ SIGNALS_SQL = (W + "".join(_renamed(t, i) for i, t in enumerate(_PARTS)) + ", si
                + " union all ".join(f"select session_id, device, peer, signal, tactic, technique, cast(score as double) as score, severity, \"count\", first_ts, last_ts, detail from sig{i}" for i in range(len(_PARTS))) + ") ")
 
 
-_signals: dict[tuple[str, str], str] = {}
-
-
 def signals(spark, d):
     """The signal table as it is kept per session: written once, read by fusion and the reports."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _signals:
-        path = f"{ensure_checkpoint_dir(spark)}/signals-{uuid.uuid4().hex}"
-        out = E.all_signals(packets(spark, d), PROVIDERS, limits=LIMITS).where("signal <> 'dga_domain'")
-        out.write.partitionBy("session_id").parquet(path)
-        _signals[key] = path
-    return spark.read.parquet(_signals[key])
+    return stored(spark, d, "adv_signals", lambda: E.all_signals(packets(spark, d), PROVIDERS, limits=LIMITS, stage_each=True).where("signal <> 'dga_domain'"))
 
 
 @C.add("u01_all_signals", SIGNALS_SQL + _OUT)

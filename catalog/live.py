@@ -37,7 +37,7 @@ def text_folder(spark, d) -> str:
     key = (spark.sparkContext.applicationId, d)
     if key not in _text:
         path = _fresh(spark, "export")
-        raw = raw_packets_from_events(spark, d).repartition(spark.sparkContext.defaultParallelism)
+        raw = raw_packets_from_events(spark, d)
         raw.select(F.concat_ws("|", *BASE_FIELDS).alias("value")).write.text(path)
         _text[key] = path
     return _text[key]

@@ -8,7 +8,7 @@ from packetloom.operators import features as A, scoring as M
 from packetloom.session import cut_lineage
 from packetloom.sources.schema import FEATURES_MODEL, FEATURES_PROFILE
 
-from .base import FLOWS_SQL, Catalog, flows, packets, private_sql, rd, rdd
+from .base import FLOWS_SQL, Catalog, flows, packets, private_sql, rd, rdd, stored
 from .features import W, WF, WLAN_SQL
 
 C = Catalog()
@@ -16,7 +16,7 @@ FF = f"with {FLOWS_SQL} "
 
 
 def _feat(spark, d):
-    return A.ip_features(flows(spark, d))
+    return stored(spark, d, "flow_features", lambda: A.ip_features(flows(spark, d)))
 
 
 def _std_sql(cols, dev="stddev_pop", src="flow_features", where="true"):
@@ -59,19 +59,24 @@ CLU_SQL = PAIR_SQL + """, adj as (select session_id, a, b from dist join eps usi
 
 
 def _eps(spark, d):
-    x = M.standardize(_feat(spark, d))
-    return x, M.knn_elbow_eps(x, block=64)
+    x = stored(spark, d, "flow_standardized", lambda: M.standardize(_feat(spark, d)))
+    return x, stored(spark, d, "flow_eps", lambda: M.knn_elbow_eps(x))
+
+
+def _clusters(spark, d):
+    x, eps = _eps(spark, d)
+    return x, stored(spark, d, "flow_clusters", lambda: M.dbscan(x, eps))
 
 
 @C.add("m04_knn_elbow_eps", PAIR_SQL + " select * from eps")
 def _(spark, d):
-    return _eps(spark, d)[1]
+    return M.knn_elbow_eps(M.standardize(_feat(spark, d)))
 
 
 @C.add("m05_dbscan", CLU_SQL + " select * from clu")
 def _(spark, d):
     x, eps = _eps(spark, d)
-    return M.dbscan(x, eps, block=64)
+    return M.dbscan(x, eps)
 
 
 @C.add("m05_silhouette", CLU_SQL + f""", mm as (select dist.session_id, a, p.cluster as own, q.cluster as other, avg(dd) as m from dist join clu p on p.session_id = dist.session_id and p.ip = a join clu q on q.session_id = dist.session_id and q.ip = b
@@ -80,16 +85,14 @@ def _(spark, d):
   select session_id, count(distinct cluster) filter (cluster >= 0) as n_clusters, count(*) filter (cluster = -1) as n_noise, case when count(distinct cluster) filter (cluster >= 0) >= 2 then {rd('any_value(s)')} end as silhouette
   from clu left join sl using (session_id) group by session_id""")
 def _(spark, d):
-    x, eps = _eps(spark, d)
-    return M.silhouette(x, M.dbscan(x, eps, block=64), block=64)
+    return M.silhouette(*_clusters(spark, d))
 
 
 @C.add("a21_model_agreement_matrix", CLU_SQL + """, ag as (select f.session_id, f.ip, "count" % 5 = 0 as anomaly, cluster = -1 as noise from flow_features f join clu using (session_id, ip))
   select session_id, anomaly, noise, count(*) as n, array_to_string(list_sort(list(ip))[1:3], ';') as examples from ag group by all""")
 def _(spark, d):
-    x, eps = _eps(spark, d)
     f = _feat(spark, d).select("session_id", "ip", (F.col("count") % 5 == 0).alias("anomaly"))
-    return M.model_agreement_matrix(f.join(M.dbscan(x, eps, block=64), ["session_id", "ip"]))
+    return M.model_agreement_matrix(f.join(_clusters(spark, d)[1], ["session_id", "ip"]))
 
 
 _ACT = W + """, tl as (select session_id, ts, ip_src as src from packets where ip_src is not null and ip_dst is not null), z as (select session_id, min(ts) as t0 from tl group by all),

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import (
-    FLAG_CLASSES, is_long_query, strip_trailing_dots, tcp_flag_class, tls_version_label, weak_cipher,
-    weak_tls_version,
+    flag_class, is_long_query, strip_trailing_dots, tcp_flag_int, tls_version_label, weak_cipher, weak_tls_version,
 )
 from ..functions.names import is_mdns_device_name, is_real_dns
 from .common import counts, first_per_group, members_text, top_per_group
@@ -21,10 +20,10 @@ def _has(column: str):
 
 def flag_counters(packets: DataFrame, *, by=BY) -> DataFrame:
     """SYN, RST, FIN, NULL and XMAS packets per source; the destination may be absent."""
-    rows = packets.where(_has("tcp_flags") & _has("ip_src"))
-    return rows.groupBy(*by, F.col("ip_src").alias("ip")).agg(*[
-        F.count_if(tcp_flag_class(F.col("tcp_flags"), c)).alias(f"{c}_count")
-        for c in ("syn", "rst", "fin", "null", "xmas")])
+    rows = packets.where(_has("tcp_flags") & _has("ip_src")).select(
+        *by, F.col("ip_src").alias("ip"), tcp_flag_int(F.col("tcp_flags")).alias("_flags"))
+    return rows.groupBy(*by, "ip").agg(*[
+        F.count_if(flag_class(F.col("_flags"), c)).alias(f"{c}_count") for c in ("syn", "rst", "fin", "null", "xmas")])
 
 
 def ip_features(packets: DataFrame, *, by=BY) -> DataFrame:
@@ -32,16 +31,17 @@ def ip_features(packets: DataFrame, *, by=BY) -> DataFrame:
 
     One scan and one grouping; Spark first combines by (source, destination), so a source talking to
     very many hosts is spread before its final row is made."""
-    both = _has("ip_dst")
-    size = F.when(both, F.col("len"))
-    agg = packets.where(_has("ip_src")).groupBy(*by, F.col("ip_src").alias("ip")).agg(
+    size = F.col("_size")
+    rows = packets.where(_has("ip_src")).select(
+        *by, F.col("ip_src").alias("ip"), "ip_dst", F.when(_has("ip_dst"), F.col("len")).alias("_size"),
+        F.when(_has("tcp_flags"), tcp_flag_int(F.col("tcp_flags"))).alias("_flags"))
+    agg = rows.groupBy(*by, "ip").agg(
         F.count(size).alias("count"),
         F.sum(size).alias("total_bytes"),
         F.avg(size).alias("mean_len"),
         F.coalesce(F.stddev_samp(size), F.lit(0.0)).alias("std_len"),
         F.count_distinct("ip_dst").alias("unique_dsts"),
-        *[F.count_if(_has("tcp_flags") & tcp_flag_class(F.col("tcp_flags"), c)).alias(f"{c}_count")
-          for c in ("syn", "rst", "fin", "null", "xmas")])
+        *[F.count_if(flag_class(F.col("_flags"), c)).alias(f"{c}_count") for c in ("syn", "rst", "fin", "null", "xmas")])
     flags = [f"{c}_count" for c in ("syn", "rst", "fin", "null", "xmas")]
     return agg.where(F.col("count") > 0).select(
         *by, "ip", "count", "total_bytes", "mean_len", "std_len", "unique_dsts",

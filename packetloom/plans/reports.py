@@ -40,7 +40,7 @@ def analyse(packets: DataFrame, *, by=BY, providers=None, engine_limits: dict |
     eps = cut_lineage(scoring.knn_elbow_eps(x, by=by))
     clusters = cut_lineage(scoring.dbscan(x, eps, by=by))
     scored = cut_lineage(scoring.isolation_forest(feats, by=by, trees=trees).join(clusters, [*by, "ip"]))
-    signals = cut_lineage(engines.all_signals(packets, providers, by=by, limits=engine_limits))
+    signals = engines.all_signals(packets, providers, by=by, limits=engine_limits, stage_each=True)
     risk = engines.kill_chain_fusion(signals, by=by)
     scan_rows, amp_rows = rules.scan_alerts(feats, by=by, **(scan or {})), rules.dns_amplification(packets, by=by, **(amp or {}))
     arp_rows, flood_rows = rules.arp_spoofing(packets, by=by), rules.syn_flood(packets, by=by, **(flood or {}))

@@ -94,7 +94,8 @@ PACKET_EXPRESSIONS = {
 
 
 def raw_packets_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # The test table is one small file: spread its rows before the text is derived.
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(spark.sparkContext.defaultParallelism)
     base = (events
             .withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"))
             .withColumn("epoch_us", F.unix_micros(F.col("ts").cast("timestamp"))))
@@ -113,8 +114,7 @@ def packets_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
         root = f"{ensure_checkpoint_dir(spark)}/derived-{uuid.uuid4().hex}"
-        raw = raw_packets_from_events(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
-        raw.write.parquet(f"{root}/raw")
+        raw_packets_from_events(spark, sf_dir).write.parquet(f"{root}/raw")
         silver = normalize_packets(spark.read.parquet(f"{root}/raw"))
         silver.write.partitionBy("session_id").parquet(f"{root}/packets")
         _written[key] = f"{root}/packets"
