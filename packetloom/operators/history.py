@@ -192,9 +192,16 @@ def capture_gaps(expected: DataFrame, received: DataFrame, *, tolerance_s: float
     """Chunks that were announced or dropped but never received, with the silence before the next one."""
     missing = expected.join(received.select("chunk"), "chunk", "left_anti").select(
         "sensor_id", "chunk", F.coalesce("reason", F.lit("missing")).alias("reason"), F.lit(None).cast("double").alias("gap_s"))
-    # One row per uploaded file, so a sensor's list is short enough to order.
-    w = Window.partitionBy("sensor_id").orderBy("started_at", "chunk")
-    silence = F.unix_micros(F.col("started_at").cast("timestamp")) - F.unix_micros(F.lag("ended_at").over(w).cast("timestamp"))
-    holes = received.withColumn("gap_s", silence / 1e6).where(F.col("gap_s") > tolerance_s).select(
-        "sensor_id", "chunk", F.lit("silence").alias("reason"), "gap_s")
+    # A sensor's files are ordered inside their day; the first file of a day follows the last one of the day before.
+    at = F.struct("started_at", "chunk")
+    rows = received.withColumn("_day", F.to_date("started_at"))
+    inner = Window.partitionBy("sensor_id", "_day").orderBy("started_at", "chunk")
+    outer = Window.partitionBy("sensor_id").orderBy("_day")
+    inside = (rows.withColumn("_prev", F.lag("ended_at").over(inner)).where(F.col("_prev").isNotNull())
+              .select("sensor_id", "chunk", "started_at", "_prev"))
+    edges = (rows.groupBy("sensor_id", "_day").agg(F.min(at).alias("_f"), F.max_by("ended_at", at).alias("_last"))
+             .withColumn("_prev", F.lag("_last").over(outer)).select("sensor_id", "_f.chunk", "_f.started_at", "_prev"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    holes = inside.unionByName(edges).withColumn("gap_s", (micros("started_at") - micros("_prev")) / 1e6).where(
+        F.col("gap_s") > tolerance_s).select("sensor_id", "chunk", F.lit("silence").alias("reason"), "gap_s")
     return missing.unionByName(holes)
