@@ -93,11 +93,6 @@ def _(spark, d):
     return K.insights(A.ip_features(p), K.source_bytes(p), D.arp_spoofing(p), A.real_dns_counts(p), "S1", "S2")
 
 
-@C.add("w08_rank_threats", None)
-def _(spark, d):
-    return I.rank_threats(_inventory(spark, d)).select("session_id", "ip", "threat_tier", "threat_score", "bytes")
-
-
 # ---- lookups ----------------------------------------------------------------------------------
 
 OUI = (("3C5AB4", "Google, Inc."), ("A483E7", "Apple, Inc."), ("001B63", "Samsung Electronics"))
@@ -223,6 +218,17 @@ def _(spark, d):
     return I.threat_score(h).select("session_id", "ip", "threat_score", "threat_tier", "threat_reasons")
 
 
+@C.add("w08_rank_threats", _THREAT + """, ab as (select session_id, ip, cast(sum(len) as bigint) as bytes from (select session_id, ip_src as ip, len from packets union all select session_id, ip_dst, len from packets) where ip is not null group by all)
+  select session_id, ip, cast(score as bigint) as threat_score, case when score >= 75 then 'CRITICAL' when score >= 50 then 'HIGH' when score >= 25 then 'MEDIUM' else 'LOW' end as threat_tier, bytes from th join ab using (session_id, ip)
+  order by score >= 75 desc, score >= 50 desc, score >= 25 desc, score desc, bytes desc, ip""")
+def _(spark, d):
+    p = packets(spark, d)
+    h = I.host_signals(p, A.ip_features(p)).withColumns({"syn_count": F.expr("syn_count * 20"), "rst_count": F.expr("rst_count * 20"),
+                                                         "unique_dsts": F.expr("unique_dsts * 4"), "nxdomain": F.expr("nxdomain * 30")})
+    scored = I.threat_score(h).join(I.address_bytes(p).select("session_id", "ip", "bytes"), ["session_id", "ip"])
+    return I.rank_threats(scored).select("session_id", "ip", "threat_score", "threat_tier", "bytes")
+
+
 def _inventory(spark, d):
     p = packets(spark, d)
     return I.local_inventory(p, A.ip_features(p), oui(spark), CONFIG)

@@ -10,7 +10,7 @@ from packetloom.operators import features as A
 from packetloom.session import ensure_checkpoint_dir
 from packetloom.sources import tables as S
 from packetloom.sources.adapters import raw_packets_from_events
-from packetloom.sources.packets import normalize_packets, read_packets, stream_packets
+from packetloom.sources.packets import normalize_packets, read_packet_list, read_packets, stream_packets
 from packetloom.sources.schema import BASE_FIELDS
 from packetloom.streaming import live as L
 
@@ -156,3 +156,25 @@ def _(spark, d):
 @C.add("t08_within_duration", W1 + f"select {rd('ts')} as ts, len, ip_src from packets where ts <= 1704067207.0 + 86400.0")
 def _(spark, d):
     return _collect_stream(spark, L.within_duration(_live(spark, d), 1704067207.0, 86400.0), "append").select("ts", "len", "ip_src")
+
+
+@C.add("s04_read_packet_list", """select event_id as "No", case when event_id % 5 = 0 then 0.0 else floor(value) end as "Time", case when event_id % 7 = 0 then 0 else user_id end as "Length", case when event_id % 3 = 0 then '' else 'Où ' || event_type end as "Info" from events""")
+def _(spark, d):
+    path = _fresh(spark, "packet-list")
+    table(spark, d, "events").selectExpr(
+        "event_id as `No`", "case when event_id % 5 = 0 then 'bad' else cast(floor(value) as string) end as `Time`",
+        "case when event_id % 7 = 0 then '' else cast(user_id as string) end as `Length`",
+        "case when event_id % 3 = 0 then null else concat('Où ', event_type) end as `Info`").write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return read_packet_list(spark, path).select(F.col("No").cast("bigint").alias("No"), "Time", "Length", "Info")
+
+
+@C.add("s10_read_verdict_archive", """select 'session:S' || conv_id % 2 || ':10.0.0.' || conv_id as source, 'Session S' || conv_id % 2 || ' (c' || conv_id || '.pcap, recorded 2024-01-01). IP 10.0.0.' || conv_id || ' was judged benign - category dns_amp, confidence 0.5. '
+  || case when conv_id % 3 = 0 then 'Device: Acme h' || conv_id || '. ' else '' end || 'Triggered by: scan_rule. Reasoning: r' || turn as text from conversations""")
+def _(spark, d):
+    path = _fresh(spark, "archive")
+    docs = table(spark, d, "conversations").selectExpr(
+        "concat('S', conv_id % 2) as session_id", "named_struct('time_range', array('2024-01-01'), 'original_filename', concat('c', conv_id, '.pcap')) as context",
+        "array(named_struct('candidate_id', concat('10.0.0.', conv_id), 'verdict', named_struct('verdict', 'benign', 'category', 'dns_amp', 'confidence', 0.5D, 'reasoning', concat('r', turn)), "
+        "'evidence', named_struct('device', case when conv_id % 3 = 0 then named_struct('vendor', 'Acme', 'hostname', concat('h', conv_id)) end, 'trigger_reasons', array('scan_rule')))) as results")
+    docs.write.partitionBy("session_id").json(path)
+    return S.read_verdict_archive(spark, path, pattern="*/*.json", multi_line=False).select("source", "text")

@@ -56,11 +56,12 @@ ARCHIVE_SCHEMA = (
     "evidence: struct<device: struct<vendor: string, hostname: string>, trigger_reasons: array<string>>>>")
 
 
-def read_verdict_archive(spark: SparkSession, root: str) -> DataFrame:
-    """One text row per judged candidate from ``<root>/<session>/verdicts.json``, with its metadata."""
-    docs = (spark.read.schema(ARCHIVE_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE")
-            .json(f"{root}/*/verdicts.json")
-            .withColumn("session_id", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/verdicts\\.json$", 1)))
+def read_verdict_archive(spark: SparkSession, root: str, *, pattern: str = "*/verdicts.json", multi_line: bool = True) -> DataFrame:
+    """One text row per judged candidate from ``<root>/<session>/verdicts.json``, with its metadata. Archives
+    kept as JSON lines in ``session_id=...`` folders are read with another pattern and ``multi_line=False``."""
+    owner = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1), "^session_id=", "")
+    docs = (spark.read.schema(ARCHIVE_SCHEMA).option("multiLine", multi_line).option("mode", "PERMISSIVE")
+            .json(f"{root}/{pattern}").withColumn("session_id", owner))
     when = F.get("context.time_range", F.lit(0))
     rows = docs.select("session_id", when.alias("date"),
                        F.coalesce("context.original_filename", F.concat(F.lit("session "), "session_id")).alias("file"),
