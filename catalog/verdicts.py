@@ -449,10 +449,10 @@ def _(spark, d):
     return v.select("vec_id", F.col("v")[0].alias("first_value"), total(F.col("v")).alias("total"), total(F.transform("v", lambda x: x * x)).alias("norm"))
 
 
-@C.add("x04_cosine_topk", f"""with n as (select vec_id, label, {_NV} as v from embeddings), s as (select q.vec_id as query_id, c.vec_id as chunk_id, list_sum(list_transform(range(1, 65), lambda i: q.v[i] * c.v[i])) as score from n q, n c where q.label = 7 and c.label <> 7)
+@C.add("x04_cosine_topk", f"""with n as (select vec_id, label, {_NV} as v from embeddings), s as (select q.vec_id as query_id, c.vec_id as chunk_id, list_sum(list_transform(range(1, 65), lambda i: q.v[i] * c.v[i])) as score from n q, n c)
   select query_id, chunk_id, {rd('score')} as score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s qualify rank <= 6""")
 def _(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.where("label = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
-    c = e.where("label <> 7").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
+    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    c = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
     return X.cosine_topk(q, c).select("query_id", "chunk_id", "score", "rank")
