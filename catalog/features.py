@@ -98,7 +98,6 @@ NAMES_SQL = W + """, names as (select distinct dns_qname as name from packets wh
 
 
 def names(spark, d):
-    host = F.substring_index(F.substring_index("url", "//", -1), "/", 1)
     host = F.split(F.split(F.col("url"), "//")[1], "/")[0]
     return (packets(spark, d).where("dns_qname is not null").select(F.col("dns_qname").alias("name")).distinct()
             .union(table(spark, d, "pages").select(host.alias("name")).distinct()).distinct())

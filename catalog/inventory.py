@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from packetloom.operators import browsing as B, features as A, inventory as I, rankings as K, rules as D
 
-from .base import FEATURES_SQL, FLOWS_SQL, Catalog, flows, packets, private_sql, rd, rdd
+from .base import FEATURES_SQL, FLOWS_SQL, Catalog, flows, packets, private_sql, rd
 from .detection import HOST_SQL, PROVIDERS, by_ip_sql
-from .features import ARP_SQL, MACS_SQL, REAL_SQL, W, WF, _BYTES, _Q
+from .features import MACS_SQL, REAL_SQL, W, WF, _BYTES, _Q
 
 C = Catalog()
 FF = f"with {FLOWS_SQL} "
