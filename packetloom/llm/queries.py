@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import decontamination, fragment_join, fuzzy_lines, host_quality, swap_packing
+from packetloom.llm import blob_ledger, decontamination, fragment_join, fuzzy_lines, host_quality, swap_packing
 from packetloom.llm.common import table
 
 QUERIES: dict = {}
@@ -51,3 +51,16 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+@query
+def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = blob_ledger.scan(table(spark, sf_dir, "documents"))
+    kinds = [kind for kind, *_ in blob_ledger.BASE_RULES]
+
+    def listed(items):
+        return F.array_join(F.transform(items, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
+
+    counts = [F.expr(f"size(filter(findings, f -> f.kind = '{k}'))").cast("bigint").alias(f"n_{k}") for k in kinds]
+    base = F.filter("findings", lambda f: f["kind_no"] < len(kinds))
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"))
