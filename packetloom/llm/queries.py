@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import blob_ledger, decontamination, fragment_join, fuzzy_lines, host_quality, swap_packing
+from packetloom.llm import blob_ledger, chat_format, decontamination, fragment_join, fuzzy_lines, host_quality, resharding, swap_packing
 from packetloom.llm.common import table
 
 QUERIES: dict = {}
@@ -64,3 +64,23 @@ def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.expr(f"size(filter(findings, f -> f.kind = '{k}'))").cast("bigint").alias(f"n_{k}") for k in kinds]
     base = F.filter("findings", lambda f: f["kind_no"] < len(kinds))
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"))
+
+
+@query
+def op2_token_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    how = (tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return chat_format.read_back(chat_format.segments(turns.unionByName(own), *how), *how)
+
+
+@query
+def op3_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), "source")
+    # The layout before: 16 shards by source, so the largest source fills one of them.
+    placed = resharding.reshard(rows, F.pmod(F.xxhash64("source"), F.lit(16)), F.col("bytes") + 8, ["doc_id", "text_crc32"], [1.0] * 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
