@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import blob_ledger, chat_format, decontamination, fragment_join, fuzzy_lines, host_quality, resharding, swap_packing
+from packetloom.llm import blob_ledger, chat_format, decontamination, fragment_join, fuzzy_lines, host_extraction, host_quality, resharding, swap_packing
 from packetloom.llm.common import table
 
 QUERIES: dict = {}
@@ -84,3 +84,9 @@ def op3_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The layout before: 16 shards by source, so the largest source fills one of them.
     placed = resharding.reshard(rows, F.pmod(F.xxhash64("source"), F.lit(16)), F.col("bytes") + 8, ["doc_id", "text_crc32"], [1.0] * 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
+
+
+@query
+def op1_host_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = host_extraction.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_removed")
