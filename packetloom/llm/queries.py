@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import blob_ledger, chat_format, decontamination, fragment_join, fuzzy_lines, host_extraction, host_quality, resharding, swap_packing
+from packetloom.llm import (
+    blob_ledger,
+    chat_format,
+    decontamination,
+    fragment_join,
+    fuzzy_lines,
+    host_extraction,
+    host_quality,
+    resharding,
+    swap_packing,
+    trie_scoring,
+)
 from packetloom.llm.common import table
 
 QUERIES: dict = {}
@@ -90,3 +101,8 @@ def op3_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_host_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = host_extraction.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_removed")
+
+
+@query
+def op10_trie_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_scoring.score(table(spark, sf_dir, "documents"))
