@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from packetloom.llm.common import stage
 
 #: Bytes of a block of an old shard, on average; blocks are ordered and cut independently of each other.
-BLOCK = 32 << 20
+BLOCK = 4 << 20
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
