@@ -72,21 +72,21 @@ class EliasFano:
         return (self.words[bit >> 3] >> (bit & 7).astype(np.uint64)) & self.mask
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
-        """The place of each wanted value, -1 if it is missing: a search among the upper parts, then along the few that agree."""
+        """The place of each wanted value, -1 if it is missing: halving among the values whose upper part is the wanted one."""
+        upper, lower = wanted >> np.uint64(self.low_bits), wanted & self.mask
+        at, end = np.searchsorted(self.high, upper), np.searchsorted(self.high, upper, side="right")
         out = np.full(len(wanted), -1, np.int64)
-        if not self.n or not len(wanted):
-            return out
-        upper = wanted >> np.uint64(self.low_bits)
-        at = np.searchsorted(self.high, upper)
-        open_ = np.arange(len(wanted))
-        lower = wanted & self.mask
+        open_ = np.flatnonzero(at < end)
+        last = end.copy()
         while len(open_):
-            open_ = open_[at[open_] < self.n]
-            open_ = open_[self.high[at[open_]] == upper[open_]]
-            hit = self._low(at[open_]) == lower[open_]
-            out[open_[hit]] = at[open_[hit]]
-            open_ = open_[~hit]
-            at[open_] += 1
+            middle = (at[open_] + end[open_]) >> 1
+            less = self._low(middle) < lower[open_]
+            at[open_[less]] = middle[less] + 1
+            end[open_[~less]] = middle[~less]
+            open_ = open_[at[open_] < end[open_]]
+        some = np.flatnonzero(at < last)
+        some = some[self._low(at[some]) == lower[some]]
+        out[some] = at[some]
         return out
 
 
