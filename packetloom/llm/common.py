@@ -131,9 +131,11 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def _close(pairs: DataFrame, need: int, of: int) -> DataFrame:
-    """Candidate pairs whose sizes allow the similarity, each once."""
-    return pairs.where(of * F.least("size_a", "size_b") >= need * F.greatest("size_a", "size_b")).distinct()
+def _close(pairs: DataFrame, need: int, of: int, plausible) -> DataFrame:
+    """Candidate pairs, each once, whose sizes and number of shared keys allow the similarity."""
+    pairs = pairs.where(of * F.least("size_a", "size_b") >= need * F.greatest("size_a", "size_b"))
+    shared = pairs.groupBy("a", "b").agg(F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.sum("weight").alias("shared"))
+    return shared.where(plausible(F.col("shared")))
 
 
 def _labelled(groups: DataFrame, found: DataFrame) -> DataFrame:
@@ -144,38 +146,40 @@ def _labelled(groups: DataFrame, found: DataFrame) -> DataFrame:
     return stage(out.join(mixed, "gid", "left_semi"))
 
 
-def _stars(groups: DataFrame, order: str, need: int, of: int) -> DataFrame:
+def _stars(groups: DataFrame, order: str) -> DataFrame:
     """(member, hub) pairs of every group whose members are not in the hub's component yet."""
     hub = groups.groupBy("gid").agg(F.min_by(F.struct("sig", "size", "root"), F.expr(order)).alias("hub"))
     pairs = groups.join(hub, "gid").where("root <> hub.root")
-    return _close(pairs.select(F.col("sig").alias("a"), F.col("hub.sig").alias("b"), F.col("size").alias("size_a"), F.col("hub.size").alias("size_b")), need, of)
+    return pairs.select(F.col("sig").alias("a"), F.col("hub.sig").alias("b"), F.col("size").alias("size_a"), F.col("hub.size").alias("size_b"), "weight")
 
 
-def _across(groups: DataFrame, need: int, of: int) -> DataFrame:
+def _across(groups: DataFrame) -> DataFrame:
     """All pairs of members of a group that are in different components; pairs inside a component are never formed."""
     classes = groups.select("gid", "root").distinct()
     two = classes.select("gid", F.col("root").alias("r1")).join(classes.select("gid", F.col("root").alias("r2")), "gid").where("r1 < r2")
-    one = groups.select("gid", F.col("root").alias("r1"), F.col("sig").alias("a"), F.col("size").alias("size_a"))
+    one = groups.select("gid", F.col("root").alias("r1"), F.col("sig").alias("a"), F.col("size").alias("size_a"), "weight")
     other = groups.select("gid", F.col("root").alias("r2"), F.col("sig").alias("b"), F.col("size").alias("size_b"))
-    pairs = two.join(one, ["gid", "r1"]).join(other, ["gid", "r2"]).select("a", "b", "size_a", "size_b")
+    pairs = two.join(one, ["gid", "r1"]).join(other, ["gid", "r2"])
     swap = F.col("a") > F.col("b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("size_b")).otherwise(F.col("size_a")).alias("size_a"),
-                         F.when(swap, F.col("size_a")).otherwise(F.col("size_b")).alias("size_b"))
-    return _close(pairs, need, of)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("size_b")).otherwise(F.col("size_a")).alias("size_a"),
+                        F.when(swap, F.col("size_a")).otherwise(F.col("size_b")).alias("size_b"), "weight")
 
 
-def connect(groups: DataFrame, verify, need: int, of: int) -> DataFrame:
+def connect(groups: DataFrame, verify, need: int, of: int, plausible=lambda shared: F.lit(True)) -> DataFrame:
     """Links (a, b) that connect what all similar pairs inside the groups connect.
 
-    groups: gid, sig, size, where similar nodes share at least one group; verify keeps the similar ones of pairs (a, b, size_a,
-    size_b). Three rounds compare each member with one hub of its group, which costs as many pairs as a group has members. Then all
-    pairs between members of a group that are still in different components are compared, so that no link between them is missed.
+    groups: gid, sig, size, weight, where similar nodes share at least one group; verify keeps the similar ones of pairs (a, b,
+    size_a, size_b), and plausible tells from the weights of all groups that a pair shares whether it can be similar. Two rounds
+    compare each member with one hub of its group, which costs as many pairs as a group has members; there a pair's groups under
+    other hubs are not counted, so half the weight does. Then all pairs between members of a group that are still in different
+    components are compared, so that no link between them is missed.
     """
-    found = stage(verify(stage(_stars(groups.withColumn("root", F.col("sig")), "sig", need, of))))
-    for order in ("xxhash64(sig)", "xxhash64(sig, 7)", ""):
-        groups = _labelled(groups, found)
-        if groups.isEmpty():
-            return found
-        pairs = _stars(groups, order, need, of) if order else _across(groups, need, of)
-        found = found.unionByName(stage(verify(stage(pairs))))
+    found = None
+    for order in ("sig", "xxhash64(sig)", ""):
+        groups = groups.withColumn("root", F.col("sig")) if found is None else _labelled(groups, found)
+        if found is not None and groups.isEmpty():
+            break
+        pairs = _stars(groups, order) if order else _across(groups)
+        more = stage(verify(stage(_close(pairs, need, of, (lambda n: plausible(2 * n)) if order else plausible))))
+        found = more if found is None else found.unionByName(more)
     return found

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import LOWER, WordHashes, batches_of, components, connect, mix, partitions, signed, stage, texts, windows
@@ -181,7 +181,7 @@ def fragment_of(grams: np.ndarray, n_frag: int) -> np.ndarray:
 
 
 def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The groups of two or more sets that share an n-gram of the fragment; groups of the same members once."""
+    """The groups of two or more sets that share an n-gram of the fragment; groups of the same members once, with their number."""
     keys, sigs, sizes = [], [], []
     for n, raw in zip(pdf["n"], pdf["blob"], strict=True):
         n = int(n)
@@ -201,36 +201,61 @@ def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
     keep = np.repeat(n > 1, n)
     sig, size, n = sig[keep], size[keep], n[n > 1]
     if not len(n):
-        return pd.DataFrame({"gid": np.empty(0, np.int64), "sig": np.empty(0, np.int64), "size": np.empty(0, np.int32)})
+        return pd.DataFrame({"gid": sig, "sig": sig, "size": size.astype(np.int32), "weight": sig})
     start = np.cumsum(n) - n
     name = signed(mix(np.add.reduceat(mix(sig.view(np.uint64)), start) + n.astype(np.uint64)))
-    _, chosen = np.unique(name, return_index=True)
-    once = np.zeros(len(n), bool)
-    once[chosen] = True
-    rows = np.repeat(once, n)
-    return pd.DataFrame({"gid": np.repeat(name, n)[rows], "sig": sig[rows], "size": size[rows].astype(np.int32)})
+    _, chosen, alike = np.unique(name, return_index=True, return_counts=True)
+    weight = np.zeros(len(n), np.int64)
+    weight[chosen] = alike
+    rows = np.repeat(weight > 0, n)
+    return pd.DataFrame({"gid": np.repeat(name, n)[rows], "sig": sig[rows], "size": size[rows].astype(np.int32), "weight": np.repeat(weight, n)[rows]})
 
 
 _SEGMENTS = pa.schema([("sig", pa.int64()), ("frag", pa.int32()), ("grams", pa.binary())])
+#: Texts whose hashes are sent to the executors, at most (8 bytes each); beyond, they are joined.
+SENT = 1_000_000
 #: Fragments of the verification: a hub's part of a set is joined and counted in as many places.
 PARTS = 4
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
+def _segments(wanted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
 
-    def rows() -> Iterator[dict]:
-        for _, sets in _sets(batches):
-            for grams in sets:
-                name = signature(grams)
-                if name in seen:
-                    continue
-                seen.add(name)
-                cut = np.searchsorted(fragment_of(grams, PARTS), np.arange(PARTS + 1))
-                for f in range(PARTS):
-                    yield {"sig": name, "frag": f, "grams": grams[cut[f]:cut[f + 1]].tobytes()}
+        def chosen() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if wanted is not None:
+                    batch = batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), wanted.value)))
+                if batch.num_rows:
+                    yield batch
+
+        def rows() -> Iterator[dict]:
+            for _, sets in _sets(chosen()):
+                for grams in sets:
+                    name = signature(grams)
+                    if name in seen:
+                        continue
+                    seen.add(name)
+                    cut = np.searchsorted(fragment_of(grams, PARTS), np.arange(PARTS + 1))
+                    for f in range(PARTS):
+                        yield {"sig": name, "frag": f, "grams": grams[cut[f]:cut[f + 1]].tobytes()}
+
+        yield from batches_of(_SEGMENTS, rows())
+
+    return run
 
-    yield from batches_of(_SEGMENTS, rows())
+
+def segments(rows: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of the pairs' members, cut into PARTS. The texts' hashes are sent if they are few, else joined."""
+    members = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    wanted = stage(named.join(members, "sig").groupBy("sig").agg(F.min("at").alias("n_at")).select("n_at"))
+    schema = "sig bigint, frag int, grams binary"
+    if wanted.count() <= SENT:
+        sent = rows.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).to_numpy()))
+        cut = rows.select("at", "text").mapInArrow(_segments(sent), schema)
+    else:
+        cut = rows.join(wanted, F.col("at") == F.col("n_at"), "left_semi").select("at", "text").mapInArrow(_segments(None), schema)
+    return stage(cut.dropDuplicates(["sig", "frag"]))
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,13 +265,25 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["a", "b", "n"])
 
 
-def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+def plausible(shared: Column) -> Column:
+    """Whether sets with so many n-grams in common in their prefixes can reach the similarity.
+
+    What two sets share beyond the prefix that ends first is at most the rest of that set, ceil(0.75 n) - 1 of n.
+    """
+    rest = F.ceil(F.greatest("size_a", "size_b") * NEED / OF) - 1
+    return (OF + NEED) * (shared + rest) >= NEED * (F.col("size_a") + F.col("size_b"))
+
+
+def verified(pairs: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:
     """The pairs (a, b, size_a, size_b) that reach the similarity: partial overlaps per fragment, summed per pair."""
-    left = segments.select(F.col("sig").alias("a"), "frag", F.col("grams").alias("grams_a"))
-    right = segments.select(F.col("sig").alias("b"), "frag", F.col("grams").alias("grams_b"))
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    cut = segments(rows, named, pairs)
+    left = cut.select(F.col("sig").alias("a"), "frag", F.col("grams").alias("grams_a"))
+    right = cut.select(F.col("sig").alias("b"), "frag", F.col("grams").alias("grams_b"))
     spread = pairs.select("a", "b", F.explode(F.array(*[F.lit(i) for i in range(PARTS)])).alias("frag"))
-    rows = spread.join(right, ["b", "frag"]).join(left, ["a", "frag"]).select("a", "b", "grams_a", "grams_b")
-    counts = rows.mapInArrow(_overlap, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    both = spread.join(right, ["b", "frag"]).join(left, ["a", "frag"]).select("a", "b", "grams_a", "grams_b")
+    counts = both.mapInArrow(_overlap, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
     good = counts.join(pairs, ["a", "b"]).where(OF * F.col("n") >= NEED * (F.col("size_a") + F.col("size_b") - F.col("n")))
     return good.select("a", "b")
 
@@ -264,12 +301,9 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
     n_frag = max(partitions(spark), total // (4 * FRAGMENT))
     entries = rows.select("text").mapInArrow(_prefixes(common, n_frag), "frag int, n bigint, blob binary")
-    groups = stage(entries.groupBy("frag").applyInPandas(_groups, "gid bigint, sig bigint, size int").distinct())
-    needed = named.join(groups.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min_by(F.struct("at", "doc_id"), F.struct("at", "doc_id")).alias("x"))
-    needed = needed.select(F.col("x.at").alias("n_at"), F.col("x.doc_id").alias("n_doc"))
-    chosen = rows.join(needed, (F.col("at") == F.col("n_at")) & F.col("doc_id").eqNullSafe(F.col("n_doc")), "left_semi").select("text")
-    segments = stage(chosen.mapInArrow(_segments, "sig bigint, frag int, grams binary"))
-    found = connect(groups, lambda pairs: verified(pairs, segments), NEED, OF)
+    groups = entries.groupBy("frag").applyInPandas(_groups, "gid bigint, sig bigint, size int, weight bigint")
+    groups = stage(groups.groupBy("gid", "sig").agg(F.max("size").alias("size"), F.sum("weight").alias("weight")))
+    found = connect(groups, lambda pairs: verified(pairs, rows, named), NEED, OF, plausible)
     return named.select("doc_id", "at", "n_shingles", "sig"), found
 
 
