@@ -317,7 +317,8 @@ def _(spark, d):
 # ---- union, fusion ----------------------------------------------------------------------------
 
 LIMITS = {"arp_mac_many_ips": dict(min_ips=2), "arp_gratuitous_flood": dict(min_replies=4), "dns_tunneling": dict(min_unique=10, min_entropy=3.0),
-          "nxdomain_storm": dict(min_failed=2), "beaconing": dict(min_events=4, min_score=0.5)}
+          "nxdomain_storm": dict(min_failed=2), "dga_domains": dict(min_entropy=2.5, min_base=500),
+          "beaconing": dict(min_events=4, min_score=0.5)}
 
 
 def _renamed(text: str, i: int) -> str:
@@ -325,14 +326,14 @@ def _renamed(text: str, i: int) -> str:
     return text.replace("sig as (", f"sig{i} as (")
 
 
-_PARTS = [E01, E02, E03, E04, E05, E06, BEACON_SQL + E09[len(BEACON_SQL):], E10A, E10B, E10C]
+_PARTS = [E01, E02, E03, E04, E05, E06, E07, BEACON_SQL + E09[len(BEACON_SQL):], E10A, E10B, E10C]
 SIGNALS_SQL = (W + "".join(_renamed(t, i) for i, t in enumerate(_PARTS)) + ", sig as ("
                + " union all ".join(f"select session_id, device, peer, signal, tactic, technique, cast(score as double) as score, severity, \"count\", first_ts, last_ts, detail from sig{i}" for i in range(len(_PARTS))) + ") ")
 
 
 def signals(spark, d):
     """The signal table as it is kept per session: written once, read by fusion and the reports."""
-    return stored(spark, d, "adv_signals", lambda: E.all_signals(packets(spark, d), PROVIDERS, limits=LIMITS, stage_each=True).where("signal <> 'dga_domain'"))
+    return stored(spark, d, "adv_signals", lambda: E.all_signals(packets(spark, d), PROVIDERS, limits=LIMITS, stage_each=True))
 
 
 @C.add("u01_all_signals", SIGNALS_SQL + _OUT)
@@ -380,7 +381,7 @@ def _(spark, d):
                     t("beaconing"), t("dns_tunneling"), t("tls_anomaly"))
 
 
-@C.add("e13_signal_fp_report", SIGNALS_SQL + """, eng as (select *, case when starts_with(signal, 'arp') or signal = 'rogue_dhcp' then 'arp_dhcp' when signal in ('dns_tunneling', 'nxdomain_storm') then 'dns_tunnel' when signal = 'beaconing' then 'beaconing' else 'tls' end as engine from sig),
+@C.add("e13_signal_fp_report", SIGNALS_SQL + """, eng as (select *, case when starts_with(signal, 'arp') or signal = 'rogue_dhcp' then 'arp_dhcp' when signal in ('dns_tunneling', 'nxdomain_storm') then 'dns_tunnel' when signal = 'dga_domain' then 'dga' when signal = 'beaconing' then 'beaconing' else 'tls' end as engine from sig),
   ga as (select distinct session_id, ip_src as ip from packets where dhcp_sid is not null or tls_cipher = '0x0005')
   select session_id, engine, count(*) as n_signals, count(distinct device) filter (device <> '') as n_devices, count(distinct device) filter ((session_id, device) in (select (session_id, ip) from ga)) as tp,
   count(distinct device) filter (device <> '' and (session_id, device) not in (select (session_id, ip) from ga where ip is not null)) as fp, """ + rdd("max(score)", 2) + """ as top_score from eng group by all""")

@@ -93,8 +93,8 @@ def _assembled(spark, d):
 
 
 @C.add("v01_assemble_candidates", _SC + """select session_id, candidate_id, kind, rank, trigger_reasons, n_scan, packets from (
-  select session_id, ip as candidate_id, 'ip' as kind, r as rank, trigger_reasons, (select count(*) from scan where scan.session_id = rr.session_id and scan.src = rr.ip) as n_scan,
-    (select "count" from features f where f.session_id = rr.session_id and f.ip = rr.ip) as packets from rr where r <= 40
+  select session_id, ip as candidate_id, 'ip' as kind, case when r <= 40 then r end as rank, trigger_reasons, (select count(*) from scan where scan.session_id = rr.session_id and scan.src = rr.ip) as n_scan,
+    (select "count" from features f where f.session_id = rr.session_id and f.ip = rr.ip) as packets from rr
   union all select session_id, 'session:' || session_id, 'session', null, 'flood_rule', null, null from flood)""")
 def _(spark, d):
     a = _assembled(spark, d)
@@ -107,7 +107,7 @@ def _(spark, d):
     where ip is not null and pt is not null group by session_id, ip, pt),
   tw as (select session_id, ip_src as ip, bool_or(tls_version in ('0x0300', '0x0301', '0x0302') or coalesce(lower(tls_cipher) in ('0x0001','0x0002','0x0003','0x0004','0x0005','0x0006','0x0008','0x0009','0x000a'), false)) as weak from packets where tls_version is not null group by all)
   select rr.session_id, rr.ip as candidate_id, f."count" as packets, f.unique_dsts, f.syn_count, {rd('iso_score')} as iso_score, (select string_agg(pt || '=' || n, ';' order by r) from (select * from pc where r <= 3) pc where pc.session_id = rr.session_id and pc.ip = rr.ip) as top_dst_ports,
-  case when weak then true end as tls_weak from rr left join features f on f.session_id = rr.session_id and f.ip = rr.ip left join tw on tw.session_id = rr.session_id and tw.ip = rr.ip where rr.r <= 40""")
+  case when weak then true end as tls_weak from rr left join features f on f.session_id = rr.session_id and f.ip = rr.ip left join tw on tw.session_id = rr.session_id and tw.ip = rr.ip""")
 def _(spark, d):
     e = V.evidence_projection(_assembled(spark, d).where("kind = 'ip'"))
     return e.select("session_id", "candidate_id", "packets", "unique_dsts", "syn_count", "iso_score",

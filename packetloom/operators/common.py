@@ -63,10 +63,11 @@ def max_distinct_in_window(df: DataFrame, keys: Sequence[str], ts: str, item: st
     Events are replicated into the next slice of the same width, so every trailing window lies inside one
     (key, slice) group and a busy key is spread over its slices."""
     events = df.where(F.col(ts).isNotNull()).select(
-        *keys, F.col(ts).cast("double").alias("_ts"), F.col(item).alias("_item")).distinct()
-    sliced = events.withColumn("_home", F.floor(F.col("_ts") / width_s)).withColumn(
+        *keys, F.round(F.col(ts).cast("double") * 1e6).cast("bigint").alias("_ts"), F.col(item).alias("_item")).distinct()
+    width = round(width_s * 1e6)  # whole microseconds, so that widths under a second count too
+    sliced = events.withColumn("_home", F.floor(F.col("_ts") / width)).withColumn(
         "_slice", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
-    w = Window.partitionBy(*keys, "_slice").orderBy("_ts").rangeBetween(-int(width_s), 0)
+    w = Window.partitionBy(*keys, "_slice").orderBy("_ts").rangeBetween(-width, 0)
     seen = sliced.withColumn("_n", F.size(F.collect_set("_item").over(w))).where(F.col("_home") == F.col("_slice"))
     return seen.groupBy(*keys).agg(F.max("_n").cast("bigint").alias(out))
 

@@ -70,12 +70,13 @@ def rank_candidates(reasons: DataFrame, scored: DataFrame, *, by=BY, cap: int =
 
 def assemble_candidates(ranked: DataFrame, scored: DataFrame, scan: DataFrame, amp: DataFrame, arp: DataFrame, flood: DataFrame,
                         summary: DataFrame, parts: dict[str, DataFrame] | None = None, *, by=BY) -> DataFrame:
-    """Nested record per kept candidate, plus one session candidate where a flood was seen.
+    """Nested record per candidate, plus one session candidate where a flood was seen. Candidates beyond the cap
+    have no ``rank``; the short list of a report is the records that have one.
 
     ``parts`` maps a block name (advanced_signals, device_context, websites, traffic, tls, baseline_history) to a
     table keyed by session and ip whose other columns become that block."""
     keys = [*by, "ip"]
-    kept = ranked.where(~F.col("capped"))
+    kept = ranked
     alerts = scan.groupBy(*by, F.col("src").alias("ip")).agg(
         F.sort_array(F.collect_list(F.struct("type", "count", "unique_dsts", "ratio"))).alias("scan_alerts"))
     amps = amp.select(*by, F.col("src").alias("ip"), F.array(F.struct("responses", "mean_size")).alias("amp_alerts"))
@@ -175,12 +176,9 @@ def verdict_semantics(v: DataFrame) -> DataFrame:
 
 def evidence_check(v: DataFrame, *, candidate: str = "candidate_json", cited: str = "evidence_features") -> DataFrame:
     """Which cited paths do not exist in the candidate record."""
-    rows = v.select("*", F.posexplode_outer(cited).alias("_i", "_path"))
-    bad = F.col("_path").isNotNull() & ~F.coalesce(json_path_exists(F.col(candidate), F.col("_path")), F.lit(False))
-    keys = [c for c in v.columns if c not in (candidate, cited)]
-    out = rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.when(bad, F.struct("_i", "_path")))),
-                                              lambda s: s["_path"]).alias("evidence_invalid_features"))
-    return out.withColumn("evidence_valid", F.size("evidence_invalid_features") == 0)
+    missing = F.filter(F.col(cited), lambda path: path.isNotNull() & ~F.coalesce(json_path_exists(F.col(candidate), path), F.lit(False)))
+    invalid = F.coalesce(missing, F.expr("cast(array() as array<string>)"))
+    return v.withColumns({"evidence_invalid_features": invalid, "evidence_valid": F.size(invalid) == 0})
 
 
 def rule_expected_category(flood: Column, arp: Column, amp: Column, scan: Column) -> Column:
