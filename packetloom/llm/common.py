@@ -127,7 +127,7 @@ def components(edges: DataFrame) -> DataFrame:
         e = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen or not now[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = now
 
 
