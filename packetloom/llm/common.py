@@ -169,13 +169,17 @@ def connect(groups: DataFrame, verify, need: int, of: int, plausible=lambda shar
     """Links (a, b) that connect what all similar pairs inside the groups connect.
 
     groups: gid, sig, size, weight, where similar nodes share at least one group; verify keeps the similar ones of pairs (a, b,
-    size_a, size_b), and plausible tells from the weights of all groups that a pair shares whether it can be similar. Two rounds
+    size_a, size_b), and plausible tells from the weights of all groups that a pair shares whether it can be similar. Three rounds
     compare each member with one hub of its group, which costs as many pairs as a group has members; there a pair's groups under
-    other hubs are not counted, so half the weight does. Then all pairs between members of a group that are still in different
+    other hubs are not counted, so half the weight does. The first hub is the member that shares the most with others, which in a
+    family of copies is their source or close to it. Then all pairs between members of a group that are still in different
     components are compared, so that no link between them is missed.
     """
     found = None
-    for order in ("sig", "xxhash64(sig)", ""):
+    members = groups.groupBy("gid").agg((F.count("*") - 1).alias("others"))
+    degree = groups.join(members, "gid").groupBy("sig").agg(F.sum(F.col("weight") * F.col("others")).alias("degree"))
+    groups = stage(groups.join(degree, "sig"))
+    for order in ("struct(-degree, sig)", "sig", "xxhash64(sig)", ""):
         groups = groups.withColumn("root", F.col("sig")) if found is None else _labelled(groups, found)
         if found is not None and groups.isEmpty():
             break

@@ -12,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import CACHED_WORDS, partitions, stage
+from packetloom.llm.common import stage
 
 ROOM = 2048
+#: Words whose ids a task remembers before it starts anew; bounds its memory.
+CACHED_IDS = 1_200_000
 #: Pieces that are packed together, on average.
 GROUP = 16_384
 
@@ -36,7 +38,7 @@ class WordTokens:
         """Little-endian unsigned 32-bit ids of every text."""
         split = [x.replace("\n", " ").split(" ") for x in texts]
         new = set().union(*split) - self.known.keys()
-        if len(self.known) + len(new) > CACHED_WORDS:
+        if len(self.known) + len(new) > CACHED_IDS:
             self.known = {}
             new = set().union(*split)
         if new:
