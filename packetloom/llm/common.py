@@ -153,10 +153,13 @@ def _stars(groups: DataFrame, order: str) -> DataFrame:
     return pairs.select(F.col("sig").alias("a"), F.col("hub.sig").alias("b"), F.col("size").alias("size_a"), F.col("hub.size").alias("size_b"), "weight")
 
 
-def _across(groups: DataFrame) -> DataFrame:
-    """All pairs of members of a group that are in different components; pairs inside a component are never formed."""
-    classes = groups.select("gid", "root").distinct()
-    two = classes.select("gid", F.col("root").alias("r1")).join(classes.select("gid", F.col("root").alias("r2")), "gid").where("r1 < r2")
+def _across(groups: DataFrame, need: int, of: int) -> DataFrame:
+    """All pairs of members of a group that are in different components of fitting sizes; pairs inside a component are never formed."""
+    classes = groups.groupBy("gid", "root").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    one, other = (classes.select("gid", *[F.col(c).alias(c + k) for c in ("root", "lo", "hi")]) for k in "12")
+    fits = (of * F.col("hi1") >= need * F.col("lo2")) & (of * F.col("hi2") >= need * F.col("lo1"))
+    two = one.join(other.withColumnRenamed("gid", "_gid"), (F.col("gid") == F.col("_gid")) & (F.col("root1") < F.col("root2")) & fits)
+    two = two.select("gid", F.col("root1").alias("r1"), F.col("root2").alias("r2"))
     one = groups.select("gid", F.col("root").alias("r1"), F.col("sig").alias("a"), F.col("size").alias("size_a"), "weight")
     other = groups.select("gid", F.col("root").alias("r2"), F.col("sig").alias("b"), F.col("size").alias("size_b"))
     pairs = two.join(one, ["gid", "r1"]).join(other, ["gid", "r2"])
@@ -183,7 +186,7 @@ def connect(groups: DataFrame, verify, need: int, of: int, plausible=lambda shar
         groups = groups.withColumn("root", F.col("sig")) if found is None else _labelled(groups, found)
         if found is not None and groups.isEmpty():
             break
-        pairs = _stars(groups, order) if order else _across(groups)
+        pairs = _stars(groups, order) if order else _across(groups, need, of)
         more = stage(verify(stage(_close(pairs, need, of, (lambda n: plausible(2 * n)) if order else plausible))))
         found = more if found is None else found.unionByName(more)
     return found

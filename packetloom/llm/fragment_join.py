@@ -23,8 +23,8 @@ WORDS = 5
 NEED, OF = 75, 100
 #: n-grams gathered by a task before it hands them on; bounds its memory.
 BLOCK = 3_000_000
-#: n-grams listed as frequent, at most; they come last in the global order. The list only steers the order, any order is right.
-FREQUENT = 400_000
+#: Counters of the sketch of n-gram frequencies, 4 bytes each, in PIECES rows. It only steers the global order; any order is right.
+COUNTERS, PIECES = 1 << 20, 16
 #: Entries of a fragment on average.
 FRAGMENT = 1_000_000
 
@@ -59,52 +59,44 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
             yield batch.slice(lo), [gram_set(x.translate(LOWER).split(), hashes) for x in raws[lo:]]
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64()), ("grams", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())])
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document with its set's size and name, and a row per block with the n-grams found in several of its sets."""
-    held: list[np.ndarray] = []
-    seen: set[int] = set()
+def counter_of(grams: np.ndarray) -> np.ndarray:
+    return (mix(grams) % np.uint64(COUNTERS)).astype(np.int64)
 
-    def repeated() -> list[dict]:
-        grams, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        held.clear()
-        seen.clear()
-        many = n > 1
-        packed = np.concatenate([grams[many], n[many].astype(np.uint64)]).tobytes()
-        return [{"doc_id": None, "at": None, "n_shingles": None, "sig": None, "grams": packed}] if many.any() else []
 
-    size = 0
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per document with its set's size and name, and rows with the task's counts of all n-grams of its distinct sets."""
+    total = np.zeros(COUNTERS, np.int64)
+    seen: set[int] = set()
     for batch, sets in _sets(batches):
         names = [signature(s) for s in sets]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()),
-                                          pa.nulls(len(sets), pa.binary())], schema=_SIGNED)
-        for name, grams in zip(names, sets, strict=True):
-            if name not in seen:
-                seen.add(name)
-                held.append(grams)
-                size += len(grams)
-            if size >= BLOCK:
-                yield from batches_of(_SIGNED, repeated())
-                size = 0
-    yield from batches_of(_SIGNED, repeated())
+                                          pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=_SIGNED)
+        if len(seen) > 500_000:
+            seen.clear()
+        new = [s for name, s in zip(names, sets, strict=True) if name not in seen and not seen.add(name)]
+        if new:
+            total += np.bincount(counter_of(np.concatenate(new)), minlength=COUNTERS)
+    cut = np.minimum(total, 0xFFFFFFFF).astype("<u4").reshape(PIECES, -1)
+    yield from batches_of(_SIGNED, ({"doc_id": None, "at": None, "n_shingles": None, "sig": None, "piece": i, "counts": cut[i].tobytes()} for i in range(PIECES) if cut[i].any()))
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            both = np.frombuffer(raw, np.int64).reshape(2, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["gram", "n"])
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(COUNTERS // PIECES, np.int64)
+    for raw in pdf["counts"]:
+        total += np.frombuffer(raw, "<u4")
+    return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "counts": [total.astype("<i8").tobytes()]})
 
 
-def frequent(signed_rows: DataFrame) -> np.ndarray:
-    """The most frequent n-grams with their counts, sorted by n-gram: at most FREQUENT, 16 bytes each."""
-    counts = signed_rows.where("grams is not null").select("grams").mapInArrow(_unpack, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = counts.where("n >= 8").orderBy(F.desc("n"), "gram").limit(FREQUENT).toArrow()
-    grams = top.column("gram").to_numpy().view(np.uint64)
-    order = np.argsort(grams)
-    return np.stack([grams[order], top.column("n").to_numpy().astype(np.uint64)[order]])
+def frequencies(signed_rows: DataFrame) -> np.ndarray:
+    """Estimated document frequency by counter, over all documents: the tasks' counts added up, 8 bytes a counter."""
+    sums = signed_rows.where("piece is not null").select("piece", "counts").groupBy("piece").applyInPandas(_added, "piece int, counts binary")
+    out = np.zeros((PIECES, COUNTERS // PIECES), np.int64)
+    for row in sums.collect():
+        out[row.piece] = np.frombuffer(row.counts, "<i8")
+    return out.ravel()
 
 
 _ENTRIES = pa.schema([("frag", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())])
@@ -147,7 +139,7 @@ def _prefixes(common, n_frag: int):
         total = 0
         for _, sets in _sets(batches):
             flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-            df = _frequency(rare_first, flat)
+            df = rare_first[counter_of(flat)]
             at = 0
             for grams in sets:
                 n = len(grams)
@@ -157,7 +149,7 @@ def _prefixes(common, n_frag: int):
                     continue
                 seen.add(name)
                 p = n - -(-NEED * n // OF) + 1
-                keys.append(grams[np.lexsort((grams, own))[:p]] if own.any() else grams[:p])
+                keys.append(grams[np.lexsort((grams, own))[:p]])
                 sigs.append(name)
                 sizes.append(n)
                 total += p
@@ -169,13 +161,6 @@ def _prefixes(common, n_frag: int):
     return run
 
 
-def _frequency(common: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    if not common.shape[1]:
-        return np.zeros(len(grams), np.uint64)
-    at = np.minimum(np.searchsorted(common[0], grams), common.shape[1] - 1)
-    return np.where(common[0][at] == grams, common[1][at], np.uint64(0))
-
-
 def fragment_of(grams: np.ndarray, n_frag: int) -> np.ndarray:
     return ((grams >> np.uint64(40)) * np.uint64(n_frag) >> np.uint64(24)).astype(np.int32)
 
@@ -294,10 +279,10 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     The links connect exactly the documents that similar pairs connect; they need not hold each similar pair.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("at"), F.col(text).alias("text"))
-    signed_rows = stage(rows.mapInArrow(_sign, "doc_id bigint, at bigint, n_shingles bigint, sig bigint, grams binary"))
+    signed_rows = stage(rows.mapInArrow(_sign, "doc_id bigint, at bigint, n_shingles bigint, sig bigint, piece int, counts binary"))
     named = signed_rows.where("sig is not null").select("doc_id", "at", "n_shingles", "sig")
     spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(frequent(signed_rows))
+    common = spark.sparkContext.broadcast(frequencies(signed_rows))
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
     n_frag = max(partitions(spark), total // (4 * FRAGMENT))
     entries = rows.select("text").mapInArrow(_prefixes(common, n_frag), "frag int, n bigint, blob binary")
