@@ -330,26 +330,26 @@ def _(spark, d):
     return B.ip_domain_heatmap(packets(spark, d), "8.8.1.8")
 
 
-RATE_SQL = W + """, tl as (select session_id, ts, len from packets where ip_src is not null and ip_dst is not null), b0 as (select session_id, min(ts) as t0, cast(floor(max(ts) - min(ts)) as bigint) + 1 as n from tl group by all),
-  b1 as (select *, case when n > 20000 then n // 20000 else 1 end as stride from b0), gr as (select session_id, stride, unnest(range(0, least(cast(ceil(n / stride) as bigint), 20000))) as bin from b1),
-  ps as (select session_id, cast(floor(ts - t0) as bigint) as second, avg(len) as m from tl join b0 using (session_id) group by all),
-  rate as (select gr.session_id, bin, bin * stride as second, coalesce(m, 0.0) as mean_size from gr left join ps on ps.session_id = gr.session_id and ps.second = bin * stride) """
+# Every minute of the sessions and every packet in it.
+RATE_SQL = W + """, tl as (select session_id, ts, len from packets where ip_src is not null and ip_dst is not null), b0 as (select session_id, min(ts) as t0, max(ts) as t1 from tl group by all),
+  gr as (select session_id, unnest(range(0, cast(floor((t1 - t0) / 60) as bigint) + 1)) as bin from b0), ps as (select session_id, cast(floor((ts - t0) / 60) as bigint) as bin, avg(len) as m from tl join b0 using (session_id) group by all),
+  rate as (select session_id, bin, bin * 60 as second, coalesce(m, 0.0) as mean_size from gr left join ps using (session_id, bin)) """
 
 
 @C.add("b05_w05_rate_series", RATE_SQL + f"select session_id, bin, second, {rd('mean_size')} as mean_size from rate")
 def _(spark, d):
-    return B.rate_series(packets(spark, d))
+    return B.rate_series(packets(spark, d), bin_s=60)
 
 
 @C.add("w03_lag_sequences", RATE_SQL + f", l as (select session_id, bin, second, mean_size, " + ", ".join(f"lag(mean_size, {i}) over (partition by session_id order by bin) as lag_{i}" for i in range(1, 11))
        + f" from rate) select session_id, bin, second, {rd('mean_size')} as target, " + ", ".join(f"{rd(f'lag_{i}')} as lag_{i}" for i in range(1, 11)) + " from l where lag_10 is not null")
 def _(spark, d):
-    return B.lag_sequences(B.rate_series(packets(spark, d)))
+    return B.lag_sequences(B.rate_series(packets(spark, d), bin_s=60))
 
 
 @C.add("w04_chronological_split", RATE_SQL + "select session_id, bin, row_number() over (partition by session_id order by bin) <= floor(count(*) over (partition by session_id) * 0.8) as is_train from rate")
 def _(spark, d):
-    return B.chronological_split(B.rate_series(packets(spark, d))).select("session_id", "bin", "is_train")
+    return B.chronological_split(B.rate_series(packets(spark, d), bin_s=60)).select("session_id", "bin", "is_train")
 
 
 @C.add("b07_view_health", FF + "select session_id, case when count(total_bytes) = 0 then 'empty' when count(*) >= 8 and min(total_bytes) = max(total_bytes) then 'uniform' else 'ok' end as health from flow_features group by all")

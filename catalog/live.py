@@ -38,7 +38,8 @@ def text_folder(spark, d) -> str:
     if key not in _text:
         path = _fresh(spark, "export")
         raw = raw_packets_from_events(spark, d)
-        raw.select(F.concat_ws("|", *BASE_FIELDS).alias("value")).write.text(path)
+        # Six files, each a range of time, so that a stream over them has several batches.
+        raw.select(F.col("ts").cast("double").alias("_at"), F.concat_ws("|", *BASE_FIELDS).alias("value")).repartitionByRange(6, "_at").select("value").write.text(path)
         _text[key] = path
     return _text[key]
 
@@ -56,8 +57,8 @@ def _collect_stream(spark, stream, mode: str):
     return spark.read.parquet(path)
 
 
-def _live(spark, d):
-    return L.live_packets(stream_packets(spark, text_folder(spark, d)))
+def _live(spark, d, files: int | None = 1):
+    return L.live_packets(stream_packets(spark, text_folder(spark, d), max_files_per_trigger=files, session="S1"))
 
 
 @C.add("s01_read_packets", W1 + f"select {rd('ts')} as ts, len, ip_src, ip_dst, proto, tcp_dport, dns_qname, dns_response, tls_sni from packets")
@@ -126,7 +127,7 @@ def _(spark, d):
 @C.add("t04_snapshot_equals_batch", W1 + f"select ip, \"count\", total_bytes, {rd('std_len')} as std_len, unique_dsts, syn_count from features")
 def _(spark, d):
     folder = _fresh(spark, "snapshot")
-    q = L.snapshots(_live(spark, d), folder, lambda p: {"ip_features": A.ip_features(p)}, _fresh(spark, "state"))
+    q = L.snapshots(_live(spark, d, 3), folder, lambda p: {"ip_features": A.ip_features(p)}, _fresh(spark, "state"))
     q.awaitTermination()
     got = spark.read.parquet(f"{folder}/ip_features")
     last = got.agg(F.max("epoch")).first()[0]
@@ -148,8 +149,8 @@ def _(spark, d):
 def _(spark, d):
     rows = table(spark, d, "events").select(F.sha2(F.concat(F.lit("u"), F.col("user_id").cast("string")), 256).alias("sha256"), F.col("ts").cast("timestamp").alias("received_at"))
     path = _fresh(spark, "uploads")
-    rows.write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).parquet(path)
+    rows.repartitionByRange(5, "received_at").write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return _collect_stream(spark, L.dedup_chunks(stream), "append").select("sha256")
 
 

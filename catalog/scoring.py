@@ -129,12 +129,12 @@ def _(spark, d):
 
 @C.add("m08_rate_anomaly")
 def _(spark, d):
-    return M.rate_anomaly(packets(spark, d))
+    return M.rate_anomaly(packets(spark, d), bin_s=60)
 
 
 @C.add("b06_error_histogram")
 def _(spark, d):
-    return M.error_histogram(M.rate_anomaly(packets(spark, d)))
+    return M.error_histogram(M.rate_anomaly(packets(spark, d), bin_s=60))
 
 
 Z_SQL = WF + f", z as ({_std_sql(FEATURES_PROFILE, 'stddev_samp', 'features', private_sql('ip'))}) "
@@ -172,4 +172,4 @@ def _(spark, d):
     x = cut_lineage(M.standardize(f))
     eps = cut_lineage(M.knn_elbow_eps(x))
     quality = cut_lineage(M.silhouette(x, cut_lineage(M.dbscan(x, eps))))
-    return M.model_diagnostics(cut_lineage(M.isolation_forest(f)), eps, quality, cut_lineage(M.rate_anomaly(p)))
+    return M.model_diagnostics(cut_lineage(M.isolation_forest(f)), eps, quality, cut_lineage(M.rate_anomaly(p, bin_s=60)))

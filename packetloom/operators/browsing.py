@@ -65,33 +65,35 @@ def ip_domain_heatmap(packets: DataFrame, ip: str, *, by=BY, bins: int = 30, n:
             .groupBy(*by, "domain", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n")))
 
 
-def rate_series(packets: DataFrame, *, by=BY, max_bins: int = 20_000) -> DataFrame:
-    """Mean packet size per second, 0 in silent seconds; long sessions are thinned to every k-th second.
+#: Bins that one task generates and orders together.
+SLICE = 3600
 
-    Only the seconds that are kept are generated, so a session has at most ``max_bins`` rows."""
+
+def rate_series(packets: DataFrame, *, by=BY, bin_s: float = 1.0) -> DataFrame:
+    """Mean packet size of every bin of ``bin_s`` seconds, 0 in silent bins, for the whole session: bins are numbered from 0 without
+    gaps, and every packet is in one of them. The bins are generated slice by slice."""
     rows = timeline(packets, by=by)
     start = rows.groupBy(*by).agg(F.min("time").alias("_t0"), F.max("time").alias("_t1"))
-    per_s = rows.join(start, list(by)).groupBy(*by, F.floor(F.col("time") - F.col("_t0")).alias("second")).agg(
-        F.avg("size").alias("mean_size"))
-    n = F.floor(F.col("_t1") - F.col("_t0")) + 1
-    stride = F.when(n > max_bins, F.floor(n / max_bins)).otherwise(1)
-    kept = F.least(F.ceil(n / F.col("stride")), F.lit(max_bins))
-    grid = start.withColumn("stride", stride).select(
-        *by, "stride", F.explode(F.sequence(F.lit(0).cast("bigint"), kept - 1)).alias("bin"))
-    grid = grid.withColumn("second", F.col("bin") * F.col("stride"))
-    return grid.join(per_s, [*by, "second"], "left").select(
-        *by, "bin", "second", F.coalesce("mean_size", F.lit(0.0)).alias("mean_size"))
+    at = lambda time: F.floor((F.col(time) - F.col("_t0")) / bin_s)
+    filled = rows.join(start, list(by)).groupBy(*by, at("time").alias("bin")).agg(F.avg("size").alias("mean_size"))
+    slices = start.withColumn("_last", at("_t1")).withColumn("_s", F.explode(F.expr(f"sequence(0L, _last div {SLICE})")))
+    grid = slices.select(*by, F.explode(F.expr(f"sequence(_s * {SLICE}, least(_last, _s * {SLICE} + {SLICE - 1}))")).alias("bin"))
+    return grid.join(filled, [*by, "bin"], "left").select(
+        *by, "bin", F.floor(F.col("bin") * bin_s).alias("second"), F.coalesce("mean_size", F.lit(0.0)).alias("mean_size"))
 
 
 def lag_sequences(series: DataFrame, *, by=BY, order: str = "bin", value: str = "mean_size", lags: int = 10) -> DataFrame:
     """Each value with the ``lags`` values before it; the first ``lags`` rows have none and are left out.
-    A series is bounded by the thinning above, so one window task holds at most that many rows."""
-    w = Window.partitionBy(*by).orderBy(order)
-    out = series.withColumns({f"lag_{i}": F.lag(value, i).over(w) for i in range(1, lags + 1)})
-    return out.withColumnRenamed(value, "target").where(F.col(f"lag_{lags}").isNotNull())
+
+    ``order`` numbers the rows without gaps. A window holds one slice of it: the last rows of a slice are copied to the next one."""
+    home = F.floor(F.col(order) / SLICE)
+    both = F.when(F.pmod(order, F.lit(SLICE)) >= SLICE - lags, F.array(home, home + 1)).otherwise(F.array(home))
+    w = Window.partitionBy(*by, "_slice").orderBy(order)
+    out = series.withColumn("_slice", F.explode(both)).withColumns({f"lag_{i}": F.lag(value, i).over(w) for i in range(1, lags + 1)})
+    return out.where((F.col("_slice") == home) & F.col(f"lag_{lags}").isNotNull()).drop("_slice").withColumnRenamed(value, "target")
 
 
 def chronological_split(rows: DataFrame, *, by=BY, order: str = "bin", share: float = 0.8) -> DataFrame:
-    w = Window.partitionBy(*by)
-    return (rows.withColumns({"_rn": F.row_number().over(w.orderBy(order)), "_n": F.count(F.lit(1)).over(w)})
-            .withColumn("is_train", F.col("_rn") <= F.floor(F.col("_n") * share)).drop("_rn", "_n"))
+    """Whether a row is among the first ``share`` of its session; ``order`` numbers the rows from 0 without gaps."""
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    return rows.join(sizes, list(by)).withColumn("is_train", F.col(order) < F.floor(F.col("_n") * share)).drop("_n")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, rank: str = "rank") -> DataFrame:
     """First ``n`` rows of every group. ``row_number() <= n`` lets Spark cut each group before the shuffle
@@ -72,6 +74,26 @@ def max_distinct_in_window(df: DataFrame, keys: Sequence[str], ts: str, item: st
     return seen.groupBy(*keys).agg(F.max("_n").cast("bigint").alias(out))
 
 
+def components(links: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, node, root: the smallest node that the links (a, b) of the same keys reach from each node that has a link.
+
+    Every round replaces each label by the least one among the node, its neighbours and the label's own label, and is written to the
+    checkpoint folder. The labels only fall, so their changes end; labels that jump make the number of rounds small."""
+    keys = list(keys)
+    both = staged(links.select(*keys, F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
+        links.select(*keys, F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
+    labels = staged(both.groupBy(*keys, "node").agg(F.least("node", F.min("other")).alias("root")))
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "other"), [*keys, "other"]).select(*keys, "node", "root")
+        jump = labels.select(*keys, "node", F.col("root").alias("_r")).join(
+            labels.select(*keys, F.col("node").alias("_r"), "root"), [*keys, "_r"]).select(*keys, "node", "root")
+        least = near.unionByName(jump).groupBy(*keys, "node").agg(F.min("root").alias("_new"))
+        both_labels = staged(labels.join(least, [*keys, "node"]).select(*keys, "node", F.col("root").alias("_old"), F.least("root", "_new").alias("root")))
+        labels = both_labels.drop("_old")
+        if both_labels.where("root <> _old").isEmpty():
+            return labels
+
+
 def _cell(value: Column) -> Column:
     """Monotone cell number of a value, about 0.001 % wide: few distinct values share a cell."""
     return F.floor(F.signum(value) * F.log2(1 + F.abs(value) * 1e6) * 64_000).cast("bigint")

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import behaviour_tags, distance_bucket, is_private, rssi_distance_m, subnet24
+from ..session import cut_lineage
 from ..sources.schema import FEATURES_MAP, FEATURES_MODEL, FEATURES_PROFILE
 from .browsing import lag_sequences, rate_series
-from .common import quantiles, top_per_group, unpivot
+from .common import components, quantiles, top_per_group, unpivot
 from .features import BY, timeline
 
 
@@ -220,11 +221,6 @@ def _key_schema(df: DataFrame, by) -> str:
     return ", ".join(f"`{k}` {types[k]}" for k in by)
 
 
-def _within_cap(x: DataFrame, by, cap: int) -> DataFrame:
-    small = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= cap).select(*by)
-    return x.join(small, list(by), "left_semi")
-
-
 def nearest_distances(x: DataFrame, cols: Sequence[str], *, by=BY, block: int = 500) -> DataFrame:
     """Distance of every point to the nearest other point of its group."""
     cols, by = list(cols), list(by)
@@ -242,10 +238,9 @@ def nearest_distances(x: DataFrame, cols: Sequence[str], *, by=BY, block: int =
         "d", F.when(F.col("d") == float("inf"), F.lit(0.0)).otherwise(F.col("d")))
 
 
-def knn_elbow_eps(x: DataFrame, cols: Sequence[str] = FEATURES_MODEL, *, by=BY, cap: int = 5000, block: int = 500) -> DataFrame:
-    """Radius at the sharpest bend of the sorted nearest-neighbour distances. Sessions above ``cap`` get none,
-    since they are not clustered; a session's list therefore holds at most ``cap`` numbers."""
-    near = nearest_distances(_within_cap(x, by, cap), cols, by=by, block=block)
+def knn_elbow_eps(x: DataFrame, cols: Sequence[str] = FEATURES_MODEL, *, by=BY, block: int = 500) -> DataFrame:
+    """Radius at the sharpest bend of the sorted nearest-neighbour distances, one number per host, ordered by session."""
+    near = nearest_distances(x, cols, by=by, block=block)
     w = Window.partitionBy(*by).orderBy(F.desc("d"), F.asc("ip"))
     bent = near.withColumns({"_i": F.row_number().over(w), "_k1": F.lead("d", 1).over(w), "_k2": F.lead("d", 2).over(w)})
     bend = F.when(F.col("_k2").isNotNull(), F.col("_k2") - 2 * F.col("_k1") + F.col("d"))
@@ -277,15 +272,14 @@ def _forest_edges(a, b, d, eps, same):
     return edges
 
 
-def dbscan(x: DataFrame, eps: DataFrame, cols: Sequence[str] = FEATURES_MODEL, *, by=BY, cap: int = 5000,
-           block: int = 500) -> DataFrame:
+def dbscan(x: DataFrame, eps: DataFrame, cols: Sequence[str] = FEATURES_MODEL, *, by=BY, block: int = 500) -> DataFrame:
     """Density clusters with two points as minimum: the connected components of the points within eps.
 
-    Returns ip, cluster (numbered by the smallest address in it) and -1 for lonely points; every point of a
-    session above ``cap`` is -1."""
+    Returns ip, cluster (numbered by the smallest address in it) and -1 for lonely points. A task returns spanning links of two
+    blocks, and the links are joined by rounds of groupings, so no session is gathered in one place."""
     cols, by = list(cols), list(by)
     schema = _key_schema(x, by)
-    small = x.join(eps.where(F.col("n_points") <= cap).select(*by, "eps"), by)
+    rows = x.join(eps.select(*by, "eps"), by)
 
     def edges(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, d, same = _distances(pdf, cols)
@@ -295,30 +289,11 @@ def dbscan(x: DataFrame, eps: DataFrame, cols: Sequence[str] = FEATURES_MODEL, *
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
-    links = _block_pairs(small, by, block).groupBy(*by, "_bi", "_bj").applyInPandas(edges, f"{schema}, a string, b string")
-
-    def components(pdf: pd.DataFrame) -> pd.DataFrame:
-        # At most cap points, and fewer links than cap times the number of blocks.
-        parent: dict[str, str] = {}
-
-        def root(i):
-            parent.setdefault(i, i)
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for i, j in zip(pdf["a"], pdf["b"]):
-            ri, rj = sorted((root(i), root(j)))
-            parent[rj] = ri
-        roots = {i: root(i) for i in parent}
-        number = {r: n for n, r in enumerate(sorted(set(roots.values())))}
-        out = pd.DataFrame([(i, number[r]) for i, r in roots.items()], columns=["ip", "cluster"])
-        for k in reversed(by):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    found = links.groupBy(*by).applyInPandas(components, f"{schema}, ip string, cluster int")
+    links = _block_pairs(rows, by, block).groupBy(*by, "_bi", "_bj").applyInPandas(edges, f"{schema}, a string, b string")
+    roots = components(links, by)
+    heads = roots.select(*by, "root").distinct()
+    number = heads.withColumn("cluster", F.row_number().over(Window.partitionBy(*by).orderBy("root")) - 1)
+    found = roots.join(number, [*by, "root"]).select(*by, F.col("node").alias("ip"), "cluster")
     return x.select(*by, "ip").join(found, [*by, "ip"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
 
 
@@ -427,14 +402,14 @@ def behaviour_projection(features: DataFrame, cols: Sequence[str] = FEATURES_MAP
 
 # ---- rate anomaly -----------------------------------------------------------------------------
 
-def rate_anomaly(packets: DataFrame, *, by=BY, lags: int = 10, train_share: float = 0.8, max_bins: int = 20_000,
+def rate_anomaly(packets: DataFrame, *, by=BY, lags: int = 10, train_share: float = 0.8, bin_s: float = 1.0,
                  min_bins: int = 20, sigmas: float = 2.0) -> DataFrame:
-    """Seconds whose mean packet size a linear predictor on the ``lags`` seconds before misses by far.
+    """Bins whose mean packet size a linear predictor on the ``lags`` bins before misses by far.
 
     Spark sums the products of the lags; the normal equations of a session (one row) give its weights. The
     threshold is the mean error of the last fifth plus ``sigmas`` deviations. Short sessions are left out."""
     by = list(by)
-    series = rate_series(packets, by=by, max_bins=max_bins)
+    series = cut_lineage(rate_series(packets, by=by, bin_s=bin_s))
     limits = series.groupBy(*by).agg(F.min("mean_size").alias("_lo"), F.max("mean_size").alias("_hi"),
                                      F.count(F.lit(1)).alias("_bins")).where(F.col("_bins") >= min_bins)
     span = F.col("_hi") - F.col("_lo")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,12 +27,17 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder named by ``spark.checkpoint.dir``; make a private one only if it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``. A private one is made only in local mode, where there is one machine;
+    on a cluster an unset folder is an error, since every executor would write to its own disk."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    target = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="packetloom-ckpt-")
+    target = spark.conf.get("spark.checkpoint.dir", None)
+    if not target:
+        if not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        target = tempfile.mkdtemp(prefix="packetloom-ckpt-")
     sc.setCheckpointDir(target)
     return target
 
@@ -39,3 +46,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, unlike a local one."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written once as Parquet to the shared folder and read again. Unlike a checkpoint it brings no constraints of its old plan
+    along, which in loops would double from round to round."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schema import BASE_FIELDS, PACKET_FIELDS, PORT_FIELDS, raw_schema
 
 
-def read_packets(spark: SparkSession, paths, sep: str = "|", fields=BASE_FIELDS) -> DataFrame:
-    """Header-less, unquoted delimited export (plain or compressed); every field is text."""
-    return (spark.read.schema(raw_schema(fields))
+def read_packets(spark: SparkSession, paths, sep: str = "|", fields=BASE_FIELDS, session: Column | str | None = None) -> DataFrame:
+    """Header-less, unquoted delimited export (plain or compressed); every field is text.
+
+    ``session`` names the session of the packets: a text, or an expression, for instance over ``_metadata.file_path``. By default
+    every file is one capture and its name up to the first dot is the session."""
+    rows = (spark.read.schema(raw_schema(fields))
             .option("sep", sep).option("header", False).option("quote", "").option("mode", "PERMISSIVE")
             .csv(paths))
+    if session is None:
+        session = F.regexp_extract("_metadata.file_name", r"^[^.]*", 0)
+    return rows.withColumn("session_id", F.lit(session))
 
 
 def stream_packets(spark: SparkSession, path: str, sep: str = "|", fields=BASE_FIELDS, min_fields: int = 16,
-                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """One packet per line from a growing folder; lines with fewer than ``min_fields`` fields are skipped."""
+                   max_files_per_trigger: int | None = None, *, session: str) -> DataFrame:
+    """One packet per line from a growing folder, which is the feed of one session; lines with fewer than ``min_fields`` fields
+    are skipped."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     parts = F.split("value", "[" + sep + "]")
     lines = reader.load(path).where(F.array_size(parts) >= min_fields)
-    return lines.select(*[F.get(parts, F.lit(i)).alias(name) for i, name in enumerate(fields)])
+    return lines.select(*[F.get(parts, F.lit(i)).alias(name) for i, name in enumerate(fields)], F.lit(session).alias("session_id"))
 
 
 def read_packet_list(spark: SparkSession, path) -> DataFrame:
@@ -58,7 +65,6 @@ def normalize_packets(raw: DataFrame, by=("session_id",)) -> DataFrame:
     absent = [c for c in PACKET_FIELDS if c not in present]
     ports = [c for c in absent if c in PORT_FIELDS]
     fill = {c: F.lit(None).cast("int" if c in ports else "string") for c in absent}
-    for key in by:
-        if key not in present:
-            fill[key] = F.lit("S1")
+    if missing := [key for key in by if key not in present]:
+        raise ValueError(f"packets without a session: {missing}")
     return df.withColumns(fill) if fill else df

@@ -55,8 +55,9 @@ def live_ip_features(packets: DataFrame, *, window: str = "5 minutes", by=("sess
 
 
 def _first_seen(pairs: DataFrame, keys, watermark_column: str = "event_time") -> DataFrame:
-    """Each distinct key combination once: state holds one entry per pair, not a growing set per key."""
-    return pairs.dropDuplicatesWithinWatermark(list(keys)).drop(watermark_column)
+    """Each distinct key combination once in the life of the stream: state holds one entry per pair and keeps it, so a pair that
+    comes again after hours is not emitted again. The event time goes first, so late rows count too."""
+    return pairs.drop(watermark_column).dropDuplicates(list(keys))
 
 
 def live_arp_pairs(packets: DataFrame, *, by=("session_id",)) -> DataFrame:
@@ -96,9 +97,9 @@ def sliding_fusion(signals: DataFrame, *, by=("session_id",), window: str = "15
                     F.array_join(F.sort_array("_t"), ";").alias("techniques"))
 
 
-def dedup_chunks(chunks: DataFrame, *, time: str = "received_at", watermark: str = WATERMARK) -> DataFrame:
-    """Uploads sent again within the watermark are dropped by content hash."""
-    return chunks.withWatermark(time, watermark).dropDuplicatesWithinWatermark(["sha256"])
+def dedup_chunks(chunks: DataFrame) -> DataFrame:
+    """Uploads sent again are dropped by content hash, however late; state holds one hash per distinct upload."""
+    return chunks.dropDuplicates(["sha256"])
 
 
 def snapshots(packets: DataFrame, folder: str, batch: Callable[[DataFrame], dict[str, DataFrame]], checkpoint: str,

@@ -101,7 +101,35 @@ def test_dbscan_blocks_do_not_change_the_result(spark):
     one = {r.ip: r.cluster for r in scoring.dbscan(x, eps, block=1000).collect()}
     many = {r.ip: r.cluster for r in scoring.dbscan(x, eps, block=16).collect()}
     assert one == many
-    assert {r.cluster for r in scoring.dbscan(x, eps, cap=100).collect()} == {-1}
+
+
+def test_dbscan_of_a_session_with_many_hosts(spark):
+    cols = scoring.FEATURES_MODEL
+    rows = [("S1", f"h{i:05d}", *([1000.0 * (i % 3) + i // 3 * 0.001] + [0.0] * (len(cols) - 1))) for i in range(6000)] + [("S1", "lone", *([-500.0] * len(cols)))]
+    x = spark.createDataFrame(rows, "session_id string, ip string, " + ", ".join(f"{c} double" for c in cols))
+    eps = spark.createDataFrame([("S1", 6001, 0.5)], "session_id string, n_points bigint, eps double")
+    got = {r.ip: r.cluster for r in scoring.dbscan(x, eps, block=2000).collect()}
+    assert got.pop("lone") == -1 and len(got) == 6000
+    assert all(c == int(ip[1:]) % 3 for ip, c in got.items())
+
+
+def test_components_of_chains(spark):
+    rng = random.Random(8)
+    nodes = [f"n{i:03d}" for i in range(60)]
+    rng.shuffle(nodes)
+    pairs = [("k", a, b) for a, b in zip(nodes[:40], nodes[1:40])] + [("k", a, b) for a, b in zip(nodes[40:], nodes[41:])] + [("l", "n0", "n9")]
+    got = {(r.k, r.node): r.root for r in common.components(spark.createDataFrame(pairs, "k string, a string, b string"), ["k"]).collect()}
+    want = {("k", n): min(part) for part in (nodes[:40], nodes[40:]) for n in part} | {("l", "n0"): "n0", ("l", "n9"): "n0"}
+    assert got == want
+
+
+def test_sessions_come_from_the_files(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.txt").write_text("1.5|60\n2.5|70\n")
+    got = P.normalize_packets(P.read_packets(spark, str(tmp_path), fields=("ts", "len")))
+    assert sorted((r.session_id, r.ts) for r in got.collect()) == [("a", 1.5), ("a", 2.5), ("b", 1.5), ("b", 2.5)]
+    with pytest.raises(ValueError, match="session"):
+        P.normalize_packets(got.drop("session_id"))
 
 
 def test_rate_anomaly_flags_a_burst(make):
@@ -136,7 +164,7 @@ def test_cosine_slices_and_filter(spark):
     q = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(12)], "query_id bigint, vec array<double>")
     c = spark.createDataFrame([(i, rng.normal(size=8).tolist(), {"kind": "a" if i % 2 else "b"}) for i in range(60)], "chunk_id bigint, vec array<double>, meta map<string,string>")
     one = {(r.query_id, r.chunk_id) for r in retrieval.cosine_topk(q, c, k=3, where={"kind": "a"}).collect()}
-    cut = {(r.query_id, r.chunk_id) for r in retrieval.cosine_topk(q, c, k=3, where={"kind": "a"}, max_queries=4).collect()}
+    cut = {(r.query_id, r.chunk_id) for r in retrieval.cosine_topk(q, c, k=3, where={"kind": "a"}, max_queries=4, max_chunks=7).collect()}
     assert one == cut and len(one) == 36 and all(c % 2 for _, c in one)
 
 
