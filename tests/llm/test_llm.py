@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import html
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -176,6 +178,39 @@ def test_lines_one_letter_apart_meet_where_simhash_agrees(spark):
     assert all(got[k] == t for k, t in enumerate(base)) and sum(got[100 + k] == "" for k in range(20)) >= 15
 
 
+def edits(a, b):
+    a, b = np.frombuffer(a.encode("utf-32"), np.uint32)[1:], np.frombuffer(b.encode("utf-32"), np.uint32)[1:]
+    row, place = np.arange(len(b) + 1), np.arange(len(b) + 1)
+    for i, c in enumerate(a):
+        step = np.concatenate([[i + 1], np.minimum(row[1:] + 1, row[:-1] + (b != c))])
+        row = np.minimum.accumulate(step - place) + place
+    return row[-1]
+
+
+def test_lines_recall_against_brute_force(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("aeioubcdlmnrst") for _ in range(rng.randint(2, 10))) for _ in range(3000)]
+    some = lambda n: rng.choices(words, [1 / (k + 5) for k in range(3000)], k=n)
+    lines = []
+    for k in range(240):
+        base = some(rng.randint(20, 130))
+        copy = list(base)
+        for i in rng.sample(range(len(copy)), 1 if k % 3 == 0 else max(1, len(copy) // 12)):
+            copy[i] = rng.choice(words) if k % 3 < 2 else copy[i][:-1] + "z"
+        lines += [" ".join(base), " ".join(copy)]
+    counts = [Counter(x[i:i + 3] for i in range(len(x) - 2)) for x in lines]  # an edit changes at most three of them
+    similar = []
+    for a, b in combinations(range(len(lines)), 2):
+        most = max(len(lines[a]), len(lines[b])) // 10
+        if abs(len(lines[a]) - len(lines[b])) <= most and sum((counts[a] - counts[b]).values()) <= 3 * most and edits(lines[a], lines[b]) <= most:
+            similar.append((a, b))
+    assert len(similar) >= 150
+    got = fuzzy_lines.dedupe(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).collect()
+    dropped = {r.doc_id for r in got if r.text == ""}
+    assert dropped <= {b for _, b in similar}
+    assert sum(b in dropped for _, b in similar) >= 0.9 * len(similar)
+
+
 def shingles(text):
     w = SPACED.findall(low(text))
     return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
