@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def kept_by_worker(key: Hashable, make: Callable[[], object]) -> object:
+    """What `make` gives, kept by the Python worker for the next tasks it runs. Functions arrive anew with every task, so their own
+    module cannot hold it."""
+    holder = sys.modules.setdefault("_packetloom_worker", types.ModuleType("_packetloom_worker"))
+    kept = holder.__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered for short words."""
 

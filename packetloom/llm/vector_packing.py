@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import stage
+from packetloom.llm.common import kept_by_worker, stage
 
-#: Chunks whose ids a task remembers before it starts anew; bounds its memory.
-CACHED_CHUNKS = 600_000
+#: Chunks whose ids a worker remembers before it starts anew; bounds its memory.
+CACHED_CHUNKS = 1_000_000
 #: Characters that are encoded together.
 SLICE_CHARS = 2_000_000
 #: Items that are packed together, on average.
@@ -78,7 +78,7 @@ _ITEMS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 
 def _items(tokenizer: str, limits: Limits, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkIds(tokenizer)
+        encoder = kept_by_worker(("chunk ids", tokenizer), lambda: ChunkIds(tokenizer))
         room = limits.tokens
 
         def rows(docs: list, prompts: list[str], texts: list[str]) -> pa.RecordBatch:
