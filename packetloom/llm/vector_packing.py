@@ -120,7 +120,8 @@ class Pool:
         self.left = np.zeros(3, np.int64)
         self.row: dict[tuple[int, int], int] = {}
         self.stacks: list[list] = []
-        self.size = np.zeros((64, 3), np.int64)
+        self.cubed = self.limits.astype(float) ** 3
+        self.size = np.zeros((64, 3), np.int64, order="F")
         self.held = np.zeros(64, np.int64)
         for item in items:
             self.add(item)
@@ -131,7 +132,7 @@ class Pool:
         if row == len(self.stacks):
             self.stacks.append([])
             if row == len(self.held):
-                self.size = np.concatenate([self.size, np.zeros_like(self.size)])
+                self.size = np.asfortranarray(np.concatenate([self.size, np.zeros_like(self.size)]))
                 self.held = np.concatenate([self.held, np.zeros_like(self.held)])
             self.size[row] = demand[0], 1, demand[1]
         self.stacks[row].append(item)
@@ -146,12 +147,19 @@ class Pool:
     def best(self, free: np.ndarray, whole: bool) -> int | None:
         """The kind with the largest dot product of its demand and the free room, each dimension in shares of its limit and weighted
         by what all unplaced items still demand of it. Only kinds that fit whole, or any of which a first token fits."""
-        open_to = self.held > 0
-        open_to &= (self.size <= free).all(axis=1) if whole else free[1] > 0
-        if not open_to.any():
+        if free[1] < 1:
             return None
-        scale = self.left / (self.limits.astype(float) ** 3)
-        return int(np.argmax(np.where(open_to, self.size @ (scale * free), -1.0)))
+        n = len(self.stacks)
+        tokens, loss = self.size[:n, 0], self.size[:n, 2]
+        open_to = self.held[:n] > 0
+        if whole:
+            open_to &= tokens <= free[0]
+            open_to &= loss <= free[2]
+        rows = np.flatnonzero(open_to)
+        if not len(rows):
+            return None
+        scale = free * self.left / self.cubed
+        return int(rows[np.argmax(tokens[rows] * scale[0] + scale[1] + loss[rows] * scale[2])])
 
 
 def fill(items: list[tuple[int, int, int, int]], limits: Limits, cut: bool = True) -> list[list[tuple[int, int, int, int]]]:

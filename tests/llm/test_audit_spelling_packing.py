@@ -209,12 +209,12 @@ def expected_ids(texts, name="byte_bpe_50k.json"):
     return [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
 
 
-ODD = ["a <|endoftext|>  b", "x\x1cy \x1c z", "\t\ttab\t x", "a b   c", " lead", "trail  ", "\n\n", "it's 'll  's ' s", "é́ 日本 語", "a\r\nb", "1 22  333", "\x85 n\x0bv"]
+ODD = ["a <|endoftext|>  b", "x\x1cy \x1c z", "\t\ttab\t x", "a b   c", " lead", "trail  ", "\n\n", "it's 'll  's ' s", "é́ 日本 語", "a\r\nb", "1 22  333", "\x85 n\x0bv", "naïve's ª º÷× ñandú'll", "'re'LL \x00\x7f a"]
 
 
 def test_chunks_give_the_ids_of_whole_texts():
     rng = random.Random(2)
-    texts = ODD + ["".join(rng.choice(["a", "B", " ", "  ", "\n", "\t", "'s", "7", "é", " ", "\x1d", "!", "<|endoftext|>", " "]) for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    texts = ODD + ["".join(rng.choice(["a", "B", "ñ", "'ll", "ª", "×", "\0", " ", "  ", "\n", "\t", "'s", "7", "é", " ", "\x1d", "!", "<|endoftext|>", " "]) for _ in range(rng.randint(0, 40))) for _ in range(500)]
     encoder = vector_packing.ChunkIds(tokenizer_path("byte_bpe_50k.json"))
     got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)]
     assert got == [x[:-1] for x in expected_ids(texts)]
