@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from packetloom.operators import features as A
@@ -13,8 +14,10 @@ from packetloom.sources.adapters import raw_packets_from_events
 from packetloom.sources.packets import normalize_packets, read_packet_list, read_packets, stream_packets
 from packetloom.sources.schema import BASE_FIELDS
 from packetloom.streaming import live as L
+from packetloom.streaming import state as ST
+from packetloom.streaming.folds import LiveTables, default_folds, host_features
 
-from .base import FEATURES_SQL, Catalog, packets, rd, rdd, table
+from .base import FEATURES_SQL, Catalog, packets, rd, rdd, stored, table
 from .detection import SIGNALS_SQL_R, signals
 from .features import W
 
@@ -44,12 +47,29 @@ def text_folder(spark, d) -> str:
     return _text[key]
 
 
+def feed_folder(spark, d) -> str:
+    """The export as a live feed: five files in order of time, then one with a packet that is days late."""
+    key = (spark.sparkContext.applicationId, d, "feed")
+    if key not in _text:
+        path = _fresh(spark, "feed")
+        raw = spark.read.text(text_folder(spark, d)).withColumn("_at", F.split_part("value", F.lit("|"), F.lit(1)).cast("double"))
+        cuts = [float("-inf"), *raw.stat.approxQuantile("_at", [0.2, 0.4, 0.6, 0.8], 0.01), float("inf")]
+        for lo, hi in zip(cuts, cuts[1:]):
+            raw.where((F.col("_at") > lo) & (F.col("_at") <= hi)).select("value").coalesce(1).write.mode("append").text(path)
+        late = {"ts": str(raw.agg(F.min("_at")).first()[0]), "len": "60", "eth_src": "02:99:99:99:99:99", "ip_src": "10.99.99.99", "ip_dst": "10.99.99.98", "proto": "LATE",
+                "dns_qname": "late.example", "arp_psrc": "10.99.99.99", "arp_hwsrc": "02:99:99:99:99:99", "tcp_sport": "9"}
+        spark.createDataFrame([("|".join(late.get(c, "") for c in BASE_FIELDS),)], "value string").coalesce(1).write.mode("append").text(path)
+        _text[key] = path
+    return _text[key]
+
+
 def _collect_stream(spark, stream, mode: str):
-    """Run a stream over what is there and return its last result as a table."""
+    """Run a stream over what is there and return its result as a table: the last one in mode complete, else all rows of all batches
+    with the number of their batch."""
     path = _fresh(spark, "stream")
 
     def keep(df, epoch):
-        df.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+        df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite" if mode == "complete" else "append").parquet(path)
 
     q = (stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", _fresh(spark, "state"))
          .trigger(availableNow=True).start())
@@ -61,6 +81,33 @@ def _live(spark, d, files: int | None = 1):
     return L.live_packets(stream_packets(spark, text_folder(spark, d), max_files_per_trigger=files, session="S1"))
 
 
+def _raw_feed(spark, d):
+    return stream_packets(spark, feed_folder(spark, d), max_files_per_trigger=1, session="S1")
+
+
+def _feed(spark, d):
+    return L.live_packets(_raw_feed(spark, d))
+
+
+def _items(spark, d):
+    """Change rows of the live counters, once per application: several queries look at them."""
+    changes = stored(spark, d, "live_items", lambda: _collect_stream(spark, ST.live_items(normalize_packets(_raw_feed(spark, d)), ["session", "device", "mac", "protocol", "dns"]), "update"))
+    return ST.item_totals(changes)
+
+
+def _tables(spark, d):
+    """Live tables folded over the feed, and the number of batches."""
+    key = (spark.sparkContext.applicationId, d, "tables")
+    if key not in _text:
+        _text[key] = _fresh(spark, "tables")
+        _live_tables(spark, _text[key]).start(normalize_packets(_raw_feed(spark, d)), _fresh(spark, "state")).awaitTermination()
+    return _live_tables(spark, _text[key]), 6
+
+
+def _live_tables(spark, folder):
+    return LiveTables(spark, folder, default_folds())
+
+
 @C.add("s01_read_packets", W1 + f"select {rd('ts')} as ts, len, ip_src, ip_dst, proto, tcp_dport, dns_qname, dns_response, tls_sni from packets")
 def _(spark, d):
     p = normalize_packets(read_packets(spark, text_folder(spark, d)))
@@ -95,43 +142,72 @@ def _(spark, d):
     return out.select(F.unix_seconds("window_start").alias("window_start"), "packets", "bytes", "mean_size")
 
 
-@C.add("t01_live_totals", W1 + f"select session_id, count(*) as packets, cast(sum(len) as bigint) as bytes, {rd('max(ts)')} as last_ts from packets group by all")
+@C.add("t01_live_totals", W1 + f"select session_id, count(*) as packets, cast(sum(len) as bigint) as bytes, count(distinct ip_src) as devices, count(distinct eth_src) as macs, count(distinct proto) as protocols, {rd('floor(max(ts) * 1000) / 1000', 3)} as last_ts from packets group by all")
 def _(spark, d):
-    return _collect_stream(spark, L.live_totals(_live(spark, d)), "complete").select("session_id", "packets", "bytes", "last_ts")
+    return ST.session_totals(_items(spark, d)).withColumn("last_ts", F.col("last_ms") / 1000).drop("last_ms")
 
 
 @C.add("t01_live_top_talkers", W1 + "select ip_src, count(*) as packets, cast(sum(len) as bigint) as bytes from packets where ip_src is not null group by all order by packets desc, ip_src limit 5")
 def _(spark, d):
-    t = _collect_stream(spark, L.live_counts(_live(spark, d), "ip_src"), "complete")
+    t = _items(spark, d).where("kind = 'device'").withColumnRenamed("item", "ip_src")
     return t.orderBy(F.desc("packets"), F.asc("ip_src")).limit(5).select("ip_src", "packets", "bytes")
 
 
+@C.add("t01_live_protocols", W1 + f"select session_id, proto, count(*) as packets, cast(sum(len) as bigint) as bytes, {rd('floor(min(ts) * 1000) / 1000', 3)} as first_ts from packets where proto is not null group by all")
+def _(spark, d):
+    t = _items(spark, d).where("kind = 'protocol'")
+    return t.select("session_id", F.col("item").alias("proto"), "packets", "bytes", (F.col("first_ms") / 1000).alias("first_ts"))
+
+
+_CLOSED = "having count(*) filter (ip_dst is not null) > 0 and window_start + 86400 <= (select max(ts) - 600 from packets)"
+
+
 @C.add("t02_live_ip_features", W1 + f"""select cast(floor(ts / 86400) as bigint) * 86400 as window_start, ip_src as ip, count(*) filter (ip_dst is not null) as "count", cast(sum(len) filter (ip_dst is not null) as bigint) as total_bytes,
-  {rd('avg(len) filter (ip_dst is not null)')} as mean_len, {rd('coalesce(stddev_samp(len) filter (ip_dst is not null), 0.0)')} as std_len, count(*) filter (tcp_flags is not null and fi & 63 = 2) as syn_count, count(*) filter (tcp_flags is not null and fi & 4 <> 0) as rst_count
-  from flagged where ip_src is not null group by window_start, ip_src having count(*) filter (ip_dst is not null) > 0""")
+  {rd('avg(len) filter (ip_dst is not null)')} as mean_len, {rd('coalesce(stddev_samp(len) filter (ip_dst is not null), 0.0)')} as std_len, count(distinct ip_dst) as unique_dsts,
+  count(*) filter (tcp_flags is not null and fi & 63 = 2) as syn_count, count(*) filter (tcp_flags is not null and fi & 4 <> 0) as rst_count, count(*) filter (tcp_flags is not null and fi & 63 = 1) as fin_count,
+  count(*) filter (tcp_flags is not null and fi & 63 = 0) as null_count, count(*) filter (tcp_flags is not null and fi & 63 = 41) as xmas_count from flagged where ip_src is not null group by window_start, ip_src {_CLOSED}""")
 def _(spark, d):
-    out = _collect_stream(spark, L.live_ip_features(_live(spark, d), window="1 day"), "complete")
-    return out.select(F.unix_seconds("window_start").alias("window_start"), "ip", "count", "total_bytes", "mean_len", "std_len", "syn_count", "rst_count")
+    out = _collect_stream(spark, L.live_ip_features(_feed(spark, d), window="1 day"), "append")
+    return out.select(F.unix_seconds("window_start").alias("window_start"), "ip", "count", "total_bytes", "mean_len", "std_len", "unique_dsts",
+                      "syn_count", "rst_count", "fin_count", "null_count", "xmas_count")
 
 
 @C.add("t03_live_arp_pairs", W1 + "select distinct arp_psrc as ip, arp_hwsrc as mac from packets where arp_psrc is not null and arp_hwsrc is not null and arp_psrc <> '0.0.0.0'")
 def _(spark, d):
-    return _collect_stream(spark, L.live_arp_pairs(_live(spark, d)), "append").select("ip", "mac")
+    # As long as the recording: each pair has one life and comes once.
+    return _collect_stream(spark, L.live_arp_pairs(normalize_packets(_raw_feed(spark, d)), idle_s=1e8), "update").select("ip", "mac")
+
+
+@C.add("t03_live_ports", W1 + """, po as (select ip_src as ip, unnest([tcp_sport, tcp_dport, udp_sport, udp_dport]) as port from packets where ip_src is not null) select distinct ip, port from po where port is not null""")
+def _(spark, d):
+    return _collect_stream(spark, L.live_ports(normalize_packets(_raw_feed(spark, d)), idle_s=1e8), "update").select("ip", "port")
 
 
 @C.add("t03_live_dns_counts", W1 + "select rtrim(dns_qname, '.') as qname, count(*) as n from packets where length(rtrim(dns_qname, '.')) > 3 group by all")
 def _(spark, d):
-    return _collect_stream(spark, L.live_dns_counts(_live(spark, d)), "complete").select("qname", "n")
+    return _items(spark, d).where("kind = 'dns'").select(F.col("item").alias("qname"), F.col("packets").alias("n"))
 
 
-@C.add("t04_snapshot_equals_batch", W1 + f"select ip, \"count\", total_bytes, {rd('std_len')} as std_len, unique_dsts, syn_count from features")
+@C.add("t04_snapshot_equals_batch", W1 + f"select ip, \"count\", total_bytes, {rd('mean_len')} as mean_len, {rd('std_len')} as std_len, unique_dsts, syn_count, rst_count, fin_count, null_count, xmas_count from features")
 def _(spark, d):
-    folder = _fresh(spark, "snapshot")
-    q = L.snapshots(_live(spark, d, 3), folder, lambda p: {"ip_features": A.ip_features(p)}, _fresh(spark, "state"))
-    q.awaitTermination()
-    got = spark.read.parquet(f"{folder}/ip_features")
-    last = got.agg(F.max("epoch")).first()[0]
-    return got.where(F.col("epoch") == last).select("ip", "count", "total_bytes", "std_len", "unique_dsts", "syn_count")
+    tables, n = _tables(spark, d)
+    return host_features(tables.table("pairs", n)).select("ip", "count", "total_bytes", "mean_len", "std_len", "unique_dsts", "syn_count", "rst_count", "fin_count", "null_count", "xmas_count")
+
+
+@C.add("t04_live_tables", W1 + """select 'macs' as name, eth_src as item, count(*) as n from packets where eth_src is not null group by all union all select 'protocols', proto, count(*) from packets where proto is not null group by all
+  union all select 'arp', arp_psrc || ' ' || arp_hwsrc, count(*) from packets where arp_psrc <> '0.0.0.0' and arp_hwsrc is not null group by all
+  union all select 'dns', rtrim(dns_qname, '.'), count(*) from packets where length(rtrim(dns_qname, '.')) > 3 group by all""")
+def _(spark, d):
+    tables, n = _tables(spark, d)
+    item = {"macs": F.col("mac"), "protocols": F.col("proto"), "arp": F.concat_ws(" ", "ip", "mac"), "dns": F.col("qname")}
+    parts = [tables.table(name, n).select(F.lit(name).alias("name"), i.alias("item"), "n") for name, i in item.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@C.add("t04_live_arrivals", W1 + f"select count(*) + 1 as rows, 1::bigint as late, {rd('max(ts)')} as newest from packets")
+def _(spark, d):
+    tables, n = _tables(spark, d)
+    return spark.createDataFrame([tables.state(n)], "rows bigint, late bigint, newest double")
 
 
 @C.add("t06_sliding_fusion", SIGNALS_SQL_R + f""", sl as (select session_id, device, score, technique, unnest(range(cast(floor(first_ts / 60) as bigint) * 60 - 840, cast(floor(first_ts / 60) as bigint) * 60 + 1, 60)) as window_start from sig)
@@ -139,9 +215,15 @@ def _(spark, d):
 def _(spark, d):
     rows = signals(spark, d)
     path = _fresh(spark, "signal-feed")
-    rows.write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).parquet(path)
-    out = _collect_stream(spark, L.sliding_fusion(stream), "complete")
+    # Five files in order of time, a batch each; a window that a batch changes comes again, the last time counts.
+    rows = stored(spark, d, "signal_rows", lambda: rows)
+    cuts = [float("-inf"), *rows.stat.approxQuantile("first_ts", [0.2, 0.4, 0.6, 0.8], 0.01), float("inf")]
+    for lo, hi in zip(cuts, cuts[1:]):
+        rows.where((F.col("first_ts") > lo) & (F.col("first_ts") <= hi)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = _collect_stream(spark, L.sliding_fusion(stream), "update")
+    last = Window.partitionBy("window_start", "session_id", "device").orderBy(F.desc("epoch"))
+    out = out.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "epoch")
     return out.withColumn("window_start", F.unix_seconds("window_start"))
 
 

@@ -3,14 +3,13 @@ query progress (``numRowsDroppedByWatermark``)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import tcp_flag_class
 from ..sources.packets import normalize_packets
+from .folds import FLAGS, host_features
+from .state import live_items
 
 WATERMARK = "10 minutes"
 
@@ -25,55 +24,34 @@ def within_duration(packets: DataFrame, started_at: float, limit_s: float = 3600
     return packets.where(F.col("ts") <= F.lit(started_at + limit_s))
 
 
-def live_totals(packets: DataFrame, *, by=("session_id",)) -> DataFrame:
-    """Running totals per session, for output mode complete or update."""
-    return packets.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("packets"), F.sum("len").alias("bytes"), F.approx_count_distinct("ip_src").alias("devices"),
-        F.approx_count_distinct("eth_src").alias("macs"), F.max("ts").alias("last_ts"))
-
-
-def live_counts(packets: DataFrame, key: str, *, by=("session_id",)) -> DataFrame:
-    """Running packet and byte counts per key: top talkers (ip_src) and protocols (proto) are read from it."""
-    return packets.where(F.col(key).isNotNull()).groupBy(*by, key).agg(
-        F.count(F.lit(1)).alias("packets"), F.sum("len").alias("bytes"))
-
-
 def live_ip_features(packets: DataFrame, *, window: str = "5 minutes", by=("session_id",)) -> DataFrame:
-    """Feature row per source and window, with the columns of the batch features. The number of destinations
-    is an estimate: streams cannot count distinct values exactly."""
-    both = F.col("ip_dst").isNotNull()
-    size = F.when(both, F.col("len"))
-    flags = ("syn", "rst", "fin", "null", "xmas")
-    agg = packets.where(F.col("ip_src").isNotNull()).groupBy(F.window("event_time", window).alias("w"), *by, F.col("ip_src").alias("ip")).agg(
-        F.count(size).alias("count"), F.sum(size).alias("total_bytes"), F.avg(size).alias("mean_len"),
-        F.coalesce(F.stddev_samp(size), F.lit(0.0)).alias("std_len"), F.approx_count_distinct("ip_dst", 0.01).alias("unique_dsts"),
-        *[F.count_if(F.col("tcp_flags").isNotNull() & tcp_flag_class(F.col("tcp_flags"), c)).alias(f"{c}_count") for c in flags])
-    return agg.where(F.col("count") > 0).select(
-        F.col("w.start").alias("window_start"), *by, "ip", "count", "total_bytes", "mean_len", "std_len", "unique_dsts",
-        (F.col("count") / (F.col("std_len") + 1)).alias("burst_score"), (F.col("count") + F.col("total_bytes") / 1000).alias("dominance"),
-        *[f"{c}_count" for c in flags])
-
+    """Feature row per source and window with the columns of the batch features, for output mode append: a window comes out when the
+    watermark has passed it, and its state goes.
 
-def _first_seen(pairs: DataFrame, keys, watermark_column: str = "event_time") -> DataFrame:
-    """Each distinct key combination once in the life of the stream: state holds one entry per pair and keeps it, so a pair that
-    comes again after hours is not emitted again. The event time goes first, so late rows count too."""
-    return pairs.drop(watermark_column).dropDuplicates(list(keys))
-
-
-def live_arp_pairs(packets: DataFrame, *, by=("session_id",)) -> DataFrame:
-    rows = packets.where(F.col("arp_psrc").isNotNull() & F.col("arp_hwsrc").isNotNull() & (F.col("arp_psrc") != "0.0.0.0"))
-    return _first_seen(rows.select("event_time", *by, F.col("arp_psrc").alias("ip"), F.col("arp_hwsrc").alias("mac")), [*by, "ip", "mac"])
+    Packets are summed by destination first and these sums by source, both in windowed state, so the number of destinations is exact
+    and a busy source is spread over its destinations."""
+    both = F.col("ip_dst").isNotNull()
+    rows = packets.where(F.col("ip_src").isNotNull()).select(
+        "event_time", *by, F.col("ip_src").alias("ip"), "ip_dst", "tcp_flags", F.when(both, F.col("len")).alias("_size"))
+    square = (F.col("_size") * F.col("_size")).cast("decimal(19,0)")
+    pairs = rows.groupBy(F.window("event_time", window).alias("w"), *by, "ip", "ip_dst").agg(
+        F.count("_size").alias("count"), F.coalesce(F.sum("_size"), F.lit(0).cast("bigint")).alias("total_bytes"),
+        F.coalesce(F.sum(square).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias("squares"),
+        *[F.count_if(F.col("tcp_flags").isNotNull() & tcp_flag_class(F.col("tcp_flags"), c)).alias(f"{c}_count") for c in FLAGS])
+    hosts = host_features(pairs.withColumn("_at", F.window_time("w")), by=[F.window("_at", window).alias("w"), *by], keep=["w", *by])
+    return hosts.select(F.col("w.start").alias("window_start"), "*").drop("w")
 
 
-def live_ports(packets: DataFrame, *, by=("session_id",)) -> DataFrame:
-    ports = F.array_compact(F.array("tcp_sport", "tcp_dport", "udp_sport", "udp_dport"))
-    rows = packets.where(F.col("ip_src").isNotNull()).select("event_time", *by, F.col("ip_src").alias("ip"), F.explode(ports).alias("port"))
-    return _first_seen(rows, [*by, "ip", "port"])
+def live_arp_pairs(packets: DataFrame, *, by=("session_id",), **how) -> DataFrame:
+    """Each claim of an address by a MAC when it is first seen; one that was quiet for ``idle_s`` counts as new."""
+    pairs = live_items(packets, ["arp"], by=by, changes=False, **how)
+    return pairs.select(*by, F.split_part("item", F.lit(" "), F.lit(1)).alias("ip"), F.split_part("item", F.lit(" "), F.lit(2)).alias("mac"), "first_ms")
 
 
-def live_dns_counts(packets: DataFrame, *, by=("session_id",)) -> DataFrame:
-    name = F.regexp_replace("dns_qname", r"\.+$", "")
-    return packets.where(F.length(name) > 3).groupBy(*by, name.alias("qname")).agg(F.count(F.lit(1)).alias("n"))
+def live_ports(packets: DataFrame, *, by=("session_id",), **how) -> DataFrame:
+    """Each port of an address when it is first seen; one that was quiet for ``idle_s`` counts as new."""
+    pairs = live_items(packets, ["port"], by=by, changes=False, **how)
+    return pairs.select(*by, F.split_part("item", F.lit(" "), F.lit(1)).alias("ip"), F.split_part("item", F.lit(" "), F.lit(2)).cast("int").alias("port"), "first_ms")
 
 
 def tumbling_series(packets: DataFrame, window: str = "1 second", *, by=("session_id",)) -> DataFrame:
@@ -100,17 +78,3 @@ def sliding_fusion(signals: DataFrame, *, by=("session_id",), window: str = "15
 def dedup_chunks(chunks: DataFrame) -> DataFrame:
     """Uploads sent again are dropped by content hash, however late; state holds one hash per distinct upload."""
     return chunks.dropDuplicates(["sha256"])
-
-
-def snapshots(packets: DataFrame, folder: str, batch: Callable[[DataFrame], dict[str, DataFrame]], checkpoint: str,
-              **write_options) -> StreamingQuery:
-    """Append every micro-batch to a packet folder and run the batch analysis over the folder, so the live
-    tables are those of the batch operators. A batch that is repeated replaces its own files only."""
-    def step(df: DataFrame, epoch: int) -> None:
-        df.drop("event_time").write.mode("overwrite").parquet(f"{folder}/packets/epoch={epoch}")
-        stored = df.sparkSession.read.parquet(f"{folder}/packets").drop("epoch")
-        for name, table in batch(stored).items():
-            table.write.mode("overwrite").parquet(f"{folder}/{name}/epoch={epoch}")
-
-    writer = packets.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(write_options or {"availableNow": True})).start()
