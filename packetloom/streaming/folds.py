@@ -73,10 +73,13 @@ def default_folds(by=("session_id",)) -> dict[str, Fold]:
 
 
 def sample_deviation(count: Column, total: Column, squares: Column) -> Column:
-    """Sample standard deviation from exact integer sums; NULL below two values. The difference is taken before any rounding."""
-    n, s = count.cast("decimal(18,0)"), total.cast("decimal(19,0)")
-    spread = n * squares.cast("decimal(20,0)") - s * s
-    return F.when(count > 1, F.sqrt(spread.cast("double") / (count * (count - 1)).cast("double")))
+    """Sample standard deviation from exact integer sums; NULL below two values. With the whole mean q and the rest r of the total, the
+    squares less q * total less q * r are exact, and only r * r / count is rounded."""
+    n = F.when(count > 1, count)
+    q, r = F.call_function("div", total, n), F.pmod(total, n)
+    wide = lambda c: c.cast("decimal(19,0)")
+    exact = squares - wide(q) * wide(total) - wide(q) * wide(r)
+    return F.sqrt((exact.cast("double") - r.cast("double") * r / n) / (n - 1))
 
 
 def host_features(pairs: DataFrame, *, by=("session_id",), keep=None) -> DataFrame:
