@@ -1,0 +1,176 @@
+"""Neighbours among points of many dimensions, found through cells instead of all pairs.
+
+Points are filed by their cells in a few dimensions, the ones that tell points apart best, and meet the points of the neighbouring
+cells by equality of cell numbers. Equal points are one point with a count, so thousands of equal hosts cost as much as one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import reduce
+from itertools import product
+from operator import add
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..session import staged
+from .common import components, value_cell
+
+#: Dimensions of the index. A point meets 3 ** INDEX_DIMS cells.
+INDEX_DIMS = 3
+#: Slack on cell widths, so that rounding never separates neighbours.
+SLACK = 1e-9
+
+
+def _sum(parts) -> Column:
+    return reduce(add, parts)
+
+
+def distinct_points(x: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Each different vector once: the smallest ip that has it, and how many have it."""
+    return x.groupBy(*by, *cols).agg(F.min("ip").alias("ip"), F.count(F.lit(1)).alias("n"))
+
+
+def index_dims(points: DataFrame, cols: Sequence[str], k: int = INDEX_DIMS) -> list[str]:
+    """The dimensions with the most different cells; one number per dimension reaches the driver."""
+    row = points.agg(*[F.approx_count_distinct(value_cell(F.col(c))).alias(c) for c in cols]).first()
+    return sorted(cols, key=lambda c: (-row[c], cols.index(c)))[:k]
+
+
+def _cell(columns: Sequence[Column], side: Column) -> Column:
+    return F.array(*[F.floor(c / side).cast("bigint") for c in columns])
+
+
+def _around(cell: Column, k: int) -> Column:
+    """The cell and its neighbours."""
+    return F.array(*[F.array(*[cell[i] + step for i, step in enumerate(steps)]) for steps in product((-1, 0, 1), repeat=k)])
+
+
+def _distance2(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    return _sum((x - y) * (x - y) for x, y in zip(a, b, strict=True))
+
+
+def nearest_distances(x: DataFrame, cols: Sequence[str], *, by=("session_id",), per_point: int = 64, at_least: int = 2_000_000) -> DataFrame:
+    """ip, d: distance of every point to the nearest other point of its group, 0 where it is alone.
+
+    A first round looks into cells of the largest width that keeps the expected pairs below ``per_point`` a point (or ``at_least`` in
+    all). A nearest neighbour within the width is final; for the other points the width grows fourfold until it spans the group."""
+    cols, by = list(cols), list(by)
+    points = staged(distinct_points(x, cols, by))
+    dims = index_dims(points, cols)
+    k = len(dims)
+    wide = F.greatest(*[F.max(c) - F.min(c) for c in dims], F.lit(0.0))
+    span = points.groupBy(*by).agg(F.when(wide > 0, wide).otherwise(1.0).alias("span"), F.count(F.lit(1)).alias("points"), F.array(*[F.min(c) for c in dims]).alias("low"))
+    filing = _cell([F.col(c) - F.col("low")[i] for i, c in enumerate(dims)], F.col("side"))
+    widths = F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: F.pow(F.lit(0.25), j))).alias("share")
+    tried = points.join(span, by).select(*by, *dims, "span", "points", "low", widths).withColumn("side", F.col("span") * F.col("share") * (1 + SLACK))
+    filled = tried.groupBy(*by, "points", "span", "side", filing.alias("cell")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    pairs = filled.groupBy(*by, "points", "span", "side").agg(F.sum(F.col("c") * F.col("c") * 3 ** k).alias("pairs"))
+    fits = (F.col("pairs") <= F.greatest(F.col("points") * per_point, F.lit(at_least))) | (F.col("pairs") <= F.col("points") * 3 ** k)
+    start = staged(pairs.groupBy(*by, "span").agg(F.coalesce(F.max(F.when(fits, F.col("side"))), F.min("side")).alias("side")).join(span.select(*by, "low"), by))
+    others = [F.col(f"o.{c}") for c in cols]
+    open_, done = points.where("n = 1"), points.where("n > 1").select(*by, "ip", F.lit(0.0).alias("d"))
+    while True:
+        a = open_.join(start, by).withColumn("cell", filing).withColumn("cell", F.explode(_around(F.col("cell"), k)))
+        b = points.join(start, by).select(*by, filing.alias("cell"), F.struct("ip", *cols).alias("o"))
+        met = a.join(b, [*by, "cell"]).where(F.col("ip") != F.col("o.ip"))
+        best = met.groupBy(*by, "ip").agg(F.sqrt(F.min(_distance2([F.col(c) for c in cols], others))).alias("d"))
+        found = staged(open_.join(start, by).join(best, [*by, "ip"], "left").withColumn("final", (F.col("d") <= F.col("side")) | (F.col("side") >= F.col("span"))))
+        final = F.coalesce("final", F.col("side") >= F.col("span"))
+        done = done.unionByName(found.where(final).select(*by, "ip", F.coalesce("d", F.lit(0.0)).alias("d")))
+        open_ = found.where(~final).select(*by, *cols, "ip", "n")
+        if open_.isEmpty():
+            break
+        # Only groups with open points go on.
+        start = staged(start.join(open_.select(*by).distinct(), by, "left_semi").withColumn("side", F.col("side") * 4))
+    # Points that others equal are all at distance 0; the rest are their own representative.
+    return x.select(*by, "ip", *cols).join(points.join(done, [*by, "ip"]).select(*by, *cols, "d"), [*by, *cols]).select(*by, "ip", "d")
+
+
+def elbow(near: DataFrame, *, by=("session_id",)) -> DataFrame:
+    """Per group: number of points, mean distance, and the distance that follows the sharpest bend of the distances in falling order
+    (the first one of equally sharp bends).
+
+    Equal distances are counted, the counted values are put into narrow cells, and positions are prefix sums over the cells, of which
+    there are about a million at most whatever the number of points. A run of equal values bends only at its ends."""
+    by = list(by)
+    tally = near.groupBy(*by, F.col("d").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    falling = F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("less"), "c")))
+    cells = tally.groupBy(*by, value_cell(F.col("v")).alias("cell")).agg(falling.alias("own"), F.sum("c").alias("rows"), F.sum(F.col("v") * F.col("c")).alias("sum"))
+    order = Window.partitionBy(*by).orderBy(F.desc("cell"))
+    ahead = F.concat(*[F.coalesce(F.lead(F.slice("own", 1, 2), i).over(order), F.array().cast(cells.schema["own"].dataType)) for i in (1, 2)])
+    placed = cells.withColumns({"ahead": ahead, "before": F.coalesce(F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    runs = placed.select(*by, "cell", "rows", "sum", "before", F.size("own").alias("len"), F.concat("own", F.slice("ahead", 1, 2)).alias("all"), F.posexplode("own").alias("i", "run"))
+    at = lambda j: F.get("all", F.col("i") + j)
+    inner = Window.partitionBy(*by, "cell").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("before") + F.coalesce(F.sum("run.c").over(inner), F.lit(0))
+    v, w, u = -F.col("run.less"), -at(1)["less"], -at(2)["less"]
+    n, m = F.col("run.c"), at(1)["c"]
+    bent = runs.withColumn("first", first).select(*by, "rows", "sum", "i", F.inline(F.array(
+        F.struct(F.when(n >= 3, 0.0 * v).alias("bend"), F.col("first").alias("at"), v.alias("next")),
+        F.struct(F.when(n >= 2, w - v).alias("bend"), (F.col("first") + n - 2).alias("at"), v.alias("next")),
+        F.struct(F.when(m >= 2, v - w).otherwise(u - 2 * w + v).alias("bend"), (F.col("first") + n - 1).alias("at"), w.alias("next")))))
+    sharpest = bent.where("bend is not null").groupBy(*by).agg(F.min_by("next", F.struct(F.round("bend", 9), "at")).alias("elbow"))
+    return cells.groupBy(*by).agg(F.sum("rows").alias("n_points"), (F.sum("sum") / F.sum("rows")).alias("mean")).join(sharpest, by, "left")
+
+
+def close_components(x: DataFrame, eps: DataFrame, cols: Sequence[str], *, by=("session_id",)) -> DataFrame:
+    """ip, root, size of every point: the smallest ip that points within eps of each other connect it with, and the size of the component.
+
+    Points of a cell whose diagonal is eps are connected anyway, so cells are the nodes. Two cells are connected where their boxes are
+    within eps corner to corner, apart where the boxes are further than eps; only what is left, and is not connected through other
+    cells, is decided by the points that lie near the other box."""
+    cols, by = list(cols), list(by)
+    points = staged(distinct_points(x, cols, by).join(eps.select(*by, "eps"), by))
+    dims = index_dims(points, cols)
+    k, root_d = len(dims), len(cols) ** 0.5
+    fine = points.withColumn("box", _cell([F.col(c) for c in cols], F.col("eps") / root_d * (1 - SLACK)))
+    fine = staged(fine)
+    boxes = staged(fine.groupBy(*by, "box", "eps").agg(
+        F.min("ip").alias("node"), F.sum("n").alias("n"), F.array(*[F.min(c) for c in cols]).alias("lo"), F.array(*[F.max(c) for c in cols]).alias("hi")))
+    side = F.col("eps") * (1 + 1 / root_d) * (1 + SLACK)
+    filed = boxes.withColumn("cell", _cell([F.col("lo")[cols.index(c)] for c in dims], side))
+    a = filed.withColumn("cell", F.explode(_around(F.col("cell"), k)))
+    b = filed.select(*by, "cell", *[F.col(c).alias(f"b_{c}") for c in ("node", "lo", "hi")])
+    d = range(len(cols))
+    lo, hi, b_lo, b_hi = (F.col(c) for c in ("lo", "hi", "b_lo", "b_hi"))
+    gap = _sum(F.pow(F.greatest(F.lit(0.0), lo[i] - b_hi[i], b_lo[i] - hi[i]), F.lit(2)) for i in d)
+    reach = _sum(F.pow(F.greatest(hi[i] - b_lo[i], b_hi[i] - lo[i]), F.lit(2)) for i in d)
+    met = a.join(b, [*by, "cell"]).where("node < b_node").withColumns({"gap": F.sqrt(gap), "reach": F.sqrt(reach)}).where("gap <= eps")
+    pairs = staged(met.select(*by, "eps", "node", "b_node", "lo", "hi", "b_lo", "b_hi", (F.col("reach") <= F.col("eps")).alias("sure")))
+    sure = staged(pairs.where("sure").select(*by, F.col("node").alias("a"), F.col("b_node").alias("b")))
+    links = sure
+    unsure = pairs.where(~F.col("sure"))
+    if not unsure.isEmpty():
+        roots = staged(components(sure, by)) if not sure.isEmpty() else sure.select(*by, F.col("a").alias("node"), F.col("b").alias("root"))
+        label = lambda n: roots.select(*by, F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
+        apart = unsure.join(label("node"), [*by, "node"], "left").join(label("b_node"), [*by, "b_node"], "left").where(
+            F.coalesce("node_root", "node") != F.coalesce("b_node_root", "b_node"))
+        apart = staged(apart.select(*by, "eps", "node", "b_node", "lo", "hi", "b_lo", "b_hi"))
+        member = fine.join(boxes.select(*by, "box", "node"), [*by, "box"]).select(*by, "node", F.array(*cols).alias("v"))
+        p, q = F.col("v"), F.col("w")
+        near_b = _sum(F.pow(F.greatest(F.lit(0.0), p[i] - b_hi[i], b_lo[i] - p[i]), F.lit(2)) for i in d)
+        near_a = _sum(F.pow(F.greatest(F.lit(0.0), q[i] - hi[i], lo[i] - q[i]), F.lit(2)) for i in d)
+        left = apart.join(member, [*by, "node"]).where(F.sqrt(near_b) <= F.col("eps")).select(*by, "eps", "node", "b_node", "v")
+        right = apart.join(member.withColumnRenamed("node", "b_node").withColumnRenamed("v", "w"), [*by, "b_node"]).where(F.sqrt(near_a) <= F.col("eps")).select(*by, "node", "b_node", "w")
+        close = F.sqrt(_sum((p[i] - q[i]) * (p[i] - q[i]) for i in d)) <= F.col("eps")
+        decided = left.join(right, [*by, "node", "b_node"]).where(close).select(*by, F.col("node").alias("a"), F.col("b_node").alias("b")).distinct()
+        links = staged(sure.unionByName(decided))
+    roots = components(links, by) if not links.isEmpty() else links.select(*by, F.col("a").alias("node"), F.col("b").alias("root"))
+    labelled = staged(boxes.join(roots, [*by, "node"], "left").withColumn("root", F.coalesce("root", "node")))
+    sizes = labelled.groupBy(*by, "root").agg(F.sum("n").alias("size"))
+    of_point = fine.join(labelled.select(*by, "box", "root"), [*by, "box"]).join(sizes, [*by, "root"]).select(*by, *cols, "root", "size")
+    return x.select(*by, "ip", *cols).join(of_point, [*by, *cols]).select(*by, "ip", "root", "size")
+
+
+def numbered(heads: DataFrame, column: str, *, by=("session_id",), name: str = "number") -> DataFrame:
+    """The rows numbered from 0 in the order of ``column`` within their group. A row's number is its place in a bucket of the names
+    (by their first characters) plus the sizes of the buckets before; only the bucket sizes of a group are summed in one place."""
+    by = list(by)
+    filed = heads.withColumn("_bucket", F.substring(column, 1, 8))
+    order = Window.partitionBy(*by).orderBy("_bucket")
+    before = filed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_c")).withColumn(
+        "_before", F.coalesce(F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    place = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(column)) - 1
+    return filed.withColumn("_place", place).join(before, [*by, "_bucket"]).withColumn(name, F.col("_before") + F.col("_place")).drop("_bucket", "_place", "_before")

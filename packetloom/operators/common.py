@@ -94,7 +94,7 @@ def components(links: DataFrame, keys: Sequence[str]) -> DataFrame:
             return labels
 
 
-def _cell(value: Column) -> Column:
+def value_cell(value: Column) -> Column:
     """Monotone cell number of a value, about 0.001 % wide: few distinct values share a cell."""
     return F.floor(F.signum(value) * F.log2(1 + F.abs(value) * 1e6) * 64_000).cast("bigint")
 
@@ -116,7 +116,7 @@ def tally_quantiles(tally: DataFrame, keys: Sequence[str], fractions: Sequence[f
     """Quantiles of counted values. The counts are summed into narrow cells, the cell of each wanted position
     is found from the running cell totals, and only the values of those cells are ordered."""
     keys = list(keys)
-    tally = tally.withColumn("_cell", _cell(F.col("_v")))
+    tally = tally.withColumn("_cell", value_cell(F.col("_v")))
     order = Window.partitionBy(*keys).orderBy("_cell")
     cells = tally.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_n")).withColumns({
         "_upto": F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)),

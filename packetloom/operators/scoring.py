@@ -6,14 +6,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import behaviour_tags, distance_bucket, is_private, rssi_distance_m, subnet24
-from ..session import cut_lineage
+from ..session import cut_lineage, staged
 from ..sources.schema import FEATURES_MAP, FEATURES_MODEL, FEATURES_PROFILE
 from .browsing import lag_sequences, rate_series
-from .common import components, quantiles, top_per_group, unpivot
+from .cells import close_components, elbow, nearest_distances, numbered
+from .common import quantiles, top_per_group, unpivot
 from .features import BY, timeline
 
 
@@ -221,80 +222,21 @@ def _key_schema(df: DataFrame, by) -> str:
     return ", ".join(f"`{k}` {types[k]}" for k in by)
 
 
-def nearest_distances(x: DataFrame, cols: Sequence[str], *, by=BY, block: int = 500) -> DataFrame:
-    """Distance of every point to the nearest other point of its group."""
-    cols, by = list(cols), list(by)
+def knn_elbow_eps(x: DataFrame, cols: Sequence[str] = FEATURES_MODEL, *, by=BY) -> DataFrame:
+    """Radius at the sharpest bend of the sorted nearest-neighbour distances; a fixed one below four points, which have no bend."""
+    bend = elbow(staged(nearest_distances(x, cols, by=by)), by=by)
+    eps = F.when(F.col("n_points") >= 4, F.round("elbow", 2)).otherwise(1.3)
+    return bend.select(*by, "n_points", F.when(eps <= 0, F.greatest(F.round("mean", 3), F.lit(0.05))).otherwise(eps).alias("eps"))
 
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, d, same = _distances(pdf, cols)
-        if not d.size:
-            return pd.DataFrame(columns=[*by, "ip", "d"])
-        out = a[[*by, "ip"]].assign(d=d.min(axis=1))
-        return out if same else pd.concat([out, b[[*by, "ip"]].assign(d=d.min(axis=0))])
-
-    parts = _block_pairs(x, by, block).groupBy(*by, "_bi", "_bj").applyInPandas(
-        nearest, f"{_key_schema(x, by)}, ip string, d double")
-    return parts.groupBy(*by, "ip").agg(F.min("d").alias("d")).withColumn(
-        "d", F.when(F.col("d") == float("inf"), F.lit(0.0)).otherwise(F.col("d")))
-
-
-def knn_elbow_eps(x: DataFrame, cols: Sequence[str] = FEATURES_MODEL, *, by=BY, block: int = 500) -> DataFrame:
-    """Radius at the sharpest bend of the sorted nearest-neighbour distances, one number per host, ordered by session."""
-    near = nearest_distances(x, cols, by=by, block=block)
-    w = Window.partitionBy(*by).orderBy(F.desc("d"), F.asc("ip"))
-    bent = near.withColumns({"_i": F.row_number().over(w), "_k1": F.lead("d", 1).over(w), "_k2": F.lead("d", 2).over(w)})
-    bend = F.when(F.col("_k2").isNotNull(), F.col("_k2") - 2 * F.col("_k1") + F.col("d"))
-    pick = bent.withColumn("_bend", bend).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_points"), F.avg("d").alias("_mean"),
-        F.min_by("_k1", F.when(F.col("_bend").isNotNull(), F.struct(F.round("_bend", 9), "_i"))).alias("_elbow"))
-    eps = F.when(F.col("n_points") >= 4, F.round("_elbow", 2)).otherwise(1.3)
-    return pick.select(*by, "n_points", F.when(eps <= 0, F.greatest(F.round("_mean", 3), F.lit(0.05))).otherwise(eps).alias("eps"))
-
-
-def _forest_edges(a, b, d, eps, same):
-    """Spanning edges of the graph of close points of one block pair: the same components, few rows."""
-    ids = list(a["ip"]) if same else list(a["ip"]) + list(b["ip"])
-    parent = list(range(len(ids)))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    edges = []
-    shift = 0 if same else len(a)
-    for i, j in zip(*np.nonzero(d <= eps)):
-        ri, rj = root(int(i)), root(int(j) + shift)
-        if ri != rj:
-            parent[max(ri, rj)] = min(ri, rj)
-            edges.append((ids[int(i)], ids[int(j) + shift]))
-    return edges
-
-
-def dbscan(x: DataFrame, eps: DataFrame, cols: Sequence[str] = FEATURES_MODEL, *, by=BY, block: int = 500) -> DataFrame:
-    """Density clusters with two points as minimum: the connected components of the points within eps.
-
-    Returns ip, cluster (numbered by the smallest address in it) and -1 for lonely points. A task returns spanning links of two
-    blocks, and the links are joined by rounds of groupings, so no session is gathered in one place."""
-    cols, by = list(cols), list(by)
-    schema = _key_schema(x, by)
-    rows = x.join(eps.select(*by, "eps"), by)
 
-    def edges(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, d, same = _distances(pdf, cols)
-        found = _forest_edges(a, b, d, float(pdf["eps"].iloc[0]), same)
-        out = pd.DataFrame(found, columns=["a", "b"])
-        for k in reversed(by):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+def dbscan(x: DataFrame, eps: DataFrame, cols: Sequence[str] = FEATURES_MODEL, *, by=BY) -> DataFrame:
+    """Density clusters with two points as minimum: the connected components of the points within eps.
 
-    links = _block_pairs(rows, by, block).groupBy(*by, "_bi", "_bj").applyInPandas(edges, f"{schema}, a string, b string")
-    roots = components(links, by)
-    heads = roots.select(*by, "root").distinct()
-    number = heads.withColumn("cluster", F.row_number().over(Window.partitionBy(*by).orderBy("root")) - 1)
-    found = roots.join(number, [*by, "root"]).select(*by, F.col("node").alias("ip"), "cluster")
-    return x.select(*by, "ip").join(found, [*by, "ip"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+    Returns ip, cluster (numbered by the smallest address in it) and -1 for lonely points."""
+    by = list(by)
+    found = staged(close_components(x, eps, cols, by=by))
+    number = numbered(found.where("size > 1").select(*by, "root").distinct(), "root", by=by, name="cluster")
+    return found.join(number, [*by, "root"], "left").select(*by, "ip", F.coalesce(F.col("cluster").cast("int"), F.lit(-1)).alias("cluster"))
 
 
 def silhouette(x: DataFrame, clusters: DataFrame, cols: Sequence[str] = FEATURES_MODEL, *, by=BY, block: int = 500) -> DataFrame:

@@ -11,7 +11,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from packetloom.functions import is_local_scope, is_private, is_public
-from packetloom.operators import common, providers, retrieval, scoring
+from packetloom.operators import cells, common, providers, retrieval, scoring
 from packetloom.sources import packets as P, tables as S
 
 
@@ -95,12 +95,83 @@ def test_forest_finds_planted_outliers_and_is_repeatable(spark):
     assert abs(sum(v < 0 for v in a.values()) - 0.1 * len(a)) <= 2
 
 
-def test_dbscan_blocks_do_not_change_the_result(spark):
-    x = scoring.standardize(_features(spark, 120))
-    eps = spark.createDataFrame([("S1", 123, 1.5)], "session_id string, n_points bigint, eps double")
-    one = {r.ip: r.cluster for r in scoring.dbscan(x, eps, block=1000).collect()}
-    many = {r.ip: r.cluster for r in scoring.dbscan(x, eps, block=16).collect()}
-    assert one == many
+def _points(spark, groups):
+    cols = scoring.FEATURES_MODEL
+    rows = [(g, f"h{i:04d}", *map(float, v)) for g, x in groups.items() for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, "session_id string, ip string, " + ", ".join(f"{c} double" for c in cols))
+
+
+def _clouds(seed):
+    """Blobs, a line of close points, outliers in one dimension, and repeated points; small groups beside large ones."""
+    rng = np.random.default_rng(seed)
+    blob = rng.normal(0, 1, (150, 10)) * rng.choice([0.01, 0.3, 1], 10)
+    line = np.zeros((60, 10))
+    line[:, 4] = np.arange(60) * 0.3 + 8
+    far = np.zeros((8, 10))
+    far[:, rng.integers(10)] = rng.normal(0, 300, 8)
+    copies = np.repeat(rng.normal(3, 1, (3, 10)), [40, 2, 1], axis=0)
+    return {"S1": np.concatenate([blob, line, far, copies]), "S2": blob[:3], "S3": blob[:1], "S4": copies[:40], "S5": np.concatenate([line[:5], line[:5] + 0.5, line[20:21]]), "S6": rng.integers(0, 3, (200, 10)).astype(float)}
+
+
+def _distances_of(x):
+    return np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+
+
+@pytest.mark.parametrize("seed,at_least", [(1, 2_000_000), (2, 1), (3, 2000)])
+def test_nearest_neighbours_and_elbow(spark, seed, at_least):
+    groups = _clouds(seed)
+    x = _points(spark, groups)
+    near = cells.nearest_distances(x, scoring.FEATURES_MODEL, per_point=1, at_least=at_least)
+    got = {(r.session_id, r.ip): r.d for r in near.collect()}
+    assert len(got) == sum(map(len, groups.values()))
+    bends = {r.session_id: r for r in cells.elbow(near).collect()}
+    for g, v in groups.items():
+        d = _distances_of(v)
+        np.fill_diagonal(d, np.inf)
+        want = np.where(np.isinf(d.min(axis=1)), 0, d.min(axis=1))
+        assert np.allclose([got[g, f"h{i:04d}"] for i in range(len(v))], want, atol=1e-9)
+        falling = np.sort([got[g, f"h{i:04d}"] for i in range(len(v))])[::-1]
+        assert bends[g].n_points == len(v) and bends[g]["mean"] == pytest.approx(falling.mean())
+        bend = np.round(np.diff(np.diff(falling)), 9)
+        assert bends[g].elbow == (falling[int(np.argmin(bend)) + 1] if len(v) > 2 else None)
+
+
+@pytest.mark.parametrize("seed,radius", [(1, 0.05), (2, 0.35), (3, 1.0), (1, 1.0), (2, 4.0), (3, 1000.0)])
+def test_dbscan_is_components_of_close_points(spark, seed, radius):
+    groups = _clouds(seed)
+    eps = spark.createDataFrame([(g, radius) for g in groups], "session_id string, eps double")
+    got = {(r.session_id, r.ip): r.cluster for r in scoring.dbscan(_points(spark, groups), eps).collect()}
+    for g, v in groups.items():
+        close = _distances_of(v) <= radius
+        root, n = [-1] * len(v), 0
+        for i in range(len(v)):
+            if root[i] < 0 and close[i].sum() > 1:
+                root[i], todo = n, [i]
+                while todo:
+                    for j in np.flatnonzero(close[todo.pop()]):
+                        if root[j] < 0:
+                            root[j] = n
+                            todo.append(j)
+                n += 1
+        assert [got[g, f"h{i:04d}"] for i in range(len(v))] == root
+
+
+def test_cells_form_few_pairs(spark):
+    """20,000 hosts, half of them equal: neither search looks at more than a few hundred pairs a host."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(0, 1, (20_000, 10)) * np.array([1, 1, 1, 0.5, 0.2, 0.1, 0, 0, 0, 0])
+    v[:10_000] = v[0]
+    x = _points(spark, {"S1": v}).persist()
+    near = cells.nearest_distances(x, scoring.FEATURES_MODEL, at_least=1)
+    eps = scoring.knn_elbow_eps(x).first().eps
+    found = scoring.dbscan(x, spark.createDataFrame([("S1", eps)], "session_id string, eps double"))
+    assert near.where("d = 0").count() == 10_000 and found.count() == 20_000
+    sample = rng.choice(np.arange(10_000, 20_000), 50, replace=False)
+    got = {r.ip: r.d for r in near.where(F.col("ip").isin([f"h{i:04d}" for i in sample])).collect()}
+    for i in sample:
+        d = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        assert got[f"h{i:04d}"] == pytest.approx(d.min())
 
 
 def test_dbscan_of_a_session_with_many_hosts(spark):
@@ -108,7 +179,7 @@ def test_dbscan_of_a_session_with_many_hosts(spark):
     rows = [("S1", f"h{i:05d}", *([1000.0 * (i % 3) + i // 3 * 0.001] + [0.0] * (len(cols) - 1))) for i in range(6000)] + [("S1", "lone", *([-500.0] * len(cols)))]
     x = spark.createDataFrame(rows, "session_id string, ip string, " + ", ".join(f"{c} double" for c in cols))
     eps = spark.createDataFrame([("S1", 6001, 0.5)], "session_id string, n_points bigint, eps double")
-    got = {r.ip: r.cluster for r in scoring.dbscan(x, eps, block=2000).collect()}
+    got = {r.ip: r.cluster for r in scoring.dbscan(x, eps).collect()}
     assert got.pop("lone") == -1 and len(got) == 6000
     assert all(c == int(ip[1:]) % 3 for ip, c in got.items())
 
