@@ -13,7 +13,7 @@ from ..functions import behaviour_tags, distance_bucket, is_private, rssi_distan
 from ..session import cut_lineage, staged
 from ..sources.schema import FEATURES_MAP, FEATURES_MODEL, FEATURES_PROFILE
 from .browsing import lag_sequences, rate_series
-from .cells import close_components, elbow, nearest_distances, numbered
+from .neighbours import close_components, elbow, nearest_distances, numbered
 from .common import quantiles, top_per_group, unpivot
 from .features import BY, timeline
 

@@ -11,7 +11,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from packetloom.functions import is_local_scope, is_private, is_public
-from packetloom.operators import cells, common, providers, retrieval, scoring
+from packetloom.operators import common, neighbours, providers, retrieval, scoring
 from packetloom.sources import packets as P, tables as S
 
 
@@ -117,14 +117,14 @@ def _distances_of(x):
     return np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
 
 
-@pytest.mark.parametrize("seed,at_least", [(1, 2_000_000), (2, 1), (3, 2000)])
-def test_nearest_neighbours_and_elbow(spark, seed, at_least):
+@pytest.mark.parametrize("seed,leaf", [(1, 400), (2, 4), (3, 30)])
+def test_nearest_neighbours_and_elbow(spark, seed, leaf):
     groups = _clouds(seed)
     x = _points(spark, groups)
-    near = cells.nearest_distances(x, scoring.FEATURES_MODEL, per_point=1, at_least=at_least)
+    near = neighbours.nearest_distances(x, scoring.FEATURES_MODEL, leaf=leaf)
     got = {(r.session_id, r.ip): r.d for r in near.collect()}
     assert len(got) == sum(map(len, groups.values()))
-    bends = {r.session_id: r for r in cells.elbow(near).collect()}
+    bends = {r.session_id: r for r in neighbours.elbow(near).collect()}
     for g, v in groups.items():
         d = _distances_of(v)
         np.fill_diagonal(d, np.inf)
@@ -137,7 +137,8 @@ def test_nearest_neighbours_and_elbow(spark, seed, at_least):
 
 
 @pytest.mark.parametrize("seed,radius", [(1, 0.05), (2, 0.35), (3, 1.0), (1, 1.0), (2, 4.0), (3, 1000.0)])
-def test_dbscan_is_components_of_close_points(spark, seed, radius):
+def test_dbscan_is_components_of_close_points(spark, monkeypatch, seed, radius):
+    monkeypatch.setattr(neighbours.close_components, "__kwdefaults__", {**neighbours.close_components.__kwdefaults__, "leaf": 15})
     groups = _clouds(seed)
     eps = spark.createDataFrame([(g, radius) for g in groups], "session_id string, eps double")
     got = {(r.session_id, r.ip): r.cluster for r in scoring.dbscan(_points(spark, groups), eps).collect()}
@@ -156,13 +157,13 @@ def test_dbscan_is_components_of_close_points(spark, seed, radius):
         assert [got[g, f"h{i:04d}"] for i in range(len(v))] == root
 
 
-def test_cells_form_few_pairs(spark):
-    """20,000 hosts, half of them equal: neither search looks at more than a few hundred pairs a host."""
+def test_neighbours_of_many_hosts(spark):
+    """20,000 hosts, half of them equal."""
     rng = np.random.default_rng(4)
     v = rng.normal(0, 1, (20_000, 10)) * np.array([1, 1, 1, 0.5, 0.2, 0.1, 0, 0, 0, 0])
     v[:10_000] = v[0]
     x = _points(spark, {"S1": v}).persist()
-    near = cells.nearest_distances(x, scoring.FEATURES_MODEL, at_least=1)
+    near = neighbours.nearest_distances(x, scoring.FEATURES_MODEL)
     eps = scoring.knn_elbow_eps(x).first().eps
     found = scoring.dbscan(x, spark.createDataFrame([("S1", eps)], "session_id string, eps double"))
     assert near.where("d = 0").count() == 10_000 and found.count() == 20_000
