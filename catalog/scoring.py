@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetloom.operators import features as A, scoring as M
+from packetloom.operators import correlation as R, features as A, scoring as M
 from packetloom.session import cut_lineage
 from packetloom.sources.schema import FEATURES_MODEL, FEATURES_PROFILE
 
@@ -122,6 +122,30 @@ def _(spark, d):
     return M.activity_buckets(_pairs(spark, d))
 
 
+def _all_pairs_sql(bin_s, least):
+    """Every pair of sources that share a bin, without a limit on talkers."""
+    return W + f""", tl as (select session_id, ts, ip_src as src from packets where ip_src is not null and ip_dst is not null), z as (select session_id, min(ts) as t0 from tl group by all),
+  ac as (select session_id, src, cast(floor((ts - t0) / {bin_s}) as bigint) as bin, count(*)::double as n from tl join z using (session_id) group by all),
+  nb as (select session_id, count(distinct bin) as nb from ac group by all having count(distinct bin) >= 2 and count(distinct src) >= 3),
+  st as (select session_id, src, any_value(nb) as nb, sum(n) / any_value(nb) as mean, sqrt(greatest(sum(n * n) / any_value(nb) - (sum(n) / any_value(nb)) * (sum(n) / any_value(nb)), 0)) as sd from ac join nb using (session_id) group by session_id, src),
+  xy as (select a.session_id, a.src as a, b.src as b, sum(a.n * b.n) as sxy from ac a join ac b on a.session_id = b.session_id and a.bin = b.bin and a.src < b.src group by all),
+  pr as (select xy.session_id, a as a_src, b as b_src, greatest(-1.0, least(1.0, (sxy / x.nb - x.mean * y.mean) / ((x.sd + 1e-9::double) * (y.sd + 1e-9::double)))) as c0,
+    array_to_string(string_split(a, '.')[1:3], '.') = array_to_string(string_split(b, '.')[1:3], '.') as same
+    from xy join st x on x.session_id = xy.session_id and x.src = a join st y on y.session_id = xy.session_id and y.src = b),
+  co as (select session_id, a_src, b_src, case when same then least(1.0, c0 + 0.25) else c0 end as corr from pr)
+  select session_id, a_src, b_src, {rd('corr')} as corr, {rd('greatest(0.0, least(2.0, 1 - corr))')} as distance from co where corr >= {least}"""
+
+
+@C.add("m06_all_source_correlation", _all_pairs_sql(30.0, 0.3))
+def _(spark, d):
+    return R.correlated_sources(packets(spark, d))
+
+
+@C.add("m06_all_source_correlation_hourly", _all_pairs_sql(3600.0, 0.4))
+def _(spark, d):
+    return R.correlated_sources(packets(spark, d), bin_s=3600.0, min_corr=0.4)
+
+
 @C.add("m07_behaviour_projection")
 def _(spark, d):
     return M.behaviour_projection(_feat(spark, d))
