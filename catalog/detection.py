@@ -119,7 +119,8 @@ def _(spark, d):
   fnd as (select session_id, 'scan_alerts' as rule, src as ip from scan union all select session_id, 'flood_alerts', null from flood union all select session_id, 'amp_alerts', src from amp
   union all (select session_id, 'arp_spoofing_ips', ip from claims qualify count(*) over (partition by session_id, ip) > 1)
   union all select distinct session_id, 'dns_long_queries' || coalesce(null, ''), null from (select distinct session_id, rtrim(dns_qname, '.') as q from packets where length(rtrim(dns_qname, '.')) > 60) where false
-  union all select session_id, 'dns_long_queries', null from (select distinct session_id, rtrim(dns_qname, '.') as q from packets where length(rtrim(dns_qname, '.')) > 60))
+  union all select session_id, 'dns_long_queries', null from (select distinct session_id, rtrim(dns_qname, '.') as q from packets where length(rtrim(dns_qname, '.')) > 60)
+  union all select distinct session_id, 'dns_nxdomain', ip_dst from packets where dns_rcode = '3' and dns_response = '1')
   select session_id, 'rules' as layer, rule, ip, 'high' as severity, count(*) as n from fnd group by all""")
 def _(spark, d):
     p = packets(spark, d)
@@ -127,6 +128,14 @@ def _(spark, d):
     return f.where("detail_json is not null").groupBy("session_id", "layer", "rule", "ip", "severity").agg(F.count("*").alias("n"))
 
 
+@C.add("s08_finding_bodies", W + """, nx as (select session_id, ip_dst as ip, count(*) as n from packets where dns_rcode = '3' and dns_response = '1' group by all)
+  select session_id, 'dns_nxdomain' as rule, ip, '{' || coalesce('"ip":"' || ip || '",', '') || '"nxdomain":' || n || '}' as detail_json from nx
+  union all select distinct session_id, 'dns_long_queries', null, '{"qname":"' || rtrim(dns_qname, '.') || '"}' from packets where length(rtrim(dns_qname, '.')) > 60""")
+def _(spark, d):
+    p = packets(spark, d)
+    return D.findings(p, A.ip_features(p)).where("rule in ('dns_nxdomain', 'dns_long_queries')").select("session_id", "rule", "ip", "detail_json")
+
+
 # ---- engines ----------------------------------------------------------------------------------
 
 _OUT = ("select session_id, device, peer, signal, tactic, technique, " + rd("score") + " as score, severity, \"count\", "

@@ -111,9 +111,11 @@ def _(spark, d):
     return H.telemetry_match(*_tel(spark, d))
 
 
-@C.add("j11_undeclared_flows", TEL + "select session_id, 'telemetry' as layer, 'undeclared_infra_flow' as rule, src as ip, 'high' as severity, '{\"dst\":\"' || dst || '\",\"packets\":' || packets || '}' as detail_json from tm where not declared")
+@C.add("j11_undeclared_flows", TEL + """, dd as (select session_id, '"' || string_agg(distinct dst, '","' order by dst) || '"' as l from tlog join sp on started_at <= t1 + 120 and ended_at >= t0 - 120 group by all)
+  select session_id, 'telemetry' as layer, 'undeclared_infra_flow' as rule, src as ip, 'high' as severity, '{"dst":"' || dst || '","packets":' || packets || ',"declared_dsts":[' || coalesce(l, '') || ']}' as detail_json from tm left join dd using (session_id) where not declared""")
 def _(spark, d):
-    return H.undeclared_flows(H.telemetry_match(*_tel(spark, d)))
+    flows, spans, log, infra = _tel(spark, d)
+    return H.undeclared_flows(H.telemetry_match(flows, spans, log, infra), spans, log)
 
 
 @C.add("j12_capture_blind_spots", TEL + """select session_id, 'telemetry' as layer, 'capture_blind_spot' as rule, null::varchar as ip, 'medium' as severity, id as log_id, dst, bytes_sent from tlog join sp on started_at <= t1 + 120 and ended_at >= t0 - 120

@@ -12,7 +12,7 @@ from packetloom.session import ensure_checkpoint_dir
 from packetloom.sources import tables as S
 from packetloom.sources.adapters import raw_packets_from_events
 from packetloom.sources.packets import normalize_packets, read_packet_list, read_packets, stream_packets
-from packetloom.sources.schema import BASE_FIELDS
+from packetloom.sources.schema import BASE_FIELDS, LIVE_FIELDS
 from packetloom.streaming import live as L
 from packetloom.streaming import state as ST
 from packetloom.streaming.folds import LiveTables, default_folds, host_features
@@ -36,29 +36,29 @@ def _fresh(spark, name: str) -> str:
 
 
 def text_folder(spark, d) -> str:
-    """Pipe-delimited export of the derived packets, written once per application."""
+    """Pipe-delimited export of the derived packets in two folders, written once per application."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _text:
         path = _fresh(spark, "export")
         raw = raw_packets_from_events(spark, d)
-        # Six files, each a range of time, so that a stream over them has several batches.
-        raw.select(F.col("ts").cast("double").alias("_at"), F.concat_ws("|", *BASE_FIELDS).alias("value")).repartitionByRange(6, "_at").select("value").write.text(path)
+        for name, odd in (("a", 0), ("b", 1)):
+            raw.where(F.col("packet_id") % 2 == odd).coalesce(1).select(F.concat_ws("|", *BASE_FIELDS).alias("value")).write.text(f"{path}/{name}")
         _text[key] = path
     return _text[key]
 
 
 def feed_folder(spark, d) -> str:
-    """The export as a live feed: five files in order of time, then one with a packet that is days late."""
+    """The packets as a live feed, in its field order: five files in order of time, then one with a packet that is days late."""
     key = (spark.sparkContext.applicationId, d, "feed")
     if key not in _text:
         path = _fresh(spark, "feed")
-        raw = spark.read.text(text_folder(spark, d)).withColumn("_at", F.split_part("value", F.lit("|"), F.lit(1)).cast("double"))
+        raw = raw_packets_from_events(spark, d).select(F.concat_ws("|", *LIVE_FIELDS).alias("value"), F.col("ts").cast("double").alias("_at"))
         cuts = [float("-inf"), *raw.stat.approxQuantile("_at", [0.2, 0.4, 0.6, 0.8], 0.01), float("inf")]
         for lo, hi in zip(cuts, cuts[1:]):
             raw.where((F.col("_at") > lo) & (F.col("_at") <= hi)).select("value").coalesce(1).write.mode("append").text(path)
         late = {"ts": str(raw.agg(F.min("_at")).first()[0]), "len": "60", "eth_src": "02:99:99:99:99:99", "ip_src": "10.99.99.99", "ip_dst": "10.99.99.98", "proto": "LATE",
                 "dns_qname": "late.example", "arp_psrc": "10.99.99.99", "arp_hwsrc": "02:99:99:99:99:99", "tcp_sport": "9"}
-        spark.createDataFrame([("|".join(late.get(c, "") for c in BASE_FIELDS),)], "value string").coalesce(1).write.mode("append").text(path)
+        spark.createDataFrame([("|".join(late.get(c, "") for c in LIVE_FIELDS),)], "value string").coalesce(1).write.mode("append").text(path)
         _text[key] = path
     return _text[key]
 
@@ -77,10 +77,6 @@ def _collect_stream(spark, stream, mode: str):
     return spark.read.parquet(path)
 
 
-def _live(spark, d, files: int | None = 1):
-    return L.live_packets(stream_packets(spark, text_folder(spark, d), max_files_per_trigger=files, session="S1"))
-
-
 def _raw_feed(spark, d):
     return stream_packets(spark, feed_folder(spark, d), max_files_per_trigger=1, session="S1")
 
@@ -108,10 +104,11 @@ def _live_tables(spark, folder):
     return LiveTables(spark, folder, default_folds())
 
 
-@C.add("s01_read_packets", W1 + f"select {rd('ts')} as ts, len, ip_src, ip_dst, proto, tcp_dport, dns_qname, dns_response, tls_sni from packets")
+@C.add("s01_read_packets", W1 + f"select case when packet_id % 2 = 0 then 'a' else 'b' end as folder, {rd('ts')} as ts, len, ip_src, ip_dst, proto, tcp_dport, dns_qname, dns_response, tls_sni from packets")
 def _(spark, d):
-    p = normalize_packets(read_packets(spark, text_folder(spark, d)))
-    return p.select("ts", "len", "ip_src", "ip_dst", "proto", "tcp_dport", "dns_qname", "dns_response", "tls_sni")
+    path = text_folder(spark, d)
+    p = normalize_packets(read_packets(spark, [f"{path}/a", f"{path}/b"]))
+    return p.select(F.element_at(F.split("session_id", "/"), -2).alias("folder"), "ts", "len", "ip_src", "ip_dst", "proto", "tcp_dport", "dns_qname", "dns_response", "tls_sni")
 
 
 @C.add("s05_write_field_index", W + "select session_id, year(make_timestamp(cast(floor(ts * 1000000) as bigint))) as year, month(make_timestamp(cast(floor(ts * 1000000) as bigint))) as month, count(*) as n, cast(sum(len) as bigint) as bytes from packets group by all")
@@ -136,9 +133,9 @@ def _(spark, d):
     return S.read_results(spark, root, "ip_features").select("session_id", "ip", "count", "total_bytes")
 
 
-@C.add("s11_t05_tumbling_series", W1 + f"""select cast(floor(ts / 300) as bigint) * 300 as window_start, count(*) as packets, cast(sum(len) as bigint) as bytes, {rd('avg(len)')} as mean_size from packets where ip_src is not null and ip_dst is not null group by all""")
+@C.add("s11_t05_tumbling_series", W1 + f"""select cast(floor(ts / 300) as bigint) * 300 as window_start, count(*) as packets, cast(sum(len) as bigint) as bytes, {rd('avg(len)')} as mean_size from packets where ip_src is not null and ip_dst is not null group by window_start having window_start + 300 <= (select max(ts) - 600 from packets)""")
 def _(spark, d):
-    out = _collect_stream(spark, L.tumbling_series(_live(spark, d), "5 minutes"), "complete")
+    out = _collect_stream(spark, L.tumbling_series(_feed(spark, d), "5 minutes"), "append")
     return out.select(F.unix_seconds("window_start").alias("window_start"), "packets", "bytes", "mean_size")
 
 
@@ -238,7 +235,7 @@ def _(spark, d):
 
 @C.add("t08_within_duration", W1 + f"select {rd('ts')} as ts, len, ip_src from packets where ts <= 1704067207.0 + 86400.0")
 def _(spark, d):
-    return _collect_stream(spark, L.within_duration(_live(spark, d), 1704067207.0, 86400.0), "append").select("ts", "len", "ip_src")
+    return _collect_stream(spark, L.within_duration(_feed(spark, d).where("proto is distinct from 'LATE'"), 1704067207.0, 86400.0), "append").select("ts", "len", "ip_src")
 
 
 @C.add("s04_read_packet_list", """select event_id as "No", case when event_id % 5 = 0 then 0.0 else floor(value) end as "Time", case when event_id % 7 = 0 then 0 else user_id end as "Length", case when event_id % 3 = 0 then '' else 'Où ' || event_type end as "Info" from events""")

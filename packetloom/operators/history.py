@@ -95,22 +95,62 @@ def telemetry_match(flows: DataFrame, spans: DataFrame, log: DataFrame, infra: D
     return hit.join(declared, ["session_id", "dst"], "left").withColumn("declared", F.coalesce("declared", F.lit(False)))
 
 
-def undeclared_flows(matched: DataFrame) -> DataFrame:
-    return matched.where(~F.col("declared")).select(
+def undeclared_flows(matched: DataFrame, spans: DataFrame, log: DataFrame, *, slack_s: float = 120.0) -> DataFrame:
+    """Findings for the flows no telemetry row declares, with the destinations that rows of that time do declare."""
+    over = overlapping_rows(spans, log.where(F.col("dst").isNotNull()).select("id", "dst", "started_at", "ended_at"), slack_s=slack_s)
+    declared = over.select("session_id", "dst").distinct().groupBy("session_id").agg(F.sort_array(F.collect_list("dst")).alias("declared_dsts"))
+    none = F.array().cast("array<string>")
+    return matched.where(~F.col("declared")).join(declared, "session_id", "left").select(
         "session_id", F.lit("telemetry").alias("layer"), F.lit("undeclared_infra_flow").alias("rule"), F.col("src").alias("ip"),
-        F.lit("high").alias("severity"), F.to_json(F.struct("dst", "packets")).alias("detail_json"))
+        F.lit("high").alias("severity"), F.to_json(F.struct("dst", "packets", F.coalesce("declared_dsts", none).alias("declared_dsts"))).alias("detail_json"))
+
+
+#: Levels of the time index: a minute, two, four, ... about eleven days.
+TIME_LEVELS = 14
+
+
+def _minute(c):
+    return F.floor(c / 60).cast("bigint")
+
+
+def _holders(c):
+    """The time cell of every level that a moment lies in, as one number each."""
+    return F.transform(F.sequence(F.lit(0), F.lit(TIME_LEVELS)), lambda j: F.call_function("shiftright", _minute(c), j) * 32 + j)
+
+
+def _pieces(lo, hi):
+    """The fewest time cells that an interval consists of: at most two of a level, and any number of the widest."""
+    def level(j):
+        width = F.call_function("shiftleft", F.lit(1).cast("bigint"), j)
+        left, right = F.call_function("shiftright", _minute(lo) + width - 1, j), F.call_function("shiftright", _minute(hi) + 1, j)
+        odd = lambda n: F.pmod(n, F.lit(2)) == 1
+        return F.array_compact(F.array(F.when((left < right) & odd(left), left * 32 + j), F.when((left < right) & odd(right), (right - 1) * 32 + j)))
+
+    widest = F.lit(TIME_LEVELS)
+    width = F.lit(1 << TIME_LEVELS).cast("bigint")
+    left, right = F.call_function("shiftright", _minute(lo) + width - 1, widest), F.call_function("shiftright", _minute(hi) + 1, widest)
+    top = F.when(left < right, F.transform(F.sequence(left, right - 1), lambda n: n * 32 + TIME_LEVELS)).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(TIME_LEVELS - 1)), level)), top)
+
+
+def overlapping_rows(spans: DataFrame, log: DataFrame, *, slack_s: float = 120.0) -> DataFrame:
+    """session_id and the columns of the log rows (started_at, ended_at and others) whose time overlaps the session's, each pair once.
+
+    Of two overlapping intervals one starts inside the other. A start lies in one cell of each level and an interval is made of
+    disjoint cells, so both cases are equality joins on cells in which a pair meets exactly once."""
+    sessions = spans.select("session_id", (F.col("t0") - slack_s).alias("_a"), (F.col("t1") + slack_s).alias("_b")).where("_a <= _b")
+    rows = log.where(F.col("ended_at") >= F.col("started_at"))
+    columns = ["session_id", *log.columns]
+    starts_in = sessions.withColumn("_cell", F.explode(_pieces(F.col("_a"), F.col("_b")))).join(
+        rows.withColumn("_cell", F.explode(_holders(F.col("started_at")))), "_cell").where("started_at >= _a and started_at <= _b").select(*columns)
+    began_before = rows.withColumn("_cell", F.explode(_pieces(F.col("started_at"), F.col("ended_at")))).join(
+        sessions.withColumn("_cell", F.explode(_holders(F.col("_a")))), "_cell").where("started_at < _a and ended_at >= _a").select(*columns)
+    return starts_in.unionByName(began_before)
 
 
 def capture_blind_spots(flows: DataFrame, spans: DataFrame, log: DataFrame, infra: DataFrame, *, slack_s: float = 120.0) -> DataFrame:
     """Telemetry rows that overlap a session but whose destination the session never contacted."""
-    day = lambda c: F.floor(c / DAY_S).cast("bigint")
-    a, b = F.col("t0") - slack_s, F.col("t1") + slack_s
-    days = spans.select("session_id", a.alias("_a"), b.alias("_b"), F.explode(F.sequence(day(a), day(b))).alias("_day"))
-    rows = log.where(F.col("ended_at") >= F.col("started_at")).select(
-        "id", "dst", "bytes_sent", "started_at", "ended_at",
-        F.explode(F.sequence(day(F.col("started_at")), day(F.col("ended_at")))).alias("_day"))
-    over = rows.join(days, "_day").where((F.col("started_at") <= F.col("_b")) & (F.col("ended_at") >= F.col("_a"))).select(
-        "session_id", F.col("id").alias("log_id"), "dst", "bytes_sent").distinct()
+    over = overlapping_rows(spans, log.select(F.col("id").alias("log_id"), "dst", "bytes_sent", "started_at", "ended_at"), slack_s=slack_s)
     seen = flows.join(infra.select("dst").distinct(), "dst", "left_semi").select("session_id", "dst").distinct()
     return over.join(seen, ["session_id", "dst"], "left_anti").select(
         "session_id", F.lit("telemetry").alias("layer"), F.lit("capture_blind_spot").alias("rule"), F.lit(None).cast("string").alias("ip"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import top_per_group
-from .features import BY, arp_claims, dns_long_queries, dns_response_sizes, flag_counters
+from .features import BY, arp_claims, dns_long_queries, dns_response_sizes, flag_counters, nxdomain_stats
 
 SCAN_CLASSES = ("SYN", "FIN", "NULL", "XMAS")
 
@@ -95,6 +95,7 @@ def findings(packets: DataFrame, features: DataFrame, *, by=BY, scan=None, flood
         rows(dns_amplification(packets, by=by, **(amp or {})), "amp_alerts", F.col("src")),
         rows(arp_spoofing(packets, by=by), "arp_spoofing_ips", F.col("ip")),
         rows(dns_long_queries(packets, by=by), "dns_long_queries", none),
+        rows(nxdomain_stats(packets, by=by), "dns_nxdomain", F.col("ip")),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schema import BASE_FIELDS, PACKET_FIELDS, PORT_FIELDS, raw_schema
+from .schema import BASE_FIELDS, LIVE_FIELDS, PACKET_FIELDS, PORT_FIELDS, raw_schema
 
 
 def read_packets(spark: SparkSession, paths, sep: str = "|", fields=BASE_FIELDS, session: Column | str | None = None) -> DataFrame:
     """Header-less, unquoted delimited export (plain or compressed); every field is text.
 
     ``session`` names the session of the packets: a text, or an expression, for instance over ``_metadata.file_path``. By default
-    every file is one capture and its name up to the first dot is the session."""
+    every file is one capture and its whole path is the session, so equal names in different folders stay apart. A capture that
+    was written in parts needs an expression, such as the folder."""
     rows = (spark.read.schema(raw_schema(fields))
             .option("sep", sep).option("header", False).option("quote", "").option("mode", "PERMISSIVE")
             .csv(paths))
     if session is None:
-        session = F.regexp_extract("_metadata.file_name", r"^[^.]*", 0)
+        session = F.col("_metadata.file_path")
     return rows.withColumn("session_id", F.lit(session))
 
 
-def stream_packets(spark: SparkSession, path: str, sep: str = "|", fields=BASE_FIELDS, min_fields: int = 16,
+def stream_packets(spark: SparkSession, path: str, sep: str = "|", fields=LIVE_FIELDS, min_fields: int = 16,
                    max_files_per_trigger: int | None = None, *, session: str) -> DataFrame:
-    """One packet per line from a growing folder, which is the feed of one session; lines with fewer than ``min_fields`` fields
-    are skipped."""
+    """One packet per line from a growing folder, which is the feed of one session, in the field order of live feeds; lines with
+    fewer than ``min_fields`` fields are skipped, later fields that a line lacks are absent."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

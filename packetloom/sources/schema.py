@@ -19,6 +19,11 @@ WIDE_FIELDS = (
     "arp_opcode", "arp_psrc", "arp_hwsrc", "arp_pdst",
     "tls_sni", "tls_ja3", "tls_ja4", "tls_version", "tls_cipher", "dhcp_sid",
 )
+# The order of a live feed; the IPv6 pair comes last and may be missing.
+LIVE_FIELDS = (
+    "ts", "len", "eth_src", "ip_src", "ip_dst", "proto", "tcp_sport", "tcp_dport", "tcp_flags", "udp_sport", "udp_dport",
+    "dns_qname", "dns_rcode", "dns_response", "arp_psrc", "arp_hwsrc", "ip6_src", "ip6_dst",
+)
 WLAN_FIELDS = ("wlan_type", "wlan_subtype", "wlan_sa", "wlan_retry", "rssi_radiotap", "rssi_wlanradio",
                "wlan_bssid", "wlan_ssid")
 EXTRA_FIELDS = ("payload",)

@@ -11,7 +11,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from packetloom.functions import is_local_scope, is_private, is_public
-from packetloom.operators import common, neighbours, providers, retrieval, scoring
+from packetloom.operators import common, history, neighbours, providers, retrieval, scoring
 from packetloom.sources import packets as P, tables as S
 
 
@@ -196,14 +196,37 @@ def test_components_of_chains(spark):
 
 
 def test_sessions_come_from_the_files(spark, tmp_path):
-    for name in ("a", "b"):
-        (tmp_path / f"{name}.txt").write_text("1.5|60\n2.5|70\n")
-    got = P.normalize_packets(P.read_packets(spark, str(tmp_path), fields=("ts", "len")))
-    assert sorted((r.session_id, r.ts) for r in got.collect()) == [("a", 1.5), ("a", 2.5), ("b", 1.5), ("b", 2.5)]
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.1.csv").write_text("1.5|60\n2.5|70\n")
+    got = P.normalize_packets(P.read_packets(spark, [str(tmp_path / "a"), str(tmp_path / "b")], fields=("ts", "len")))
+    assert sorted(("/".join(r.session_id.split("/")[-2:]), r.ts) for r in got.collect()) == [("a/x.1.csv", 1.5), ("a/x.1.csv", 2.5), ("b/x.1.csv", 1.5), ("b/x.1.csv", 2.5)]
     with pytest.raises(ValueError, match="session"):
         P.normalize_packets(got.drop("session_id"))
 
 
+def test_live_lines_have_their_own_order(spark, tmp_path):
+    (tmp_path / "feed.txt").write_text("1.5|60|m1|10.0.0.1|10.0.0.2|TCP|1|2|0x0002|||||||\n2.5|x|m2|||DNS||||5|53|a.example|3|True|||fd00::1|fd00::2\n3|1|short\n")
+    stream = P.stream_packets(spark, str(tmp_path), session="S1")
+    q = P.normalize_packets(stream).writeStream.format("memory").queryName("live_lines").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = {r.ts: r for r in spark.table("live_lines").collect()}
+    assert set(rows) == {1.5, 2.5}
+    assert (rows[1.5].ip_src, rows[1.5].eth_src, rows[1.5].tcp_dport, rows[1.5].tcp_flags, rows[1.5].dns_qname) == ("10.0.0.1", "m1", 2, "0x0002", None)
+    assert (rows[2.5].ip_src, rows[2.5].ip_dst, rows[2.5].len, rows[2.5].dns_rcode, rows[2.5].dns_response, rows[2.5].udp_dport) == ("fd00::1", "fd00::2", 0, "3", "1", 53)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_overlaps_meet_once(spark, seed):
+    rng = random.Random(seed)
+    width = lambda: rng.choice([0, 1, 59, 3600, 86400, 3 * 10**6, 2 * 10**8])
+    spans = [(f"S{i}", float(a := rng.randrange(10**9)), float(a + rng.random() * width())) for i in range(40)]
+    log = [(i, float(a := rng.randrange(10**9)), a + rng.random() * width() - rng.choice([0, 0, 0, 5])) for i in range(300)] + [(999, spans[0][2] + 120, spans[0][2] + 130), (998, spans[1][1] - 500, spans[1][1] - 120)]
+    got = history.overlapping_rows(spark.createDataFrame(spans, "session_id string, t0 double, t1 double"), spark.createDataFrame(log, "id bigint, started_at double, ended_at double")).collect()
+    want = [(s, i) for s, a, b in spans for i, x, y in log if x <= y and x <= b + 120 and y >= a - 120]
+    assert sorted((r.session_id, r.id) for r in got) == sorted(want) and ("S0", 999) in want
+
+
 def test_rate_anomaly_flags_a_burst(make):
     rows = [dict(ts=i + 0.5, len=100 + 10 * (i % 5), ip_src="10.0.0.1", ip_dst="10.0.0.2") for i in range(300)]
     rows[250]["len"] = 5000
