@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import stage
+from packetloom.llm.common import kept_by_worker, stage
 
 ROOM = 2048
-#: Words whose ids a task remembers before it starts anew; bounds its memory.
+#: Words whose ids a worker remembers before it starts anew; bounds its memory.
 CACHED_IDS = 1_200_000
 #: Pieces that are packed together, on average.
 GROUP = 16_384
@@ -63,7 +63,7 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 def _cut(path: str, room: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(path)
+        tokens = kept_by_worker(("word tokens", path), lambda: WordTokens(path))
 
         def rows(docs: list, texts: list[str]) -> dict[str, list]:
             out: dict[str, list] = {f.name: [] for f in _PIECES}
