@@ -352,6 +352,31 @@ def _(spark, d):
     return B.chronological_split(B.rate_series(packets(spark, d), bin_s=60)).select("session_id", "bin", "is_train")
 
 
+# The same for every second; the results are summed by hour, as there are millions of seconds.
+SECONDS_SQL = RATE_SQL.replace("/ 60)", "/ 1.0)").replace("bin * 60", "bin")
+
+
+@C.add("b05_w05_rate_series_1s", SECONDS_SQL + f"select session_id, bin // 3600 as hour, count(*) as bins, max(bin) as last_bin, count(*) filter (mean_size > 0) as busy, {rd('sum(mean_size)', 3)} as size from rate group by all")
+def _(spark, d):
+    return _hours(B.rate_series(packets(spark, d)), F.count(F.lit(1)).alias("bins"), F.max("bin").alias("last_bin"), F.count_if(F.col("mean_size") > 0).alias("busy"), F.round(F.sum("mean_size"), 3).alias("size"))
+
+
+@C.add("w03_lag_sequences_1s", SECONDS_SQL + ", l as (select session_id, bin, mean_size, " + ", ".join(f"lag(mean_size, {i}) over (partition by session_id order by bin) as lag_{i}" for i in range(1, 11))
+       + ") select session_id, bin // 3600 as hour, count(*) as n, ".replace(") select", " from rate) select") + ", ".join(f"{rd(f'sum(mean_size * lag_{i}) / 1000', 3)} as p{i}" for i in range(1, 11)) + " from l where lag_10 is not null group by all")
+def _(spark, d):
+    rows = B.lag_sequences(B.rate_series(packets(spark, d)))
+    return _hours(rows, F.count(F.lit(1)).alias("n"), *[F.round(F.sum(F.col("target") * F.col(f"lag_{i}")) / 1000, 3).alias(f"p{i}") for i in range(1, 11)])
+
+
+@C.add("w04_chronological_split_1s", SECONDS_SQL + ", s as (select session_id, bin, row_number() over (partition by session_id order by bin) <= floor(count(*) over (partition by session_id) * 0.8) as is_train from rate) select session_id, bin // 3600 as hour, count(*) filter (is_train) as train, count(*) as n from s group by all")
+def _(spark, d):
+    return _hours(B.chronological_split(B.rate_series(packets(spark, d))), F.count_if("is_train").alias("train"), F.count(F.lit(1)).alias("n"))
+
+
+def _hours(series, *measures):
+    return series.groupBy("session_id", F.floor(F.col("bin") / 3600).alias("hour")).agg(*measures)
+
+
 @C.add("b07_view_health", FF + "select session_id, case when count(total_bytes) = 0 then 'empty' when count(*) >= 8 and min(total_bytes) = max(total_bytes) then 'uniform' else 'ok' end as health from flow_features group by all")
 def _(spark, d):
     return K.view_health(A.ip_features(flows(spark, d)), "total_bytes", by=["session_id"])

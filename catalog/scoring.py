@@ -156,6 +156,18 @@ def _(spark, d):
     return M.rate_anomaly(packets(spark, d), bin_s=60)
 
 
+@C.add("m08_rate_anomaly_1s")
+def _(spark, d):
+    found = M.rate_anomaly(packets(spark, d))
+    return found.groupBy("session_id", "short", F.floor(F.col("bin") / 3600).alias("hour")).agg(
+        F.count(F.lit(1)).alias("bins"), F.count_if("flagged").alias("flagged"), F.max("error").alias("worst"), F.max("threshold").alias("threshold"))
+
+
+@C.add("b06_error_histogram_1s")
+def _(spark, d):
+    return M.error_histogram(M.rate_anomaly(packets(spark, d)))
+
+
 @C.add("b06_error_histogram")
 def _(spark, d):
     return M.error_histogram(M.rate_anomaly(packets(spark, d), bin_s=60))

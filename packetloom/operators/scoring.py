@@ -349,15 +349,19 @@ def rate_anomaly(packets: DataFrame, *, by=BY, lags: int = 10, train_share: floa
     """Bins whose mean packet size a linear predictor on the ``lags`` bins before misses by far.
 
     Spark sums the products of the lags; the normal equations of a session (one row) give its weights. The
-    threshold is the mean error of the last fifth plus ``sigmas`` deviations. Short sessions are left out."""
+    threshold is the mean error of the last fifth plus ``sigmas`` deviations. Sessions under ``min_bins`` bins have no model: their
+    bins come back unjudged, with ``short`` set."""
     by = list(by)
     series = cut_lineage(rate_series(packets, by=by, bin_s=bin_s))
     limits = series.groupBy(*by).agg(F.min("mean_size").alias("_lo"), F.max("mean_size").alias("_hi"),
-                                     F.count(F.lit(1)).alias("_bins")).where(F.col("_bins") >= min_bins)
+                                     F.count(F.lit(1)).alias("_bins"))
+    short = F.col("_bins") < min_bins
     span = F.col("_hi") - F.col("_lo")
     scaled = series.join(limits, by).withColumn(
         "mean_size", (F.col("mean_size") - F.col("_lo")) / F.when(span == 0, F.lit(1.0)).otherwise(span))
-    rows = lag_sequences(scaled, by=by, lags=lags)
+    unjudged = scaled.where(short).select(*by, "bin", "second", F.col("mean_size").alias("target"), *[F.lit(None).cast("double").alias(c) for c in ("error", "threshold")],
+                                          F.lit(False).alias("flagged"), F.lit(True).alias("short"))
+    rows = lag_sequences(scaled.where(~short), by=by, lags=lags)
     train = F.col("bin") - lags < F.floor((F.col("_bins") - lags) * train_share)
     terms = [F.lit(1.0), *[F.col(f"lag_{i}") for i in range(1, lags + 1)]]
     fit = rows.where(train).groupBy(*by).agg(
@@ -376,10 +380,12 @@ def rate_anomaly(packets: DataFrame, *, by=BY, lags: int = 10, train_share: floa
     limit = rows.where(~F.col("is_train")).groupBy(*by).agg(
         (F.avg("error") + sigmas * F.stddev_pop("error")).alias("threshold"))
     return rows.join(limit, by).select(*by, "bin", "second", "target", "error", "threshold",
-                                       (F.col("error") > F.col("threshold")).alias("flagged"))
+                                       (F.col("error") > F.col("threshold")).alias("flagged"), F.lit(False).alias("short")).unionByName(unjudged)
 
 
 def error_histogram(errors: DataFrame, *, by=BY, bins: int = 60) -> DataFrame:
+    """Errors of the judged bins of a session by size."""
+    errors = errors.where(F.col("error").isNotNull())
     span = errors.groupBy(*by).agg(F.min("error").alias("_lo"), F.max("error").alias("_hi"))
     width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / bins).otherwise(1.0)
     bin_ = F.least(F.lit(bins - 1), F.floor((F.col("error") - F.col("_lo")) / width))

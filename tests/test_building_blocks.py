@@ -232,7 +232,28 @@ def test_rate_anomaly_flags_a_burst(make):
     rows[250]["len"] = 5000
     got = scoring.rate_anomaly(make(rows)).where("flagged").collect()
     assert 250 in {r.second for r in got} and len(got) < 15
-    assert scoring.rate_anomaly(make(rows[:19])).count() == 0
+    few = scoring.rate_anomaly(make(rows[:19])).collect()
+    assert len(few) == 19 and all(r.short and not r.flagged and r.error is None for r in few)
+    assert scoring.error_histogram(scoring.rate_anomaly(make(rows[:19]))).count() == 0
+
+
+def test_rate_model_is_least_squares(make):
+    rng = random.Random(6)
+    rows = [dict(ts=i + rng.random() * 0.9, len=rng.randint(60, 1500), ip_src="10.0.0.1", ip_dst="10.0.0.2") for i in range(400) for _ in range(rng.choice([0, 1, 3]))]
+    got = sorted(scoring.rate_anomaly(make(rows), lags=4).collect(), key=lambda r: r.bin)
+    t0 = min(float(r["ts"]) for r in rows)
+    sizes = {}
+    for r in rows:
+        sizes.setdefault(int(float(r["ts"]) - t0), []).append(r["len"])
+    x = np.array([np.mean(sizes.get(i, [0])) for i in range(max(sizes) + 1)])
+    x = (x - x.min()) / (x.max() - x.min())
+    a = np.array([[1, *x[i - 4:i][::-1]] for i in range(4, len(x))])
+    cut = int((len(x) - 4) * 0.8)
+    w = np.linalg.lstsq(a[:cut], x[4:4 + cut], rcond=None)[0]
+    error = np.abs(a @ w - x[4:])
+    assert [r.bin for r in got] == list(range(4, len(x))) and np.allclose([r.error for r in got], error, atol=1e-6)
+    limit = error[cut:].mean() + 2 * error[cut:].std()
+    assert got[0].threshold == pytest.approx(limit, abs=1e-6) and [r.flagged for r in got] == list(error > limit)
 
 
 @settings(max_examples=60, deadline=None)
