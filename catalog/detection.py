@@ -194,6 +194,17 @@ def _(spark, d):
     return E.rogue_dhcp(packets(spark, d))
 
 
+@C.add("e04_dhcp_servers", W + f"select session_id, dhcp_sid as server, count(*) as n, {rd('min(ts)')} as first_ts, {rd('max(ts)')} as last_ts from packets where dhcp_sid is not null group by all")
+def _(spark, d):
+    return E.dhcp_servers(packets(spark, d))
+
+
+@C.add("e01_claimed_macs", W + f"""select session_id, arp_psrc as ip, arp_hwsrc as mac, count(*) as n, count(*) over (partition by session_id, arp_psrc) as n_macs, {rd('min(ts)')} as first_ts, {rd('max(ts)')} as last_ts
+  from packets where arp_psrc is not null and arp_hwsrc is not null and arp_psrc <> '0.0.0.0' and arp_hwsrc not in {BADMAC} group by session_id, arp_psrc, arp_hwsrc qualify count(*) over (partition by session_id, arp_psrc) > 1""")
+def _(spark, d):
+    return E.claimed_macs(packets(spark, d))
+
+
 _ENT = "(select -sum(n / t * log2(n / t)) from (select c, count(*) as n, sum(count(*)) over () as t from unnest(string_split({0}, '')) u(c) where c <> '' group by c))"
 E05 = f""", nm as (select distinct dns_qname as name from packets where dns_qname is not null),
   chr as (select name, unnest(string_split(split_part(trim(name, '.'), '.', 1), '')) as c from nm),

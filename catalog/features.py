@@ -413,6 +413,11 @@ def _(spark, d):
     return A.ports_per_ip(packets(spark, d))
 
 
+@C.add("a15_mdns_names", _Q + "select distinct session_id, ip_src as ip, qname as name from q where ends_with(qname, '.local') and ip_src is not null")
+def _(spark, d):
+    return A.ip_mdns_names(packets(spark, d))
+
+
 @C.add("a15_mdns_names_per_ip", _Q + """select session_id, ip_src as ip, string_agg(distinct qname, ';' order by qname) as names, count(distinct qname) as n_names from q
   where ip_src is not null and ends_with(qname, '.local') group by all""")
 def _(spark, d):

@@ -205,6 +205,7 @@ def ip_mdns_names(packets: DataFrame, *, by=BY) -> DataFrame:
 
 
 def mdns_names_per_ip(packets: DataFrame, *, by=BY, limit: int = 1000) -> DataFrame:
+    """The first ``limit`` names of an address as text and how many it has; `ip_mdns_names` has all, a row each."""
     return members_text(ip_mdns_names(packets, by=by), [*by, "ip"], "name", "names", limit, "n_names")
 
 

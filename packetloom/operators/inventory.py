@@ -62,20 +62,27 @@ def name_devices(ips: DataFrame, names: DataFrame, *, by=BY) -> DataFrame:
     """Multicast device name whose base is part of the address text; the last name in order wins.
 
     A base that is part of an address consists of address characters, so the test is an equality join on the
-    distinct substrings of each address."""
+    distinct pieces of each address."""
     matched = _names_in(ips, names, "ip", by)
     return matched.groupBy(*by, "ip").agg(F.max("name").alias("name"))
 
 
+#: The longest text of an address.
+ADDRESS_LENGTH = 45
+
+
 def _names_in(ips: DataFrame, names: DataFrame, column: str, by) -> DataFrame:
+    """(name, address) where the base of the name is part of the address. An address is cut into the pieces of those lengths that the
+    bases of its session have, of which there are few; the pieces meet the bases by equality."""
     base = F.lower(F.replace(F.col("qname"), F.lit(".local"), F.lit("")))
     bases = names.select(*by, F.col("qname").alias("name"), base.alias("part")).where(
-        F.col("part").rlike("^[0-9a-f.:]+$")).distinct()
+        F.col("part").rlike("^[0-9a-f.:]+$") & (F.length("part") <= ADDRESS_LENGTH)).distinct()
+    lengths = bases.groupBy(*by).agg(F.collect_set(F.length("part")).alias("_lengths"))
     text = F.lower(F.col(column))
-    starts = F.sequence(F.lit(1), F.length(text))
-    pieces = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), F.length(text) - i + 1), lambda n: text.substr(i, n)))))
-    parts = ips.select(*by, column).distinct().select(*by, column, F.explode(pieces).alias("part"))
+    fitting = F.filter("_lengths", lambda n: n <= F.length(text))
+    pieces = F.array_distinct(F.flatten(F.transform(fitting, lambda n: F.transform(
+        F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: text.substr(i, n)))))
+    parts = ips.select(*by, column).distinct().join(lengths, list(by)).select(*by, column, F.explode(pieces).alias("part"))
     return parts.join(bases, [*by, "part"])
 
 

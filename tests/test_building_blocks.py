@@ -11,7 +11,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from packetloom.functions import is_local_scope, is_private, is_public
-from packetloom.operators import common, history, neighbours, providers, retrieval, scoring
+from packetloom.operators import common, history, inventory, neighbours, providers, retrieval, scoring
 from packetloom.sources import packets as P, tables as S
 
 
@@ -227,6 +227,20 @@ def test_overlaps_meet_once(spark, seed):
     assert sorted((r.session_id, r.id) for r in got) == sorted(want) and ("S0", 999) in want
 
 
+def test_names_inside_addresses(spark):
+    rng = random.Random(9)
+    ips = [f"10.{rng.randrange(3)}.{rng.randrange(30)}.{rng.randrange(30)}" for _ in range(60)] + ["FD00::1:ab", "fe80::" + "1:" * 15 + "1"]
+    names = ["10.0.local", "0.1.local", "1.2.local", ".local", "d00::1:AB.local", "x10.local", "9.local", "10.2.2.22.local", "1" * 60 + ".local"] + [f"{i}.{i}.local" for i in range(12)]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = {r.ip: r.name for r in inventory.name_devices(df([("S", i) for i in ips], "session_id string, ip string"), df([("S", n) for n in names] + [("T", "10.local")], "session_id string, qname string")).collect()}
+    want = {}
+    for ip in ips:
+        hits = [n for n in names if (b := n.replace(".local", "").lower()) and set(b) <= set("0123456789abcdef.:") and b in ip.lower()]
+        if hits:
+            want[ip] = max(hits)
+    assert got == want and len(got) > 20
+
+
 def test_rate_anomaly_flags_a_burst(make):
     rows = [dict(ts=i + 0.5, len=100 + 10 * (i % 5), ip_src="10.0.0.1", ip_dst="10.0.0.2") for i in range(300)]
     rows[250]["len"] = 5000
