@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import check
 from conftest import SF
-from packetloom.llm import divergence_audit, queries, spelling_groups, vector_packing
+from packetloom.llm import common, divergence_audit, queries, spelling_groups, vector_packing
 from packetloom.llm.divergence_audit import Transducer
 from packetloom.llm.queries import tokenizer_path
 from packetloom.llm.vector_packing import Limits
@@ -283,3 +283,21 @@ def test_registered_packing(spark):
     assert set(found.doc_id) == set(ids)
     for total in found.groupby("sequence_id").length.sum():
         assert total == 2048 or total & (total - 1) == 0
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Session:
+        conf = {}
+
+        class sparkContext:
+            master = "local[4]"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    assert common.shared_folder(Session) == common.shared_folder(Session)
+    monkeypatch.setattr(Session.sparkContext, "master", "spark://host:7077")
+    with pytest.raises(ValueError, match="share"):
+        common.shared_folder(Session)
+    monkeypatch.setattr(Session.sparkContext, "getCheckpointDir", staticmethod(lambda: "hdfs:/given/"))
+    assert common.shared_folder(Session) == "hdfs:/given"
+    monkeypatch.setattr(Session, "conf", {"spark.checkpoint.dir": "s3://named"})
+    assert common.shared_folder(Session) == "s3://named"
