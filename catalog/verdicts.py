@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from packetloom.functions import verdict_cache_key
-from packetloom.operators import features as A, inventory as I, retrieval as X, rules as D, verdicts as V
+from packetloom.operators import browsing as B, engines as E, features as A, history as H, inventory as I, retrieval as X, rules as D, scoring as S, verdicts as V
+from packetloom.plans import reports
 from packetloom.session import cut_lineage
 
-from .base import Catalog, packets, rd, rdd, table
-from .detection import LOW_AMP, LOW_FLOOD, LOW_SCAN, _AMP, _FLOOD, scan_sql
-from .features import W, WF
-from .inventory import oui
+from .base import PACKETS_SQL, Catalog, packets, rd, rdd, stored, table
+from .detection import LOW_AMP, LOW_FLOOD, LOW_SCAN, RISK_SQL, SIGNALS_SQL_R, _AMP, _FLOOD, _fused, scan_sql, signals
+from .features import TLS_SUM_SQL, W, WF
+from .history import _SE, _VD, NOW, _now, _sessions
+from .inventory import RATE_SQL, oui
 
 C = Catalog()
 
@@ -77,19 +81,43 @@ def _(spark, d):
     return V.rank_candidates(r, s)
 
 
+# Prior verdicts on addresses of the packets, from the orders.
+_SEEN = "concat('10.0.0.', cast(o_custkey % 200 + 1 as string))"
+
+
+def _history(spark, d):
+    o = table(spark, d, "orders")
+    v = o.selectExpr("o_orderkey as session_id", "1 as candidate_row", f"{_VD} as verdict")
+    c = o.selectExpr("o_orderkey as session_id", "1 as candidate_row", f"{_SEEN} as candidate_id")
+    return H.baseline_history(v, c, _sessions(spark, d), _now())
+
+
+# Minutes with a mean size above 700 stand for the bins that a rate model flags.
+_RATE_FLAGS = """, rfl as (select session_id, bin from rate where mean_size > 700), rby as (select session_id, ip_src as ip, cast(floor((ts - t0) / 60) as bigint) as bin, sum(len) as sent from packets join b0 using (session_id)
+    where ip_src is not null and ip_dst is not null group by all),
+  rfc as (select session_id, ip, count(*) as bin_flag_count from (select session_id, bin, ip from rby join rfl using (session_id, bin) qualify row_number() over (partition by session_id, bin order by sent desc, ip) = 1) group by all) """
+
+
+def _rate_flags(spark, d):
+    p = packets(spark, d)
+    return S.rate_flag_counts(p, B.rate_series(p, bin_s=60).where("mean_size > 700"), bin_s=60)
+
+
+@C.add("v01_rate_attribution", RATE_SQL + _RATE_FLAGS + "select * from rfc")
+def _(spark, d):
+    return _rate_flags(spark, d)
+
+
 def _assembled(spark, d):
+    """The candidate records as they are kept per session: written once, read by the checks of their blocks."""
+    return stored(spark, d, "candidate_records", lambda: _records(spark, d))
+
+
+def _records(spark, d):
     p, s, scan, amp, arp, r = _candidates(spark, d)
-    k = ["session_id", "ip"]
-    sni = A.top_n_struct(A.tls_sni_per_ip(p), "host", "host", "top_tls_sni")
-    http = A.top_n_struct(A.http_hosts_per_ip(p), "host", "host", "top_http_hosts")
-    dns = A.top_n_struct(A.browsing_names(A.client_queries_per_ip(p)), "qname", "host", "top_dns_queries")
-    ports = A.top_n_struct(A.dst_ports_per_ip(p), "port_proto", "port_proto", "top_dst_ports")
-    web = sni.join(http, k, "full").join(dns, k, "full")
-    io = I.address_bytes(p).select(*k, F.col("bytes_dst").alias("bytes_in"), F.col("bytes_src").alias("bytes_out"))
-    blocks = {"websites": web, "traffic": io.join(ports, k, "left"), "tls": A.tls_summary_by_ip(p), "device_context": I.light_device_context(p, oui(spark))}
-    blocks = {n: cut_lineage(t) for n, t in blocks.items()}
+    blocks = {n: cut_lineage(t) for n, t in reports.candidate_blocks(p, signals(spark, d), _fused(spark, d), oui(spark), _history(spark, d)).items()}
     ranked = cut_lineage(V.rank_candidates(r, s))
-    return V.assemble_candidates(ranked, cut_lineage(s), scan, amp, arp, D.syn_flood(p, **LOW_FLOOD), A.session_summary(p), blocks)
+    return V.assemble_candidates(ranked, cut_lineage(s), scan, amp, arp, D.syn_flood(p, **LOW_FLOOD), A.session_summary(p), blocks, _rate_flags(spark, d))
 
 
 @C.add("v01_assemble_candidates", _SC + """select session_id, candidate_id, kind, rank, trigger_reasons, n_scan, packets from (
@@ -103,6 +131,61 @@ def _(spark, d):
         "n_scan", F.when(F.col("kind") == "ip", F.col("n_scan")))
 
 
+def _top5(name, rows):
+    return f"""{name} as (select session_id, ip, string_agg(h || '=' || n, ';' order by n desc, h) as v from (select session_id, ip, h, count(*) as n from ({rows}) where ip is not null and h is not null and h <> '' group by session_id, ip, h
+    qualify row_number() over (partition by session_id, ip order by count(*) desc, h) <= 5) group by all)"""
+
+
+_WEB = (", " + _top5("whttp", "select session_id, ip_src as ip, http_host as h from packets") + ", " + _top5("wsni", "select session_id, ip_src as ip, tls_sni as h from packets") + ", "
+        + _top5("wdns", "select * from (select session_id, ip_src as ip, rtrim(dns_qname, '.') as h from packets where dns_response <> '1') where not ends_with(h, '.local') and not ends_with(h, '.arpa') and not starts_with(h, '_')") + ", "
+        + _top5("wport", "select session_id, ip_src as ip, tcp_dport || '/tcp' as h from packets union all select session_id, ip_src, udp_dport || '/udp' from packets")
+        + """, wio as (select session_id, ip, nullif(sum(o), 0) as o, nullif(sum(i), 0) as i from (select session_id, ip_src as ip, len as o, 0 as i from packets union all select session_id, ip_dst, 0, len from packets) where ip is not null group by all),
+  ctx as (select session_id, min(ts) as t0, max(ts) - min(ts) as dur, count(*) as np, count(distinct ip_src) as nip from packets group by all) """)
+
+
+@C.add("v01_candidate_surroundings", TLS_SUM_SQL + _SC[len(W) - 1:] + _WEB + f"""select rr.session_id, rr.ip as candidate_id, whttp.v as http_hosts, wsni.v as tls_sni, wdns.v as dns_queries, wport.v as ports, cast(o as bigint) as bytes_out, cast(i as bigint) as bytes_in,
+  case when o + i > 0 then {rdd('o / (o + i)', 3)} end as upload_ratio, tsum.versions as tls_versions, weak_cipher_count, has_weak_version, {rdd('dur', 1)} as duration_s, np as total_packets, nip as total_ips,
+  strftime(make_timestamp(cast(floor(t0) as bigint) * 1000000), '%Y-%m-%dT%H:%M:%S') as iso_timestamp, hour(make_timestamp(cast(floor(t0) as bigint) * 1000000)) as hour_of_day, strftime(make_timestamp(cast(floor(t0) as bigint) * 1000000), '%a') as day_of_week
+  from rr join ctx using (session_id) """ + "".join(f"left join {t} on {t}.session_id = rr.session_id and {t}.ip = rr.ip " for t in ("whttp", "wsni", "wdns", "wport", "wio", "tsum")))
+def _(spark, d):
+    a = _assembled(spark, d).where("kind = 'ip'")
+    flat = lambda c, label="host": F.expr(f"array_join(transform({c}, x -> concat(x.{label}, '=', x.count)), ';')")
+    return a.select("session_id", "candidate_id", flat("websites.top_http_hosts").alias("http_hosts"), flat("websites.top_tls_sni").alias("tls_sni"), flat("websites.top_dns_queries").alias("dns_queries"),
+                    flat("traffic.top_dst_ports", "port_proto").alias("ports"), "traffic.bytes_out", "traffic.bytes_in", "traffic.upload_ratio", flat("tls.versions", "version").alias("tls_versions"),
+                    "tls.weak_cipher_count", "tls.has_weak_version", "session_context.duration_s", "session_context.total_packets", "session_context.total_ips", "session_context.iso_timestamp",
+                    "session_context.hour_of_day", "session_context.day_of_week")
+
+
+def _apart(ctes, others):
+    """CTEs renamed where another part of the statement uses their names."""
+    names = lambda text: set(re.findall(r"\b(\w+) as \(select", text))
+    for name in names(ctes) & names(others):
+        ctes = re.sub(rf"\b{name}\b", f"{name}_c", ctes)
+    return ctes
+
+
+@C.add("v01_candidate_signals", SIGNALS_SQL_R + RISK_SQL + _apart(_SC[len(W) - 1:], SIGNALS_SQL_R + RISK_SQL) + f""", cw as (select session_id, device, case when signal = 'beaconing' then 'b' when signal in ('dns_tunneling', 'nxdomain_storm') then 'd' when signal = 'dga_domain' then 'g' when signal in ('rare_ja3', 'tls_no_sni_external', 'sni_ip_mismatch') then 't' end as e, severity || ':' || "count" || ':' || peer as v,
+    row_number() over (partition by session_id, device, e order by score desc, first_ts, peer desc) as r from sig where device <> ''),
+  cw1 as (select session_id, device as ip, max(v) filter (e = 'b') as beaconing, max(v) filter (e = 'd') as dns_tunneling, max(v) filter (e = 'g') as dga, max(v) filter (e = 't') as tls_anomaly from cw where r = 1 group by all),
+  cfu as (select session_id, device as ip, {rdd('least(1.0, base * boost)', 3)} as fusion, len(string_split(techniques, ';')) as techniques from risk where device <> ''),
+  tl as (select session_id, ts, len from packets where ip_src is not null and ip_dst is not null), b0 as (select session_id, min(ts) as t0 from tl group by all),
+  rate as (select session_id, cast(floor((ts - t0) / 60) as bigint) as bin, avg(len) as mean_size from tl join b0 using (session_id) group by all) {_RATE_FLAGS},
+  ses as (select """ + ", ".join(_SE) + f""" from orders), hv as (select {_SEEN} as ip, {_VD} as verdict, finished_at from orders join ses on id = o_orderkey where status = 'done'),
+  hg as (select ip, min(finished_at) as f, count(*) filter (verdict = 'benign') as b, count(*) filter (verdict = 'suspicious') as s, count(*) filter (verdict = 'malicious') as m, count(*) filter (finished_at is null) as nn from hv group by ip),
+  hist as (select ip, true as seen_before, case when nn > 0 then null else cast(floor((epoch_us({NOW}) - epoch_us(f)) / 86400000000.0) as bigint) end as days_since_first_seen,
+    nullif(concat_ws(' · ', case when b > 0 then b || '/' || (b + s + m) || ' benign' end, case when s > 0 then s || '/' || (b + s + m) || ' suspicious' end, case when m > 0 then m || '/' || (b + s + m) || ' malicious' end), '') as prior_verdict_summary from hg)
+  select rr.session_id, rr.ip as candidate_id, fusion, techniques, beaconing, dns_tunneling, dga, tls_anomaly, bin_flag_count as lstm_bin_flag_count, seen_before, days_since_first_seen, prior_verdict_summary, {rdd('iso_score', 4)} as iso_score, f."count"::double as n_packets,
+    {rdd('f.mean_len', 4)} as mean_len, 0::bigint as n_floods from rr """ + "".join(f"left join {t} on {t}.session_id = rr.session_id and {t}.ip = rr.ip " for t in ("cfu", "cw1", "rfc")) + """left join hist on hist.ip = rr.ip left join features f on f.session_id = rr.session_id and f.ip = rr.ip
+  union all select session_id, 'session:' || session_id, null, null, null, null, null, null, null, null, null, null, null, null, null, 1::bigint from flood""")
+def _(spark, d):
+    t = lambda c: F.expr(f"{c}.severity || ':' || {c}.count || ':' || {c}.peer").alias(c.split(".")[1])
+    return _assembled(spark, d).select(
+        "session_id", "candidate_id", F.col("advanced_signals.fusion_score.score").alias("fusion"), F.col("advanced_signals.fusion_score.techniques").alias("techniques"),
+        *[t(f"advanced_signals.{e}") for e in ("beaconing", "dns_tunneling", "dga", "tls_anomaly")], "ml_signals.lstm_bin_flag_count", "baseline_history.seen_before",
+        "baseline_history.days_since_first_seen", "baseline_history.prior_verdict_summary", "ml_signals.iso_score", F.col("features.count").alias("n_packets"), F.col("features.mean_len").alias("mean_len"),
+        F.size("rule_signals.flood_alerts").alias("n_floods"))
+
+
 @C.add("v13_evidence_projection", _SC + f""", pc as (select session_id, ip, pt, count(*) as n, row_number() over (partition by session_id, ip order by count(*) desc, pt) as r from (select session_id, ip_src as ip, tcp_dport || '/tcp' as pt from packets union all select session_id, ip_src, udp_dport || '/udp' from packets)
     where ip is not null and pt is not null group by session_id, ip, pt),
   tw as (select session_id, ip_src as ip, bool_or(tls_version in ('0x0300', '0x0301', '0x0302') or coalesce(lower(tls_cipher) in ('0x0001','0x0002','0x0003','0x0004','0x0005','0x0006','0x0008','0x0009','0x000a'), false)) as weak from packets where tls_version is not null group by all)
@@ -118,12 +201,46 @@ def _(spark, d):
   count(*) filter (rr.r > 40) as capped, any_value((select count(*) from scan where scan.session_id = f.session_id)) as scan_alerts, any_value((select count(*) from amp where amp.session_id = f.session_id)) as amp_alerts, any_value((select count(*) from arpc where arpc.session_id = f.session_id)) as arp_ips
   from scored f left join rr on rr.session_id = f.session_id and rr.ip = f.ip join (select session_id, count(*) as np from packets group by all) z on z.session_id = f.session_id group by f.session_id""")
 def _(spark, d):
-    from packetloom.plans.reports import candidate_context
     p, s, scan, amp, arp, r = _candidates(spark, d)
-    return candidate_context(A.session_summary(p), s, V.rank_candidates(r, s), scan, amp, arp).select(
+    return reports.candidate_context(A.session_summary(p), s, V.rank_candidates(r, s), scan, amp, arp).select(
         "session_id", "n_packets", "forest_anomalies", "noise", "not_flagged", "capped", "scan_alerts", "amp_alerts", "arp_ips")
 
 
+_LOCAL = "regexp_matches(ip, '^(10[.]|192[.]168[.]|127[.]|169[.]254[.]|172[.](1[6-9]|2[0-9]|3[01])[.]|fe80:|fc|fd)')"
+_HOSTS = ", hosts as (select coalesce(s.session_id, rr.session_id) as session_id, coalesce(s.ip, rr.ip) as ip, case when rr.ip is null then 'not_flagged' when r > 40 then 'capped' else 'flagged' end as section, case when r <= 40 then r end as rank, coalesce(\"count\", 0) as packets, " + rdd("s.iso_score", 3) + """ as iso_score,
+  cast(cluster as bigint) as cluster, coalesce(unique_dsts, 0) as unique_dsts from scored s full join rr on rr.session_id = s.session_id and rr.ip = s.ip) """
+
+
+@C.add("a27_context_hosts", _SC + _HOSTS + "select * from hosts")
+def _(spark, d):
+    _, s, _, _, _, r = _candidates(spark, d)
+    return reports.context_hosts(s, V.rank_candidates(r, s))
+
+
+@C.add("a27_context_record", _SC + _HOSTS + f""", ends as (select distinct session_id, ip from (select session_id, ip_src as ip from packets union all select session_id, ip_dst from packets) where ip is not null),
+  re as (select session_id, count(*) filter ({_LOCAL}) as local_ips_count, count(*) filter (not {_LOCAL}) as external_ips_count from ends group by all),
+  su as (select session_id, count(*) as n_packets, {rdd('max(ts) - min(ts)', 1)} as duration_s, strftime(make_timestamp(cast(floor(max(ts)) as bigint) * 1000000), '%Y-%m-%dT%H:%M:%S') as time_end, count(distinct ip_src) as total_ips, count(distinct eth_src) as total_macs,
+    count(*) filter (dns_rcode = '3' and dns_response = '1') as dns_nxdomain, count(distinct case when length(rtrim(dns_qname, '.')) > 60 then rtrim(dns_qname, '.') end) as dns_long_queries from packets group by all),
+  pr as (select session_id, string_agg(proto || '=' || n, ';' order by n desc, proto) as top_protocols from (select session_id, proto, count(*) as n from packets where proto is not null group by session_id, proto qualify row_number() over (partition by session_id order by count(*) desc, proto) <= 5) group by all),
+  ml as (select session_id, count(*) filter (anomaly) as isolation_forest_anomalies, count(*) filter (cluster = -1) as dbscan_noise, count(distinct cluster) filter (cluster <> -1) as dbscan_clusters from scored group by all),
+  hc as (select session_id, count(*) filter (section = 'flagged') as n_flagged, count(*) filter (section = 'not_flagged') as n_not_flagged, count(*) filter (section = 'capped') as n_capped, string_agg(ip, ';' order by ip) filter (section = 'flagged') as flagged from hosts group by all),
+  hd as (select session_id, section, string_agg(ip || ':' || packets || case when section = 'capped' then ':' || unique_dsts else ':' || cluster end, ';' order by packets desc, ip) as v from (select * from hosts where section <> 'flagged' qualify row_number() over (partition by session_id, section order by packets desc, ip) <= 50) group by all),
+  sm as (select session_id, string_agg(type || ' from `' || src || '` (' || "count" || ' pkts, ratio ' || ratio || ')', ';' order by "count" desc, src, type) as scan_summary from (select * from scan qualify row_number() over (partition by session_id order by "count" desc, src, type) <= 5) group by all),
+  ct as (select session_id, (select count(*) from scan x where x.session_id = su.session_id) as scan_alerts, (select count(*) from flood x where x.session_id = su.session_id) as flood_alerts, (select count(*) from amp x where x.session_id = su.session_id) as amp_alerts,
+    (select count(distinct ip) from arpc x where x.session_id = su.session_id) as arp_spoofing_ips from su)
+  select *, (select v from hd where hd.session_id = su.session_id and section = 'not_flagged') as not_flagged, (select v from hd where hd.session_id = su.session_id and section = 'capped') as capped, dbscan_clusters >= 1 as dbscan_meaningful, 'S.pcap' as original_filename, case session_id when 'S1' then 'north' end as sensor_name
+  from su join re using (session_id) join pr using (session_id) join ml using (session_id) join hc using (session_id) join ct using (session_id) left join sm using (session_id)""")
+def _(spark, d):
+    p, s, scan, amp, arp, r = _candidates(spark, d)
+    captures = p.groupBy("session_id").agg(F.lit("S.pcap").alias("original_filename")).withColumn("sensor_name", F.expr("case session_id when 'S1' then 'north' end"))
+    c = reports.context_record(p, s, cut_lineage(V.rank_candidates(r, s)), scan, amp, arp, D.syn_flood(p, **LOW_FLOOD), captures=captures)
+    flat = lambda e, f: F.expr(f"nullif(array_join(transform({e}, x -> {f}), ';'), '')")
+    return c.select("session_id", "n_packets", "duration_s", F.col("time_range")[1].alias("time_end"), "total_ips", "local_ips_count", "external_ips_count", "total_macs", "original_filename", "sensor_name",
+                    flat("top_protocols", "x.proto || '=' || x.count").alias("top_protocols"), "ml.*", *[F.col(f"rules.{n}") for n in ("scan_alerts", "flood_alerts", "amp_alerts", "arp_spoofing_ips", "dns_nxdomain", "dns_long_queries")],
+                    flat("rules.scan_alerts_summary", "x").alias("scan_summary"), "n_flagged", "n_not_flagged", "n_capped", flat("flagged_ip_ids", "x").alias("flagged"),
+                    flat("not_flagged_ips", "x.ip || ':' || x.packets || ':' || x.cluster").alias("not_flagged"), flat("capped_details", "x.ip || ':' || x.packets || ':' || x.unique_dsts").alias("capped"))
+
+
 # ---- verdict checks ---------------------------------------------------------------------------
 
 _JSON = "case conv_id % 8 when 0 then 'nonsense' when 1 then '{\"verdict\": \"benign\"}' else concat('{\"verdict\": \"', case when conv_id % 8 = 2 then 'odd' else coalesce(verdict, 'benign') end, '\", \"category\": \"', category, '\", \"confidence\": ', case when conv_id % 8 = 3 then '1.5' when conv_id % 8 = 4 then '\"0.5\"' else cast(seat as string) end, ', \"evidence_features\": ', case when conv_id % 8 = 5 then '\"x\"' else '[\"features.count\", \"a.b[1]\"]' end, ', \"reasoning\": \"', case when conv_id % 8 = 6 then '  ' else 'so   it is' end, '\", \"recommended_action\": \"monitor\"}') end"
@@ -311,6 +428,34 @@ def _(spark, d):
     return V.pair_highlights(_diff(spark, d))
 
 
+_DEV = "nullif(concat_ws(' ', case when seat % 3 = 0 then null else 'Acme' end, case when seat % 2 = 0 then 'host' || seat end), '')"
+
+
+@C.add("c02_pair_report", f"with {PACKETS_SQL}, " + _PAIR[5:].replace("a.verdict as verdict_s1", "a.device as device_s1, b.device as device_s2, a.verdict as verdict_s1").replace("select *, regexp_replace", f"select *, {_DEV} as device, regexp_replace") + f""",
+  o1 as (select *, row_number() over (order by {_SEV.format('verdict_s1')} nulls last, coalesce(confidence_s1, 0) desc, ip) as r from df where change = 'only_s1' qualify r <= 20), o2 as (select *, row_number() over (order by {_SEV.format('verdict_s2')} nulls last, coalesce(confidence_s2, 0) desc, ip) as r from df where change = 'only_s2' qualify r <= 20),
+  fl as (select *, row_number() over (order by ip) as r from df where change = 'flip' qualify r <= 20), b1 as (select *, row_number() over (order by coalesce(confidence_s1, 0) desc, ip) as r from df where verdict_s1 in ('malicious', 'suspicious') qualify r <= 3),
+  b2 as (select *, row_number() over (order by coalesce(confidence_s2, 0) desc, ip) as r from df where verdict_s2 in ('malicious', 'suspicious') qualify r <= 3), cap as (select session_id, min(ts) as t0 from packets group by all)
+  select 'S1' as s1, 'S2' as s2, count(*) filter (change <> 'only_s2') as total_s1, count(*) filter (change <> 'only_s1') as total_s2, count(*) filter (verdict_s1 = 'malicious' and change <> 'only_s2') as malicious_s1, count(*) filter (verdict_s2 = 'benign' and change <> 'only_s1') as benign_s2,
+  count(*) filter (change = 'only_s1') as only_s1_total, count(*) filter (change = 'only_s2') as only_s2_total, count(*) filter (change = 'flip') as flip_total, count(*) filter (change = 'unchanged') as unchanged,
+  (select string_agg(flow || '=' || n, ';' order by flow) from (select flow, count(*) as n from df where flow is not null group by flow)) as category_flow,
+  (select string_agg(ip || ':' || coalesce(verdict_s1, '') || ':' || confidence_s1 || ':' || coalesce(device_s1, ''), ';' order by r) from o1) as only_s1, (select string_agg(ip || ':' || coalesce(verdict_s2, '') || ':' || confidence_s2 || ':' || coalesce(device_s2, ''), ';' order by r) from o2) as only_s2,
+  (select string_agg(ip, ';' order by r) from o2 where verdict_s2 in ('malicious', 'suspicious')) as new_non_benign_s2, (select string_agg(ip || ':' || flow || ':' || confidence_s1 || ':' || confidence_s2 || ':' || category_s2 || ':' || coalesce(device_s2, ''), ';' order by r) from fl) as flips,
+  (select string_agg(ip || ':' || verdict_s1 || ':' || confidence_s1, ';' order by r) from b1) as top_non_benign_s1, (select string_agg(ip || ':' || verdict_s2 || ':' || confidence_s2, ';' order by r) from b2) as top_non_benign_s2,
+  cast(round((select t0 from cap where session_id = 'S2') - (select t0 from cap where session_id = 'S1')) as bigint) as gap_seconds from df""")
+def _(spark, d):
+    v = votes(spark, d).withColumn("ip", F.regexp_replace("ip", "^10.0.[0-9]+.", "")).withColumns(
+        {"vendor": F.expr("case when seat % 3 = 0 then null else 'Acme' end"), "hostname": F.expr("case when seat % 2 = 0 then 'host' || seat end")})
+    captures = A.session_summary(packets(spark, d)).select("session_id", "t0", "n_pkts")
+    r = V.pair_report(v.where("session_id = 'S1'"), v.where("session_id = 'S2'"), captures)
+    flat = lambda c, f: F.expr(f"nullif(array_join(transform({c}, x -> {f}), ';'), '')").alias(c)
+    side = "x.ip || ':' || coalesce(x.verdict, '') || ':' || x.confidence || ':' || coalesce(x.device, '')"
+    best = "x.ip || ':' || x.verdict || ':' || x.confidence"
+    return r.select("s1", "s2", "total_s1", "total_s2", F.col("counts_s1.malicious").alias("malicious_s1"), F.col("counts_s2.benign").alias("benign_s2"), "only_s1_total", "only_s2_total", "flip_total", "unchanged",
+                    F.expr("nullif(array_join(array_sort(transform(map_entries(category_flow), x -> x.key || '=' || x.value)), ';'), '')").alias("category_flow"), flat("only_s1", side), flat("only_s2", side),
+                    flat("new_non_benign_s2", "x.ip"), flat("flips", "x.ip || ':' || x.from || ' -> ' || x.to || ':' || x.from_confidence || ':' || x.to_confidence || ':' || x.s2_category || ':' || coalesce(x.device, '')"),
+                    flat("top_non_benign_s1", best), flat("top_non_benign_s2", best), "gap_seconds")
+
+
 _POST = "case {n} % 4 when 0 then 'stable' when 1 then 'mixed' when 2 then 'escalated' else 'de-escalated' end"
 
 

@@ -383,6 +383,21 @@ def rate_anomaly(packets: DataFrame, *, by=BY, lags: int = 10, train_share: floa
                                        (F.col("error") > F.col("threshold")).alias("flagged"), F.lit(False).alias("short")).unionByName(unjudged)
 
 
+def rate_flag_counts(packets: DataFrame, flagged: DataFrame, *, by=BY, bin_s: float = 1.0) -> DataFrame:
+    """How many flagged bins each source is answerable for: a flagged bin counts for the source that sent the most bytes in it, the
+    smaller address on a tie. ``flagged`` needs the session and ``bin`` as the rate series numbers them.
+
+    Bytes are summed by bin and source before anything is compared, so a busy second is one row per source."""
+    by = list(by)
+    rows = timeline(packets, by=by)
+    start = rows.groupBy(*by).agg(F.min("time").alias("_t0"))
+    bins = rows.join(start, by).withColumn("bin", F.floor((F.col("time") - F.col("_t0")) / bin_s))
+    sent = (bins.join(flagged.select(*by, "bin").distinct(), [*by, "bin"], "left_semi")
+            .groupBy(*by, "bin", "src").agg(F.sum("size").alias("_bytes")))
+    top = sent.groupBy(*by, "bin").agg(F.min_by("src", F.struct(-F.col("_bytes"), "src")).alias("ip"))
+    return top.groupBy(*by, "ip").agg(F.count(F.lit(1)).alias("bin_flag_count"))
+
+
 def error_histogram(errors: DataFrame, *, by=BY, bins: int = 60) -> DataFrame:
     """Errors of the judged bins of a session by size."""
     errors = errors.where(F.col("error").isNotNull())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import is_private, is_public, json_path_exists, ti_score
+from ..functions import is_private, is_public, json_path_exists, ti_score, time_context, upload_ratio
 from .common import first_per_group, top_per_group
 from .features import BY
 
@@ -68,44 +68,105 @@ def rank_candidates(reasons: DataFrame, scored: DataFrame, *, by=BY, cap: int =
     return rows.join(kept.select(*keys, "rank"), keys, "left").withColumn("capped", F.col("rank").isNull())
 
 
+# Blocks of a candidate record with their fields; a block that nobody provides is there with NULL fields.
+_HOSTS = "array<struct<host: string, count: bigint>>"
+_WORST = "struct<score: double, severity: string, count: bigint, peer: string>"
+RECORD_BLOCKS = {
+    "advanced_signals": (("beaconing", _WORST), ("dns_tunneling", _WORST), ("dga", _WORST), ("tls_anomaly", _WORST),
+                         ("fusion_score", "struct<score: double, techniques: int>")),
+    "device_context": (("category", "string"), ("hostname", "string"), ("oui_vendor", "string")),
+    "websites": (("top_http_hosts", _HOSTS), ("top_tls_sni", _HOSTS), ("top_dns_queries", _HOSTS)),
+    "traffic": (("top_dst_ports", "array<struct<port_proto: string, count: bigint>>"), ("bytes_in", "bigint"),
+                ("bytes_out", "bigint"), ("upload_ratio", "double")),
+    "tls": (("versions", "array<struct<version: string, count: bigint>>"), ("weak_cipher_count", "bigint"),
+            ("has_weak_version", "boolean")),
+    "baseline_history": (("seen_before", "boolean"), ("days_since_first_seen", "bigint"), ("prior_verdict_summary", "string")),
+}
+
+
+def _block(name: str, has: set[str], prefix: str) -> Column:
+    fields = []
+    for field, kind in RECORD_BLOCKS[name]:
+        value = F.col(prefix + field) if field in has else F.lit(None)
+        value = value.cast(kind)
+        if field == "upload_ratio" and field not in has and {"bytes_in", "bytes_out"} <= has:
+            value = upload_ratio(F.col(f"{prefix}bytes_in"), F.col(f"{prefix}bytes_out"))
+        elif (name, field) == ("device_context", "category"):
+            value = F.coalesce(value, F.lit("unknown"))
+        fields.append(value.alias(field))
+    return F.struct(*fields).alias(name)
+
+
 def assemble_candidates(ranked: DataFrame, scored: DataFrame, scan: DataFrame, amp: DataFrame, arp: DataFrame, flood: DataFrame,
-                        summary: DataFrame, parts: dict[str, DataFrame] | None = None, *, by=BY) -> DataFrame:
+                        summary: DataFrame, parts: dict[str, DataFrame] | None = None, rate_flags: DataFrame | None = None, *,
+                        by=BY) -> DataFrame:
     """Nested record per candidate, plus one session candidate where a flood was seen. Candidates beyond the cap
     have no ``rank``; the short list of a report is the records that have one.
 
-    ``parts`` maps a block name (advanced_signals, device_context, websites, traffic, tls, baseline_history) to a
-    table keyed by session and ip whose other columns become that block."""
+    ``parts`` maps a block of ``RECORD_BLOCKS`` to a table keyed by session and ip, or by ip alone, with fields of that block; every
+    block is in every record, with NULL fields where nothing is known. ``rate_flags`` has (session, ip, bin_flag_count). Model numbers
+    have four digits; a candidate that sent no packets has NULL features and scores."""
     keys = [*by, "ip"]
-    kept = ranked
     alerts = scan.groupBy(*by, F.col("src").alias("ip")).agg(
         F.sort_array(F.collect_list(F.struct("type", "count", "unique_dsts", "ratio"))).alias("scan_alerts"))
     amps = amp.select(*by, F.col("src").alias("ip"), F.array(F.struct("responses", "mean_size")).alias("amp_alerts"))
     claims = arp.select(*keys).distinct().withColumn("arp_multi_mac", F.lit(True))
     model = ("mean_len", "std_len", "count", "burst_score", "unique_dsts", "syn_count", "rst_count", "fin_count", "null_count",
              "xmas_count")
-    feats = scored.select(*keys, F.struct(*[F.col(c).cast("double").alias(c) for c in model]).alias("features"),
-                          F.struct("iso_score", "iso_stability", "anomaly", "cluster").alias("ml_signals"))
-    out = (kept.drop("iso_score").join(feats, keys, "left").join(alerts, keys, "left").join(amps, keys, "left")
+    feats = scored.select(*keys, *[F.round(F.col(c).cast("double"), 4).alias(f"_f_{c}") for c in model],
+                          *[F.round(c, 4).alias(c) for c in ("iso_score", "iso_stability")], "anomaly", F.col("cluster").cast("bigint"))
+    out = (ranked.drop("iso_score").join(feats, keys, "left").join(alerts, keys, "left").join(amps, keys, "left")
            .join(claims, keys, "left"))
-    out = out.withColumn("rule_signals", F.struct(
-        F.coalesce("scan_alerts", F.expr("cast(array() as array<struct<type:string,count:bigint,unique_dsts:bigint,ratio:double>>)"))
-        .alias("scan_alerts"),
-        F.coalesce("amp_alerts", F.expr("cast(array() as array<struct<responses:bigint,mean_size:double>>)")).alias("amp_alerts"),
-        F.coalesce("arp_multi_mac", F.lit(False)).alias("arp_multi_mac")))
-    names = []
-    for name, table in (parts or {}).items():
-        body = [c for c in table.columns if c not in keys]
-        out = out.join(table.select(*keys, F.struct(*body).alias(name)), keys, "left")
-        names.append(name)
-    context = summary.select(*by, F.struct("duration_s", F.col("n_pkts").alias("total_packets"),
-                                           F.col("n_src_ips").alias("total_ips"), "t0").alias("session_context"))
+    if rate_flags is None:
+        out = out.withColumn("bin_flag_count", F.lit(None).cast("bigint"))
+    else:
+        out = out.join(rate_flags.select(*keys, "bin_flag_count"), keys, "left")
+    no_scan = F.expr("cast(array() as array<struct<type:string,count:bigint,unique_dsts:bigint,ratio:double>>)")
+    no_flood = F.expr("cast(array() as array<struct<type:string,total_syn:bigint,syn_sources:bigint,syn_per_sec:double,"
+                      "syn_per_source:double,spoofed_source_pattern:boolean>>)")
+    no_amp = F.expr("cast(array() as array<struct<responses:bigint,mean_size:double>>)")
+
+    def rules_block(scans, floods, amps, claim):
+        return F.struct(F.coalesce(scans, no_scan).alias("scan_alerts"), floods.alias("flood_alerts"),
+                        F.coalesce(amps, no_amp).alias("amp_alerts"), F.coalesce(claim, F.lit(False)).alias("arp_multi_mac")).alias("rule_signals")
+
+    def models_block(*values):
+        return F.struct(*[v.cast(t).alias(n) for v, (n, t) in zip(values, (
+            ("iso_score", "double"), ("iso_stability", "double"), ("anomaly", "boolean"), ("cluster", "bigint"), ("silhouette", "double"),
+            ("lstm_bin_flag_count", "bigint")))]).alias("ml_signals")
+
+    def enrichments(private):
+        unknown = F.lit(None).cast("string")
+        return F.struct(private.cast("boolean").alias("is_private"), unknown.alias("reverse_dns"), unknown.alias("asn"),
+                        F.lit(None).cast("boolean").alias("baseline_seen_before")).alias("enrichments")
+
+    none = F.lit(None)
+    blocks = []
+    for name in RECORD_BLOCKS:
+        table = (parts or {}).get(name)
+        fields = set() if table is None else set(table.columns)
+        if table is not None:
+            on = [k for k in keys if k in fields]
+            out = out.join(table.select(*on, *[F.col(c).alias(f"_{name}_{c}") for c in table.columns if c not in on]), on, "left")
+        blocks.append(_block(name, fields - set(keys), f"_{name}_"))
+    # Repeats for candidates that are no address.
+    empty = [F.struct(*[(F.lit("unknown") if f == "category" else F.lit(None).cast(t)).alias(f) for f, t in fields]).alias(name)
+             for name, fields in RECORD_BLOCKS.items()]
+    context = summary.select(*by, F.struct(
+        F.round("duration_s", 1).alias("duration_s"), F.col("n_pkts").alias("total_packets"), F.col("n_src_ips").alias("total_ips"), "t0",
+        *[time_context(F.col("t0"))[c].alias(c) for c in ("iso_timestamp", "hour_of_day", "day_of_week")]).alias("session_context"))
+    features = F.struct(*[F.col(f"_f_{c}").alias(c) for c in model]).alias("features")
     out = out.join(context, list(by), "left").select(
-        *by, F.col("ip").alias("candidate_id"), F.lit("ip").alias("kind"), "rank", "session_context", "features", "ml_signals",
-        "rule_signals", *names, F.struct(is_private(F.col("ip")).alias("is_private")).alias("enrichments"),
-        F.split("trigger_reasons", ";").alias("trigger_reasons"))
-    flood_row = flood.select(*by, F.concat(F.lit("session:"), F.col(by[0])).alias("candidate_id"), F.lit("session").alias("kind"),
-                             F.struct("total_syn", "syn_sources", "syn_per_sec", "syn_per_source", "spoofed_source_pattern")
-                             .alias("flood"), F.array(F.lit("flood_rule")).alias("trigger_reasons")).join(context, list(by), "left")
+        *by, F.col("ip").alias("candidate_id"), F.lit("ip").alias("kind"), "rank", "session_context", features,
+        models_block(F.col("iso_score"), F.col("iso_stability"), F.col("anomaly"), F.col("cluster"), none, F.col("bin_flag_count")),
+        rules_block(F.col("scan_alerts"), no_flood, F.col("amp_alerts"), F.col("arp_multi_mac")), *blocks,
+        enrichments(is_private(F.col("ip"))), F.split("trigger_reasons", ";").alias("trigger_reasons"))
+    seen = F.struct("type", "total_syn", "syn_sources", "syn_per_sec", "syn_per_source", "spoofed_source_pattern")
+    flood_row = flood.join(context, list(by), "left").select(
+        *by, F.concat(F.lit("session:"), F.col(by[0])).alias("candidate_id"), F.lit("session").alias("kind"), "session_context",
+        models_block(*[none] * 6), rules_block(no_scan, F.array(seen), no_amp, F.lit(False)), *empty, enrichments(none),
+        F.struct("total_syn", "syn_sources", "syn_per_sec", "syn_per_source", "spoofed_source_pattern").alias("flood"),
+        F.array(F.lit("flood_rule")).alias("trigger_reasons"))
     return out.unionByName(flood_row, allowMissingColumns=True)
 
 
@@ -394,9 +455,10 @@ def is_exhausted(usage: DataFrame, *, request_cap: int | None = None, token_cap:
 
 # ---- pair comparison --------------------------------------------------------------------------
 
-def verdict_pair_diff(v1: DataFrame, v2: DataFrame, *, key: str = "ip") -> DataFrame:
-    """Full outer comparison of the verdicts of two sessions, one row per address, all kept."""
-    side = lambda df, p: df.select(key, *[F.col(c).alias(f"{c}_{p}") for c in ("verdict", "category", "confidence")])
+def verdict_pair_diff(v1: DataFrame, v2: DataFrame, *, key: str = "ip", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Full outer comparison of the verdicts of two sessions, one row per address, all kept. ``carry`` names further columns of both
+    sides to take along."""
+    side = lambda df, p: df.select(key, *[F.col(c).alias(f"{c}_{p}") for c in ("verdict", "category", "confidence", *carry)])
     j = side(v1, "s1").withColumn("_1", F.lit(True)).join(side(v2, "s2").withColumn("_2", F.lit(True)), key, "full")
     change = (F.when(F.col("_2").isNull(), "only_s1").when(F.col("_1").isNull(), "only_s2")
               .when(F.col("verdict_s1") == F.col("verdict_s2"), "unchanged")
@@ -405,6 +467,64 @@ def verdict_pair_diff(v1: DataFrame, v2: DataFrame, *, key: str = "ip") -> DataF
     return j.withColumns({"change": change, "flow": flow}).drop("_1", "_2")
 
 
+def device_text(vendor: Column, hostname: Column) -> Column:
+    """'vendor hostname' of what is known, NULL if nothing is."""
+    return F.nullif(F.concat_ws(" ", F.nullif(vendor, F.lit("")), F.nullif(hostname, F.lit(""))), F.lit(""))
+
+
+def pair_report(v1: DataFrame, v2: DataFrame, captures: DataFrame | None = None, *, labels: tuple[str, str] = ("S1", "S2"),
+                shown: int = 20, worst: int = 3, key: str = "ip") -> DataFrame:
+    """One row that sums up how the verdicts of two sessions differ.
+
+    Counts cover all addresses; the lists hold the first ``shown`` addresses of one side only (worst first, then surest, then by
+    address) and of those whose verdict changed (by address, with the confidence of both sides), and the ``worst`` surest non-benign
+    ones of each side. Inputs need verdict, category, confidence and may have vendor and hostname, one row per address.
+    ``captures``, if given, has a row per session as `context_record` makes them (session_id, t0 and what else is to be shown); the
+    gap runs from the start of the first capture to that of the second. Without data, counts are 0 and lists empty."""
+    named = lambda df: df.withColumn("device", device_text(
+        *[F.col(c) if c in df.columns else F.lit(None).cast("string") for c in ("vendor", "hostname")]))
+    diff = verdict_pair_diff(named(v1), named(v2), key=key, carry=("device",))
+    flows = [f"{a} -> {b}" for a in VERDICTS for b in VERDICTS if a != b]
+    on = {p: F.col("change") != other for p, other in (("s1", "only_s2"), ("s2", "only_s1"))}
+    tally = diff.agg(
+        *[F.struct(*[F.count_if(on[p] & (F.col(f"verdict_{p}") == v)).alias(v) for v in reversed(VERDICTS)]).alias(f"counts_{p}") for p in on],
+        *[F.count_if(on[p]).alias(f"total_{p}") for p in on],
+        *[F.count_if(F.col("change") == c).alias(n) for c, n in (
+            ("only_s1", "only_s1_total"), ("only_s2", "only_s2_total"), ("flip", "flip_total"), ("unchanged", "unchanged"))],
+        *[F.count_if(F.col("flow") == f).alias(f) for f in flows])
+    flow = F.create_map(*[c for f in flows for c in (F.lit(f), F.col(f"`{f}`"))])
+    tally = tally.withColumn("category_flow", F.map_filter(flow, lambda _, n: n > 0)).drop(*flows)
+
+    def one(p):
+        return F.struct(F.col(key).alias("ip"), *[F.col(f"{c}_{p}").alias(c) for c in ("verdict", "category", "confidence", "device")])
+
+    flip = F.struct(F.col(key).alias("ip"), F.col("verdict_s1").alias("from"), F.col("verdict_s2").alias("to"),
+                    F.col("confidence_s1").alias("from_confidence"), F.col("confidence_s2").alias("to_confidence"),
+                    F.col("category_s2").alias("s2_category"), F.col("device_s2").alias("device"))
+    bad_first = lambda p: [F.desc_nulls_last(severity(F.col(f"verdict_{p}"))), F.desc(F.coalesce(f"confidence_{p}", F.lit(0.0))), F.asc(key)]
+    surest = lambda p: [F.desc(F.coalesce(f"confidence_{p}", F.lit(0.0))), F.asc(key)]
+    bad = lambda p: F.col(f"verdict_{p}").isin("malicious", "suspicious")
+    lists = {
+        "only_s1": (diff.where("change = 'only_s1'"), bad_first("s1"), shown, one("s1")),
+        "only_s2": (diff.where("change = 'only_s2'"), bad_first("s2"), shown, one("s2")),
+        "flips": (diff.where("change = 'flip'"), [F.asc(key)], shown, flip),
+        "top_non_benign_s1": (diff.where(on["s1"] & bad("s1")), surest("s1"), worst, one("s1")),
+        "top_non_benign_s2": (diff.where(on["s2"] & bad("s2")), surest("s2"), worst, one("s2")),
+    }
+    out = tally.select(F.lit(labels[0]).alias("s1"), F.lit(labels[1]).alias("s2"), "*")
+    for name, (rows, order, n, body) in lists.items():
+        # The first rows of a whole ordered table: each task sends n of them.
+        head = rows.orderBy(*order).limit(n).select(F.monotonically_increasing_id().alias("_at"), body.alias("_b"))
+        out = out.join(head.agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_b"))), lambda s: s["_b"]).alias(name)))
+    risky = F.filter("only_s2", lambda r: r["verdict"].isin("malicious", "suspicious"))
+    out = out.withColumn("new_non_benign_s2", risky)
+    if captures is None:
+        return out
+    sides = captures.where(F.col("session_id").isin(*labels)).agg(*[
+        F.max_by(F.struct("*"), F.when(F.col("session_id") == label, 1)).alias(f"capture_{p}") for label, p in zip(labels, on)])
+    return out.join(sides).withColumn("gap_seconds", F.round(F.col("capture_s2.t0") - F.col("capture_s1.t0")).cast("bigint"))
+
+
 def pair_change_counts(diff: DataFrame) -> DataFrame:
     return diff.groupBy("change", "flow").agg(F.count(F.lit(1)).alias("n"))
 
