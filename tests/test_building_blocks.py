@@ -316,3 +316,47 @@ def test_verdict_archive(spark, tmp_path):
                         "Device: Acme. Triggered by: scan_rule. Reasoning: why")
     assert row.meta["ip"] == "10.0.0.1" and row.source == "session:7:10.0.0.1"
     assert S.read_report_texts(spark, str(tmp_path)).first().text == "# All of it"
+
+
+def test_cosine_cells_give_what_all_pairs_give(spark):
+    import numpy as np
+    from packetloom.operators import retrieval
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8))
+    points = [(centres[i % 12] + 0.1 * rng.normal(size=8)).tolist() for i in range(600)] + [[0.0] * 8] * 150 + [[1.0] + [0.0] * 7] * 150
+    asked = [(centres[i % 12] + 0.3 * rng.normal(size=8)).tolist() for i in range(40)] + [[0.0] * 8, [1.0] + [0.0] * 7, [-1.0] + [0.0] * 7]
+    c = spark.createDataFrame(list(enumerate(points)), "chunk_id int, vec array<double>")
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, vec array<double>")
+    unit = lambda rows: (lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n))(np.array(rows))
+    score = unit(asked) @ unit(points).T
+    for k, most in ((5, 20), (200, 50)):
+        got = {}
+        for r in retrieval.cosine_topk(q, c, k=k, max_queries=7, max_chunks=most).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.chunk_id, r.score))
+        for i in range(len(asked)):
+            mine = [x[2] for x in sorted(got[i])]
+            assert len(mine) == k and np.allclose(mine, np.sort(score[i])[::-1][:k], atol=1e-9)
+            assert all(abs(score[i][x[1]] - x[2]) < 1e-9 for x in got[i])
+            # Equal vectors tie exactly, the smaller ids come first.
+            same = [x[1] for x in sorted(got[i]) if x[1] >= 600]
+            assert all(set(range(lo, x)) <= set(same) for x in same for lo in [600 if x < 750 else 750])
+
+
+def test_cosine_visits_only_cells_within_reach(spark):
+    import numpy as np
+    import pandas as pd
+    from packetloom.operators import retrieval
+    pivots = np.eye(4)
+    cells = {i: (10, 0.1) for i in range(4)}
+    one = pd.DataFrame({"query_id": [1], "vec": [[1.0, 0.05, 0.0, 0.0]], "_least": [0.99]})
+    assert [list(x["_cell"]) for x in retrieval._visits("vec", pivots, cells, 3, 0)([one])] == [[0]]
+    assert [list(x["_cell"]) for x in retrieval._visits("vec", pivots, cells, 3, 1)([one])] == [[]]
+    assert [list(x["_cell"]) for x in retrieval._visits("vec", pivots, cells, 3, 1)([one.assign(_least=-2.0)])] == [[1, 2, 3]]
+
+
+def test_cosine_without_index_or_queries(spark):
+    from packetloom.operators import retrieval
+    c = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "chunk_id int, vec array<double>")
+    q = c.withColumnRenamed("chunk_id", "query_id")
+    assert retrieval.cosine_topk(q, c.where("false")).count() == 0 and retrieval.cosine_topk(q.where("false"), c).count() == 0
+    assert [tuple(r) for r in retrieval.cosine_topk(q, c).select("query_id", "chunk_id", "score").collect()] == [(1, 1, 1.0)]
