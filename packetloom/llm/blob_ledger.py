@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,10 @@ RULE_VERSION = "1"
 FINDING = "struct<start: int, kind_no: int, end: int, kind: string>"
 
 
+#: Matches that are placed together. An array that grows by one match is copied each time, so it grows in arrays of this many.
+TOGETHER = 256
+
+
 def _step(no: int, kind: str, least: int):
     """One match after another: where it starts and ends, and whether it counts."""
 
@@ -37,6 +43,23 @@ def _step(no: int, kind: str, least: int):
     return step
 
 
+def _places(pairs: Column, no: int, kind: str, least: int) -> Column:
+    """The findings among the matches of one rule, placed by TOGETHER at a time: work is in proportion to their number."""
+    none = F.expr(f"cast(array() as array<{FINDING}>)")
+    nothing = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<array<{FINDING}>>)").alias("parts"))
+
+    def all_of(known: Column) -> Column:
+        def part(state: Column, first: Column) -> Column:
+            done = F.aggregate(F.slice(known, first, F.lit(TOGETHER)), F.struct(state["at"].alias("at"), none.alias("out")), _step(no, kind, least))
+            return F.transform(F.array(done), lambda d: F.struct(d["at"].alias("at"), F.concat(state["parts"], F.array(d["out"])).alias("parts")))[0]
+
+        starts = F.sequence(F.lit(1), F.greatest(F.size(known), F.lit(1)), F.lit(TOGETHER))
+        return F.aggregate(starts, nothing, part, lambda s: F.flatten(s["parts"]))
+
+    # A name for the matches: an expression would be computed anew for each part.
+    return F.transform(F.array(pairs), all_of)[0]
+
+
 def matches(text: Column, rules=RULES) -> Column:
     """All findings of a text, by start and then kind, in code points with the end exclusive.
 
@@ -50,14 +73,16 @@ def matches(text: Column, rules=RULES) -> Column:
         whole = F.regexp_extract_all(text, p, F.lit(0))
         measured = F.regexp_extract_all(text, p, F.lit(group)) if group else whole
         between = F.split(text, pattern, -1)
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
         pairs = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("whole"), measured.alias("measured"))
-        places = F.aggregate(pairs, start, _step(no, kind, least), lambda s: s["out"])
-        found.append(F.when(F.rlike(text, p), places).otherwise(none))
+        found.append(F.when(F.rlike(text, p), _places(pairs, no, kind, least)).otherwise(none))
     return F.array_sort(F.concat(*found))
 
 
+def rule_version(rules=RULES, version: str = RULE_VERSION) -> str:
+    """The version that findings are entered under: other rules are another version, whatever they are called."""
+    return f"{version}-{hashlib.sha256(repr(tuple(rules)).encode()).hexdigest()[:16]}"
+
+
 def _ledger(spark: SparkSession, path: str | None, version: str) -> DataFrame | None:
     """What the ledger holds for a rule version, or nothing if there is no ledger yet."""
     if path is None:
@@ -74,9 +99,11 @@ def scan(docs: DataFrame, ledger: str | None = None, rules=RULES, version: str =
     Each distinct text that the ledger has not seen under this rule version is scanned once and entered; the findings are then joined
     to every row with that text. `ledger` is a folder of Parquet files that grows with every call, so a run over all historical
     versions scans only what is new; without one, the ledger lasts for this call. Null texts count as empty and have no findings.
-    Repeated rows each get a row, hot texts are scanned once, an empty table enters nothing. Only `keep` and the text are read.
+    Repeated rows each get a row, hot texts are scanned once, an empty table enters nothing. Only `keep` and the text are read. A blob
+    that two runs have entered at the same time counts once.
     """
     spark = docs.sparkSession
+    version = rule_version(rules, version)
     path = ledger or staged_path(spark)
     rows = docs.select(*keep, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("sha"))
     blobs = docs.select(F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("sha"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -86,6 +113,6 @@ def scan(docs: DataFrame, ledger: str | None = None, rules=RULES, version: str =
     unseen = blobs.groupBy("sha").agg(F.first("text").alias("text"))
     scanned = unseen.select("sha", F.lit(version).alias("rule_version"), matches(F.col("text"), rules).alias("findings"))
     scanned.write.mode("append").parquet(path)
-    found = spark.read.parquet(path).where((F.col("rule_version") == version) & (F.size("findings") > 0)).select("sha", "findings")
+    found = spark.read.parquet(path).where((F.col("rule_version") == version) & (F.size("findings") > 0)).groupBy("sha").agg(F.first("findings").alias("findings"))
     out = rows.join(found, "sha", "left")
     return out.withColumn("findings", F.coalesce("findings", F.expr(f"cast(array() as array<{FINDING}>)")))

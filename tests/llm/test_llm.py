@@ -388,3 +388,35 @@ def test_pipeline_stages(spark, docs, tmp_path):
     kept = {r.doc_id for r in frame.collect()}
     assert {0, 2, 1000} <= kept and not kept & {4, 5, 6, 7, 1001}
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept
+
+
+def test_ledger_keeps_rule_sets_apart_and_counts_a_blob_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "password: hunter22 key-1234"), (2, None)], "doc_id int, text string")
+    ledger = str(tmp_path / "ledger")
+    kinds = lambda rules: [[f.kind for f in r.findings] for r in blob_ledger.scan(docs, ledger, rules).orderBy("doc_id").collect()]
+    assert kinds(blob_ledger.RULES) == [["assign"], []]
+    assert kinds((("key", r"key-[0-9]+", 0, 4),)) == [["key"], []]
+    assert kinds(blob_ledger.RULES) == [["assign"], []]
+    held = spark.read.parquet(ledger)
+    held.write.mode("append").parquet(str(tmp_path / "twice"))
+    held.write.mode("append").parquet(str(tmp_path / "twice"))
+    assert blob_ledger.scan(docs, str(tmp_path / "twice")).count() == 2
+
+
+def test_ledger_places_many_findings_of_one_text(spark):
+    import re
+    import time
+    text = "".join(f"secret = tok{i:06d}é{'0123456789abcdef' * 2 if i % 3 else ''}\n" for i in range(12_000))
+    began = time.time()
+    got = [(f.kind, f.start, f.end) for f in blob_ledger.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).first().findings]
+    spent = time.time() - began
+    want = [("assign", m.start(), m.end()) for m in re.finditer(r"secret\x20*=\x20*([A-Za-z0-9+/_.=-]+)", text)]
+    want += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]{24,}", text)]
+    assert len(got) == 20_000 and got == sorted(want, key=lambda f: (f[1], f[0] == "hex"))
+    assert spent < 60
+
+
+def test_base_score_without_training_rows_follows_its_formula(spark):
+    held = next(i for i in range(100) if trie_scoring.held_out(i))
+    r = trie_scoring.score(spark.createDataFrame([(held, "one two")], "doc_id long, text string")).first()
+    assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and abs(r.base_score) < 1e-9
