@@ -330,7 +330,7 @@ def _frame(most: int):
 
 
 def _read(n_train: int, n_vocabulary: int):
-    floor = math.log10(n_train + 0.1 * (n_vocabulary + 1)) if n_train else 0.0
+    floor = math.log10(n_train + 0.1 * (n_vocabulary + 1))
 
     def run(frames: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         answers = answers.sort_values("shard")
