@@ -38,6 +38,13 @@ def test_address_scopes_follow_the_standard_library(spark):
             assert r.g == a.is_global, r
 
 
+def test_dotted_numbers_past_255_belong_to_the_block_they_begin_with(spark):
+    want = {"10.0.449.200": (True, True), "192.168.2.256": (True, True), "230.1.300.1": (False, True), "52.10.300.1": (False, False),
+            "10.0.300": (False, False), "10.0.300.x": (False, False)}
+    got = spark.createDataFrame([(i,) for i in want], "ip string").select("ip", is_private(F.col("ip")).alias("p"), is_local_scope(F.col("ip")).alias("l")).collect()
+    assert {r.ip: (r.p, r.l) for r in got} == want
+
+
 def test_quantiles_with_a_hot_key(spark):
     rng = np.random.default_rng(1)
     data = {"hot": np.round(rng.exponential(50, 4000), 3), "ties": np.repeat([5.0, 7.0], 300), "one": np.array([3.5]), "neg": rng.normal(0, 2, 101)}
