@@ -45,6 +45,27 @@ def test_dotted_numbers_past_255_belong_to_the_block_they_begin_with(spark):
     assert {r.ip: (r.p, r.l) for r in got} == want
 
 
+@pytest.mark.parametrize("block", [7, 2000])
+def test_silhouette_equals_all_pairs_and_takes_equal_points_once(spark, block):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 20, (6, 2))
+    rows = [(f"10.0.{c}.{i}", c, *(centres[c] + rng.normal(0, 1, 2)).tolist()) for c in range(6) for i in range(30 if c == 0 else 4)]
+    rows += [(f"10.1.{r[0][5:]}.{k}", *r[1:]) for r in rows[:40] for k in range(9)]  # copies
+    rows += [("10.9.9.9", -1, 500.0, 500.0)]
+    df = spark.createDataFrame([("S1", *r) for r in rows], "session_id string, ip string, cluster int, x double, y double")
+    got = scoring.silhouette(df.drop("cluster"), df.select("session_id", "ip", "cluster"), ["x", "y"], block=block).collect()
+    v, c = np.array([r[2:] for r in rows]), np.array([r[1] for r in rows])
+    s = []
+    for i in np.flatnonzero(c >= 0):
+        d = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
+        a = d[(c == c[i])].sum() / ((c == c[i]).sum() - 1)
+        b = min(d[c == k].mean() for k in range(6) if k != c[i])
+        s.append((b - a) / max(a, b))
+    assert [(r.n_clusters, r.n_noise) for r in got] == [(6, 1)] and math.isclose(got[0].silhouette, np.mean(s), abs_tol=1e-9)
+    met = scoring._block_pairs(df.where("cluster >= 0").groupBy("session_id", "cluster", "x", "y").agg(F.min("ip").alias("ip"), F.count("*").alias("n")), ["session_id"], 2000)
+    assert met.count() == 50
+
+
 def test_quantiles_with_a_hot_key(spark):
     rng = np.random.default_rng(1)
     data = {"hot": np.round(rng.exponential(50, 4000), 3), "ties": np.repeat([5.0, 7.0], 300), "one": np.array([3.5]), "neg": rng.normal(0, 2, 101)}
