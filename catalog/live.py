@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from packetloom.operators import features as A
-from packetloom.session import ensure_checkpoint_dir
+from packetloom.session import ensure_checkpoint_dir, staged
 from packetloom.sources import tables as S
 from packetloom.sources.adapters import raw_packets_from_events
 from packetloom.sources.packets import normalize_packets, read_packet_list, read_packets, stream_packets
@@ -40,9 +40,10 @@ def text_folder(spark, d) -> str:
     key = (spark.sparkContext.applicationId, d)
     if key not in _text:
         path = _fresh(spark, "export")
-        raw = raw_packets_from_events(spark, d)
+        # Derived once by all tasks; only the finished lines go through the one task of a file.
+        lines = staged(raw_packets_from_events(spark, d).select("packet_id", F.concat_ws("|", *BASE_FIELDS).alias("value")))
         for name, odd in (("a", 0), ("b", 1)):
-            raw.where(F.col("packet_id") % 2 == odd).coalesce(1).select(F.concat_ws("|", *BASE_FIELDS).alias("value")).write.text(f"{path}/{name}")
+            lines.where(F.col("packet_id") % 2 == odd).select("value").coalesce(1).write.text(f"{path}/{name}")
         _text[key] = path
     return _text[key]
 
@@ -52,7 +53,7 @@ def feed_folder(spark, d) -> str:
     key = (spark.sparkContext.applicationId, d, "feed")
     if key not in _text:
         path = _fresh(spark, "feed")
-        raw = raw_packets_from_events(spark, d).select(F.concat_ws("|", *LIVE_FIELDS).alias("value"), F.col("ts").cast("double").alias("_at"))
+        raw = staged(raw_packets_from_events(spark, d).select(F.concat_ws("|", *LIVE_FIELDS).alias("value"), F.col("ts").cast("double").alias("_at")))
         cuts = [float("-inf"), *raw.stat.approxQuantile("_at", [0.2, 0.4, 0.6, 0.8], 0.01), float("inf")]
         for lo, hi in zip(cuts, cuts[1:]):
             raw.where((F.col("_at") > lo) & (F.col("_at") <= hi)).select("value").coalesce(1).write.mode("append").text(path)

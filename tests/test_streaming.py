@@ -119,3 +119,21 @@ def test_a_sum_of_squares_keeps_its_digits(spark, make):
     folds = default_folds()
     std = host_features(folds["pairs"].partial(make(rows))).first().std_len
     assert std == pytest.approx(A.ip_features(make(rows)).first().std_len) == pytest.approx(0.50025, abs=1e-4)
+
+
+def test_the_feed_is_derived_once(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    from catalog import live
+
+    derived = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(ts):
+        derived.add(1)
+        return ts
+
+    one = live.raw_packets_from_events
+    monkeypatch.setattr(live, "raw_packets_from_events", lambda s, d: one(s, d).withColumn("ts", seen("ts")))
+    monkeypatch.setattr(live, "_text", {})
+    rows = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert spark.read.text(live.feed_folder(spark, sf)).count() == rows + 1 and derived.value == rows
