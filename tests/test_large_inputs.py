@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from packetloom.operators import neighbours
+from packetloom.operators import neighbours, retrieval
 
 
 def test_points_whose_values_differ_when_computed_again_keep_their_rows(spark):
@@ -17,3 +18,17 @@ def test_points_whose_values_differ_when_computed_again_keep_their_rows(spark):
     eps = spark.createDataFrame([("S1", 1.5)], "session_id string, eps double")
     found = neighbours.close_components(x, eps, ["x"], leaf=10).collect()
     assert len(found) == 60 and {r.size for r in found} == {60}
+
+
+def test_scores_of_equal_vectors_are_equal_wherever_they_lie():
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 64)).astype("float32")
+    v = base[rng.integers(0, 40, 997)]
+    stored = pd.DataFrame({"chunk_id": np.arange(997), "vec": list(v)})
+    got = retrieval._scorer("chunk_id", "vec", 6)(pd.DataFrame({"query_id": np.arange(997), "vec": list(v), "_least": -2.0}), stored)
+    unit = retrieval._unit(v)
+    s = np.einsum("ij,kj->ik", unit, unit)
+    for q, part in got.groupby("query_id"):
+        equal = np.flatnonzero((v == v[q]).all(axis=1))[:6]
+        assert part["chunk_id"].tolist()[:len(equal)] == equal.tolist() and len(part) == 6
+        assert np.allclose(part["score"], np.sort(s[:, q])[::-1][:6], atol=1e-12)
