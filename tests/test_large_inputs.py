@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from packetloom.operators import neighbours, retrieval
@@ -20,6 +21,17 @@ def test_points_whose_values_differ_when_computed_again_keep_their_rows(spark):
     assert len(found) == 60 and {r.size for r in found} == {60}
 
 
+def test_pieces_leave_a_task_in_small_batches():
+    schema = pa.schema([("source", pa.string()), ("meta", pa.map_(pa.string(), pa.string())), ("ord", pa.int32()), ("text", pa.string())])
+    texts = ["word. " * 40_000, None, "", "short"] * 8
+    batch = pa.RecordBatch.from_arrays([pa.array([f"d{i}" for i in range(len(texts))]), pa.array([[("kind", "file")]] * len(texts), schema.field("meta").type), pa.array(texts)],
+                                       names=["source", "meta", "_text"])
+    out = list(retrieval._pieces(1000, 150, schema)(iter([batch])))
+    assert max(b.nbytes for b in out) < 3 * retrieval.PIECES
+    assert [(r["source"], r["ord"], r["text"]) for b in out for r in b.to_pylist()] == [
+        (f"d{i}", j, p) for i, t in enumerate(texts) for j, p in enumerate(retrieval.split_text(t))]
+
+
 def test_scores_of_equal_vectors_are_equal_wherever_they_lie():
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 64)).astype("float32")
