@@ -62,16 +62,28 @@ def max_distinct_in_window(df: DataFrame, keys: Sequence[str], ts: str, item: st
                            out: str = "best") -> DataFrame:
     """Largest number of distinct items of a key inside any trailing window of ``width_s`` (both ends in).
 
-    Events are replicated into the next slice of the same width, so every trailing window lies inside one
-    (key, slice) group and a busy key is spread over its slices."""
-    events = df.where(F.col(ts).isNotNull()).select(
-        *keys, F.round(F.col(ts).cast("double") * 1e6).cast("bigint").alias("_ts"), F.col(item).alias("_item")).distinct()
+    Time is cut into slices as wide as the window, so events of an item in one slice always follow each other within a window and only
+    its first and last one there matter: the events are reduced to these before the shuffle. An item is in the window from the first
+    event of a run to a width behind its last one; the items that are there are a running sum over entries and exits, cut into slices."""
+    keys = list(keys)
     width = round(width_s * 1e6)  # whole microseconds, so that widths under a second count too
-    sliced = events.withColumn("_home", F.floor(F.col("_ts") / width)).withColumn(
-        "_slice", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
-    w = Window.partitionBy(*keys, "_slice").orderBy("_ts").rangeBetween(-width, 0)
-    seen = sliced.withColumn("_n", F.size(F.collect_set("_item").over(w))).where(F.col("_home") == F.col("_slice"))
-    return seen.groupBy(*keys).agg(F.max("_n").cast("bigint").alias(out))
+    events = df.where(F.col(ts).isNotNull()).select(
+        *keys, F.round(F.col(ts).cast("double") * 1e6).cast("bigint").alias("_ts"), F.col(item).alias("_item"))
+    ends = events.groupBy(*keys, "_item", F.floor(F.col("_ts") / width).alias("_slice")).agg(
+        F.min("_ts").alias("_lo"), F.max("_ts").alias("_hi"))
+    of_item = Window.partitionBy(*keys, "_item").orderBy("_slice")
+    far = lambda gap: F.coalesce(gap > width, F.lit(True))
+    counted = F.col("_item").isNotNull()
+    steps = ends.withColumns({"_in": far(F.col("_lo") - F.lag("_hi").over(of_item)), "_out": far(F.lead("_lo").over(of_item) - F.col("_hi"))}).select(
+        *keys, F.inline(F.array(F.struct(F.col("_lo").alias("_at"), F.when(counted & F.col("_in"), 1).otherwise(0).alias("_d")),
+                                F.struct((F.col("_hi") + width + 1).alias("_at"), F.when(counted & F.col("_out"), -1).otherwise(0).alias("_d")))))
+    steps = steps.groupBy(*keys, "_at").agg(F.sum("_d").alias("_d")).withColumn("_slice", F.floor(F.col("_at") / width))
+    inner = Window.partitionBy(*keys, "_slice").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    peaks = steps.withColumn("_run", F.sum("_d").over(inner)).groupBy(*keys, "_slice").agg(
+        F.max("_run").alias("_most"), F.sum("_d").alias("_sum"))
+    outer = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_sum").over(outer), F.lit(0))
+    return peaks.withColumn("_n", before + F.col("_most")).groupBy(*keys).agg(F.max("_n").cast("bigint").alias(out))
 
 
 def components(links: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from packetloom.operators import neighbours, retrieval
+from packetloom.operators import common, neighbours, retrieval
 
 
 def test_points_whose_values_differ_when_computed_again_keep_their_rows(spark):
@@ -21,6 +21,17 @@ def test_points_whose_values_differ_when_computed_again_keep_their_rows(spark):
     assert len(found) == 60 and {r.size for r in found} == {60}
 
 
+def test_distinct_items_of_a_window_are_counted_without_the_events_of_the_window(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.choice([0.0, 0.5]) + rng.randrange(400), rng.choice("abcdefg") if rng.random() < 0.9 else None) for k in "xy" for _ in range(300)] + [("z", 1.0, None)]
+    frame = spark.createDataFrame(rows, "k string, t double, i string")
+    for width in (3, 30, 0.25):
+        got = common.max_distinct_in_window(frame, ["k"], "t", "i", width)
+        want = {k: max(len({i for q, u, i in rows if q == k and t - width <= u <= t and i}) for p, t, _ in rows if p == k) for k in "xyz"}
+        assert {r.k: r.best for r in got.collect()} == want
+    assert "collect_set" not in got._jdf.queryExecution().toString()
+
+
 def test_pieces_leave_a_task_in_small_batches():
     schema = pa.schema([("source", pa.string()), ("meta", pa.map_(pa.string(), pa.string())), ("ord", pa.int32()), ("text", pa.string())])
     texts = ["word. " * 40_000, None, "", "short"] * 8
