@@ -55,3 +55,15 @@ def test_scores_of_equal_vectors_are_equal_wherever_they_lie():
         equal = np.flatnonzero((v == v[q]).all(axis=1))[:6]
         assert part["chunk_id"].tolist()[:len(equal)] == equal.tolist() and len(part) == 6
         assert np.allclose(part["score"], np.sort(s[:, q])[::-1][:6], atol=1e-12)
+
+
+def test_visits_leave_a_task_in_small_batches(spark, monkeypatch):
+    rows = pd.DataFrame({"session_id": "S1", "ip": [str(i) for i in range(3_000)], "leaf": 0, "v": [np.zeros(2)] * 3_000})
+    boxes = {("S1",): (np.arange(1, 51), np.zeros((50, 2)), np.ones((50, 2)))}
+    kept = []
+    fake = spark.createDataFrame(rows.iloc[:1].assign(v=[[0.0, 0.0]]), "session_id string, ip string, leaf bigint, v array<double>")
+    monkeypatch.setattr(type(fake), "mapInPandas", lambda self, f, schema: kept.append(f) or self)
+    monkeypatch.setattr(neighbours, "staged", lambda df: df)
+    neighbours._visits(fake, ["session_id"], boxes, lambda r, leaves, near, far: (near >= 0, near < 0), [])
+    seen = [len(x) for x in kept[0](iter([rows]))]
+    assert sum(seen) == 3_000 * 50 and max(seen) <= neighbours.SENT
