@@ -28,7 +28,11 @@ ONE = FEATURES_SQL.replace("case when epoch_us < 1705363200000000 then 'S1' else
 W1 = f"with {ONE} "
 assert ONE != FEATURES_SQL
 
+#: Packets of a file of the feed, at least, where a part of it has several.
+FEED_ROWS = 100_000
+
 _text: dict[tuple[str, str], str] = {}
+_files: dict[str, int] = {}
 
 
 def _fresh(spark, name: str) -> str:
@@ -49,21 +53,30 @@ def text_folder(spark, d) -> str:
 
 
 def feed_folder(spark, d) -> str:
-    """The packets as a live feed, in its field order: five files in order of time, then one with a packet that is days late."""
+    """The packets as a live feed, in its field order: five parts in order of time, then one with a packet that is days late. Each of
+    the five is as many files (`feed_files`), which as many tasks write; a stream takes one part after the other."""
     key = (spark.sparkContext.applicationId, d, "feed")
     if key not in _text:
         path = _fresh(spark, "feed")
         raw = staged(raw_packets_from_events(spark, d).select(F.concat_ws("|", *LIVE_FIELDS).alias("value"), F.col("ts").cast("double").alias("_at")))
         cuts = [float("-inf"), *raw.stat.approxQuantile("_at", [0.2, 0.4, 0.6, 0.8], 0.01), float("inf")]
+        files = max(1, raw.count() // (5 * FEED_ROWS))
         for lo, hi in zip(cuts, cuts[1:]):
-            raw.where((F.col("_at") > lo) & (F.col("_at") <= hi)).select("value").coalesce(1).write.mode("append").text(path)
+            part = raw.where((F.col("_at") > lo) & (F.col("_at") <= hi)).select("value")
+            (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").text(path)
         late = {"ts": str(raw.agg(F.min("_at")).first()[0]), "len": "60", "eth_src": "02:99:99:99:99:99", "ip_src": "10.99.99.99", "ip_dst": "10.99.99.98", "proto": "LATE",
                 "dns_qname": "late.example", "arp_psrc": "10.99.99.99", "arp_hwsrc": "02:99:99:99:99:99", "tcp_sport": "9"}
         spark.createDataFrame([("|".join(late.get(c, "") for c in LIVE_FIELDS),)], "value string").coalesce(1).write.mode("append").text(path)
         _text[key] = path
+        _files[path] = files
     return _text[key]
 
 
+def feed_files(spark, d) -> int:
+    """Files of each part of the feed but the last, which is one file."""
+    return _files[feed_folder(spark, d)]
+
+
 def _collect_stream(spark, stream, mode: str):
     """Run a stream over what is there and return its result as a table: the last one in mode complete, else all rows of all batches
     with the number of their batch."""
@@ -79,7 +92,7 @@ def _collect_stream(spark, stream, mode: str):
 
 
 def _raw_feed(spark, d):
-    return stream_packets(spark, feed_folder(spark, d), max_files_per_trigger=1, session="S1")
+    return stream_packets(spark, feed_folder(spark, d), max_files_per_trigger=feed_files(spark, d), session="S1")
 
 
 def _feed(spark, d):

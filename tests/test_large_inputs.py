@@ -1,5 +1,7 @@
 """Steps that failed or grew too fast on larger tables."""
 
+import glob
+import os
 import random
 
 import numpy as np
@@ -67,3 +69,20 @@ def test_visits_leave_a_task_in_small_batches(spark, monkeypatch):
     neighbours._visits(fake, ["session_id"], boxes, lambda r, leaves, near, far: (near >= 0, near < 0), [])
     seen = [len(x) for x in kept[0](iter([rows]))]
     assert sum(seen) == 3_000 * 50 and max(seen) <= neighbours.SENT
+
+
+def test_a_larger_feed_is_several_files_per_part_in_order_of_time(spark, monkeypatch):
+    from catalog import live
+
+    sf = "/root/testdata/sf0.01"
+    monkeypatch.setattr(live, "FEED_ROWS", 500)
+    monkeypatch.setattr(live, "_text", {})
+    rows = spark.read.parquet(f"{sf}/events.parquet").count()
+    path = live.feed_folder(spark, sf).removeprefix("file:")
+    n = live.feed_files(spark, sf)
+    files = sorted(glob.glob(f"{path}/*.txt"), key=os.path.getmtime)
+    assert n == rows // 2_500 > 1 and len(files) == 5 * n + 1
+    at = [[float(line.split("|")[0]) for line in open(f)] for f in files]
+    assert sum(map(len, at)) == rows + 1 and len(at[-1]) == 1
+    parts = [[t for x in at[i:i + n] for t in x] for i in range(0, 5 * n, n)]
+    assert all(max(a) < min(b) for a, b in zip(parts, parts[1:]))
