@@ -12,6 +12,8 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +213,33 @@ def test_lines_recall_against_brute_force(spark):
     assert sum(b in dropped for _, b in similar) >= 0.9 * len(similar)
 
 
+def test_lines_of_common_endings_are_no_candidates():
+    """Endings that most words share must not decide the signs; before, all these pairs were within the radius."""
+    rng = random.Random(3)
+    parts = [x + y for x in "bcdfglmnrst" for y in "aeiou"]
+    word = lambda: "".join(rng.choices(parts, k=3)) + "ci\u00f3n"
+    lines = [" ".join(word() for _ in range(60)).encode() for _ in range(60)]
+    copies = [x[:-1] + b"z" for x in lines]
+    one, other = (fuzzy_lines.LineBits().of(x) for x in (lines, copies))
+    apart = lambda x, y: np.bitwise_count(x ^ y).sum(axis=-1)
+    assert (apart(one, other) <= 8).all()
+    a, b = np.triu_indices(len(lines), 1)
+    assert (apart(one[a], one[b]) <= fuzzy_lines.RADIUS).mean() < 0.05
+
+
+def test_lines_that_share_several_keys_make_one_group():
+    rng = np.random.default_rng(1)
+    sim = rng.integers(0, 1 << 63, (20, fuzzy_lines.BITS // 64)).astype(np.uint64).repeat(2, axis=0)
+    sim[1::2] ^= np.uint64(1) << rng.integers(0, 64, (20, fuzzy_lines.BITS // 64)).astype(np.uint64)
+    columns = [*sim.view(np.int64).T, np.full(40, 100, np.int32)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(40)), pa.array(columns[-1]), *map(pa.array, columns[:-1])], ["line", "size", *"ab"])
+    filed = pa.Table.from_batches(fuzzy_lines._file(64)(iter([batch]))).to_pandas()
+    keys = np.stack([fuzzy_lines._key(sim, t) for t in range(fuzzy_lines.BLOCKS)])
+    assert ((keys[:, ::2] == keys[:, 1::2]).sum(axis=0) > 1).all()
+    found = pd.concat([fuzzy_lines._groups(part) for _, part in filed.groupby("frag")])
+    assert sorted(found.groupby("gid")["sig"].apply(tuple)) == [(2 * k, 2 * k + 1) for k in range(20)]
+
+
 def shingles(text):
     w = SPACED.findall(low(text))
     return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
