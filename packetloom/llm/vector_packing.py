@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from packetloom.llm.common import kept_by_worker, stage
 
-#: Chunks whose ids a worker remembers before it starts anew; bounds its memory.
-CACHED_CHUNKS = 1_000_000
+#: Chunks whose ids a worker remembers, in two halves of which the older one is dropped when both are full; bounds its memory.
+CACHED_CHUNKS = 2_000_000
 #: Characters that are encoded together.
 SLICE_CHARS = 2_000_000
 #: Items that are packed together, on average.
@@ -48,27 +48,52 @@ class ChunkIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Bytes of each id: the vocabulary spells a byte as a character, added tokens are spelled as they are.
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.width[i] = len(token.content.encode())
         self.known: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """Chunks that begin with white space and end without are encoded as one text, whose ids are cut at their ends."""
+        joined = [x for x in chunks if x[0].isspace() and not x[-1].isspace()]
+        out = {}
+        for lo in range(0, len(joined), 20_000):
+            part = joined[lo:lo + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            ends, wanted = np.cumsum(self.width[ids]), np.cumsum([len(x.encode()) for x in part])
+            at = np.searchsorted(ends, wanted)
+            if at[-1] >= len(ends) or not np.array_equal(ends[at], wanted):
+                raise ValueError("the tokenizer joins ids across white space")
+            raw, cut = ids.tobytes(), ((at + 1) * self.dtype.itemsize).tolist()
+            out.update(zip(part, [raw[i:j] for i, j in zip([0, *cut[:-1]], cut, strict=True)], strict=True))
+        rest = [x for x in chunks if x not in out]
+        for lo in range(0, len(rest), 20_000):
+            part = rest[lo:lo + 20_000]
+            out.update(zip(part, self._encode(part), strict=True))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text as little-endian integers of the width of `dtype`."""
         whole = [self.UNSURE.search(x) is not None for x in texts]
         chunks = [[] if w else self.CHUNK.findall(x) for x, w in zip(texts, whole, strict=True)]
-        new = set().union(*chunks) - self.known.keys()
-        if len(self.known) + len(new) > CACHED_CHUNKS:
-            self.known = {}
-            new = set().union(*chunks)
-        missing = list(new)
-        for lo in range(0, len(missing), 20_000):
-            part = missing[lo:lo + 20_000]
-            self.known.update(zip(part, self._encode(part), strict=True))
-        out = [self._encode([x])[0] if w else b"".join(map(self.known.__getitem__, c)) for x, w, c in zip(texts, whole, chunks, strict=True)]
-        for chunk in missing:
-            if len(chunk) > 64:
-                del self.known[chunk]
+        found = [list(map(self.known.get, c)) for c in chunks]
+        new = {x for c, f in zip(chunks, found, strict=True) if None in f for x, y in zip(c, f, strict=True) if y is None}
+        held = {x: self.earlier[x] for x in new if x in self.earlier}
+        held.update(self._encode_chunks([x for x in new if x not in held]))
+        out = [self._encode([x])[0] if w else b"".join([held[k] if y is None else y for k, y in zip(c, f, strict=True)] if None in f else f)
+               for x, w, c, f in zip(texts, whole, chunks, found, strict=True)]
+        # Of the chunks of the half that is full, those seen again move on to the next one.
+        if len(self.known) + len(held) > CACHED_CHUNKS // 2:
+            self.earlier, self.known = self.known, {}
+        self.known.update((x, y) for x, y in held.items() if len(x) <= 64)
         return out
 
 

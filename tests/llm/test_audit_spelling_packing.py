@@ -220,6 +220,20 @@ def test_chunks_give_the_ids_of_whole_texts():
     assert got == [x[:-1] for x in expected_ids(texts)]
 
 
+def test_chunks_seen_again_stay_known_and_missing_ones_are_encoded_together(monkeypatch):
+    monkeypatch.setattr(vector_packing, "CACHED_CHUNKS", 40)
+    encoder = vector_packing.ChunkIds(tokenizer_path("byte_bpe_50k.json"))
+    calls, encode_all = [], encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda texts: calls.extend(texts) or encode_all(texts))
+    texts = [f"first{k} again often\u00f1 " + " ".join(f"w{k}x{i}" for i in range(12)) + "  <|endoftext|> z\n" for k in range(20)]
+    for text in texts:
+        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == want
+        assert len(encoder.known) + len(encoder.earlier) <= 60
+    # Only what begins a text or ends in white space is encoded alone; " again" is known from the first text on.
+    assert all(x[0] != " " or x[-1].isspace() for x in calls) and (" again" in encoder.known or " again" in encoder.earlier)
+
+
 @pytest.mark.parametrize("limits,prompt", [(Limits(), None), (Limits(64, 5, 40), "lang")])
 def test_packed_examples_round_trip(spark, rows, docs, limits, prompt):
     odd = spark.createDataFrame([(2000 + i, x, None, None, None) for i, x in enumerate(ODD)], SCHEMA)
