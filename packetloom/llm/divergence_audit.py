@@ -22,6 +22,8 @@ BLOCK_KEYS = 50_000
 HELD_TERMS = 400_000
 #: Terms of one row on the way to a transducer.
 STREAM_TERMS = 4_096
+#: Bytes of terms that go through a transducer side by side.
+STREAM_BYTES = 1 << 19
 SCALE = 1_000_000_000
 #: Rows whose pairs of sources are added up together, beyond the last term.
 PAIR_ROWS = 100_000
@@ -265,19 +267,33 @@ _FOUND = pa.schema([("lang", pa.string()), ("source", pa.string()), ("ord", pa.i
 
 
 def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block and salt: first its transducer, then the terms to stream through it."""
-    machine, base = None, 0
+    """Rows sorted by block, salt and language: first a block's transducer, then the terms to stream through it. The rows of a language
+    go through it together, about STREAM_BYTES at a time."""
+    machine, base, held, size = None, 0, [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        places = machine.ordinals(held[0]["lang"].encode() + b"\0", b"".join(r["terms"] for r in held))
+        known = np.flatnonzero(places >= 0)
+        if len(known):
+            owner = pa.array(np.repeat(np.arange(len(held)), [len(r["counts"]) // 8 for r in held])[known])
+            names = [pa.array([r[c] for r in held], pa.string()).take(owner) for c in ("lang", "source")]
+            counts = np.frombuffer(b"".join(r["counts"] for r in held), np.int64)
+            yield pa.RecordBatch.from_arrays([*names, pa.array(places[known] + base), pa.array(counts[known])], schema=_FOUND)
+        held.clear()
+
     for batch in batches:
         for row in batch.to_pylist():
+            if held and (row["machine"] is not None or row["lang"] != held[0]["lang"] or size > STREAM_BYTES):
+                yield from flush()
+                size = 0
             if row["machine"] is not None:
                 machine, base = Transducer.load(row["machine"]), row["base"]
                 continue
-            found = machine.ordinals(row["lang"].encode() + b"\0", row["terms"])
-            known = found >= 0
-            n = int(known.sum())
-            if n:
-                columns = [pa.array([row["lang"]] * n), pa.array([row["source"]] * n), pa.array(found[known] + base), pa.array(np.frombuffer(row["counts"], np.int64)[known])]
-                yield pa.RecordBatch.from_arrays(columns, schema=_FOUND)
+            held.append(row)
+            size += len(row["terms"])
+    yield from flush()
 
 
 def recount(docs: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -295,7 +311,7 @@ def recount(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     number = spark.createDataFrame(list(enumerate(bases)), "block bigint, base bigint")
     machines = blocks.select("base", "machine").join(number, "base").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     both = streams.unionByName(machines, allowMissingColumns=True)
-    dealt = both.repartition(partitions(spark), "block", "salt").sortWithinPartitions("block", "salt", F.col("machine").isNull())
+    dealt = both.repartition(partitions(spark), "block", "salt").sortWithinPartitions("block", "salt", F.col("machine").isNull(), "lang")
     found = dealt.select("base", "machine", "lang", "source", "terms", "counts").mapInArrow(_recount, "lang string, source string, ord bigint, n bigint")
     return found.groupBy("lang", "source", "ord").agg(F.sum("n").alias("n"))
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,6 +221,20 @@ def test_chunks_give_the_ids_of_whole_texts():
     assert got == [x[:-1] for x in expected_ids(texts)]
 
 
+def test_rows_of_a_language_go_through_a_transducer_together(monkeypatch):
+    keys = [b"de\0ab", b"de\0b", b"en\0ab", b"en\0c"]
+    row = lambda lang, source, terms: {"base": None, "machine": None, "lang": lang, "source": source, "terms": b"".join(x + b" " for x in terms),
+                                       "counts": np.arange(1, len(terms) + 1).tobytes()}
+    start = lambda base: {"base": base, "machine": Transducer.of(keys).dump(), "lang": None, "source": None, "terms": None, "counts": None}
+    rows = [start(0), *[row("de", f"s{k}", [b"ab", b"aa", b"b"]) for k in range(50)], row("en", "s0", [b"c"]), start(10), row("en", "s1", [b"no"]), row("en", "s1", [b"ab"])]
+    schema = pa.schema([("base", pa.int64()), ("machine", pa.binary()), ("lang", pa.string()), ("source", pa.string()), ("terms", pa.binary()), ("counts", pa.binary())])
+    run = lambda: list(divergence_audit._recount(iter([pa.RecordBatch.from_pylist(rows, schema)])))
+    want = [x for k in range(50) for x in (("de", f"s{k}", 0, 1), ("de", f"s{k}", 1, 3))] + [("en", "s0", 3, 1), ("en", "s1", 12, 1)]
+    assert len(run()) == 3 and [tuple(r.values()) for b in run() for r in b.to_pylist()] == want
+    monkeypatch.setattr(divergence_audit, "STREAM_BYTES", 10)
+    assert len(run()) > 3 and [tuple(r.values()) for b in run() for r in b.to_pylist()] == want
+
+
 def test_chunks_seen_again_stay_known_and_missing_ones_are_encoded_together(monkeypatch):
     monkeypatch.setattr(vector_packing, "CACHED_CHUNKS", 40)
     encoder = vector_packing.ChunkIds(tokenizer_path("byte_bpe_50k.json"))
