@@ -33,3 +33,11 @@ def test_scan_alerts_add_no_shuffle_to_the_features(spark):
 def test_distinct_targets_are_combined_by_pair_first(spark):
     text = plan(spark, "a01_ip_features")
     assert "hashpartitioning(session_id" in text.replace("`", "") and "ip_dst" in text.split("Exchange hashpartitioning")[-1].split("\n")[0]
+
+
+def test_what_several_blocks_of_a_record_read_is_made_once(spark):
+    from catalog.verdicts import _candidates
+
+    _, scored, scan, amp, arp, _ = _candidates(spark, SF)
+    for df in (scored, scan, amp, arp):
+        assert "parquet" not in df._jdf.queryExecution().executedPlan().toString().lower()
