@@ -40,7 +40,7 @@ class ChunkIds:
     """
 
     CHUNK = re.compile(r"\s*\S+|\s+")
-    UNSURE = re.compile("[\x1c-\x1f]")
+    UNSURE = "\x1c\x1d\x1e\x1f"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,14 +82,16 @@ class ChunkIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text as little-endian integers of the width of `dtype`."""
-        whole = [self.UNSURE.search(x) is not None for x in texts]
+        whole = [any(c in x for c in self.UNSURE) for x in texts]
         chunks = [[] if w else self.CHUNK.findall(x) for x, w in zip(texts, whole, strict=True)]
-        found = [list(map(self.known.get, c)) for c in chunks]
-        new = {x for c, f in zip(chunks, found, strict=True) if None in f for x, y in zip(c, f, strict=True) if y is None}
-        held = {x: self.earlier[x] for x in new if x in self.earlier}
+        # Texts share most of their chunks, so each different one is looked up once and the texts are read from a small table.
+        distinct = set().union(*chunks)
+        ids = {x: self.known[x] for x in distinct & self.known.keys()}
+        new = distinct.difference(ids)
+        held = {x: self.earlier[x] for x in new & self.earlier.keys()}
         held.update(self._encode_chunks([x for x in new if x not in held]))
-        out = [self._encode([x])[0] if w else b"".join([held[k] if y is None else y for k, y in zip(c, f, strict=True)] if None in f else f)
-               for x, w, c, f in zip(texts, whole, chunks, found, strict=True)]
+        ids.update(held)
+        out = [self._encode([x])[0] if w else b"".join(map(ids.__getitem__, c)) for x, w, c in zip(texts, whole, chunks, strict=True)]
         # Of the chunks of the half that is full, those seen again move on to the next one.
         if len(self.known) + len(held) > CACHED_CHUNKS // 2:
             self.earlier, self.known = self.known, {}

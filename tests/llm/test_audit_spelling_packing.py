@@ -330,3 +330,23 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
     assert common.shared_folder(Session) == "hdfs:/given"
     monkeypatch.setattr(Session, "conf", {"spark.checkpoint.dir": "s3://named"})
     assert common.shared_folder(Session) == "s3://named"
+
+
+def test_a_chunk_is_looked_up_once_however_often_it_occurs():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            self.asked += 1
+            return super().get(*args)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    encoder = vector_packing.ChunkIds(tokenizer_path("byte_bpe_50k.json"))
+    given = ["the same few words " * 500, "the same words again", "a\x1cb the same"]
+    want = encoder.encode(given)
+    encoder.known = Counted(encoder.known)
+    assert encoder.encode(given) == want == [encoder._encode([x])[0] for x in given]
+    assert encoder.known.asked <= 10
