@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import LOWER, WordHashes, batches_of, components, connect, mix, partitions, signed, stage, texts, windows
+from packetloom.llm.common import LOWER, WordHashes, batches_of, components, connect, mix, partitions, runs_of, signed, stage, windows
 
 WORDS = 5
 #: Similarity as a fraction, 75 / 100.
@@ -48,15 +48,8 @@ def signature(grams: np.ndarray) -> int:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     hashes = WordHashes()
     for batch in batches:
-        raws = texts(batch)
-        lo, size = 0, 0
-        for hi, raw in enumerate(raws):
-            if size and size + len(raw) > 8 << 20:
-                yield batch.slice(lo, hi - lo), [gram_set(x.translate(LOWER).split(), hashes) for x in raws[lo:hi]]
-                lo, size = hi, 0
-            size += len(raw)
-        if raws:
-            yield batch.slice(lo), [gram_set(x.translate(LOWER).split(), hashes) for x in raws[lo:]]
+        for lo, raws in runs_of(batch):
+            yield batch.slice(lo, len(raws)), [gram_set(x.translate(LOWER).split(), hashes) for x in raws]
 
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import WordHashes, stage, texts, windows
+from packetloom.llm.common import WordHashes, runs_of, stage, windows
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -49,7 +49,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
         out: list[list[int]] = [[], [], [], [], []]
-        for raw in texts(batch, "_text"):
+        for raw in (x for _, run in runs_of(batch, "_text") for x in run):
             words = raw.split()
             found = (len(words), _points(raw.translate(None, SPACES)), len(raw) - len(raw.translate(None, SYMBOLS)),
                      duplicate_lines(raw), repeated_words(hashes.of(words)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import check
 from conftest import SF
-from packetloom.llm import common, divergence_audit, queries, spelling_groups, vector_packing
+from packetloom.llm import common, divergence_audit, fragment_join, fuzzy_lines, queries, spelling_groups, vector_packing
 from packetloom.llm.divergence_audit import Transducer
 from packetloom.llm.queries import tokenizer_path
 from packetloom.llm.vector_packing import Limits
@@ -350,3 +350,18 @@ def test_a_chunk_is_looked_up_once_however_often_it_occurs():
     encoder.known = Counted(encoder.known)
     assert encoder.encode(given) == want == [encoder._encode([x])[0] for x in given]
     assert encoder.known.asked <= 10
+
+
+def test_texts_of_a_batch_are_held_in_runs_of_bounded_size():
+    texts = ["a line\n" + "b" * 600_000, None, "", "c\nd", "e" * 3_000_000, "f\n" + "b" * 600_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array([9] * 6, pa.int64()), pa.array(texts)], ["doc_id", "at", "text"])
+    for part, first in ((batch, 0), (batch.slice(1), 1)):
+        runs = list(common.runs_of(part))
+        assert [x for _, run in runs for x in run] == [(x or "").encode() for x in texts[first:]]
+        assert [lo for lo, _ in runs] == np.cumsum([0] + [len(run) for _, run in runs[:-1]]).tolist()
+        assert all(len(run) == 1 or sum(map(len, run)) <= 1 << 20 for _, run in runs)
+    found = list(fuzzy_lines._split(iter([batch])))
+    assert len(found) == 3 and [(d, p) for b in found for d, p in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)] == [
+        (0, 0), (0, 1), (3, 0), (3, 1), (4, 0), (5, 0), (5, 1)]
+    sets = list(fragment_join._sets(iter([batch])))
+    assert [b.num_rows for b, _ in sets] == [4, 1, 1] and [len(s) for _, x in sets for s in x] == [1, 0, 0, 1, 1, 1]
