@@ -429,4 +429,5 @@ def _(spark, d):
 
 @C.add("w02_quantiles", f"with {FLOWS_SQL} select session_id, ip_src, {rd('quantile_cont(cast(len as double), 0.25)')} as q25, {rd('quantile_cont(cast(len as double), 0.5)')} as q50, {rd('quantile_cont(cast(len as double), 0.95)')} as q95 from flows group by all")
 def _(spark, d):
-    return common.quantiles(flows(spark, d), ["session_id", "ip_src"], "len", (0.25, 0.5, 0.95), ("q25", "q50", "q95"))
+    f = flows(spark, d)
+    return common.quantiles(f, ["session_id", "ip_src"], "len", (0.25, 0.5, 0.95), ("q25", "q50", "q95"), rows=f.count())

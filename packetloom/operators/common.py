@@ -21,6 +21,19 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence) -> Data
     return top_per_group(df, keys, order, 1, "_rank").drop("_rank")
 
 
+#: Rows that a task groups at once, about, where a table is dealt by their number.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys) -> DataFrame:
+    """df dealt by the keys into tasks of about TASK_ROWS, if the session's shuffle partitions would be larger, else df itself.
+
+    A grouping by these keys (and more) that follows needs no further shuffle, so the memory of a task does not grow with the table.
+    Rows that are equal on all the keys meet in one task, which a grouping takes one by one."""
+    n = -(-rows // TASK_ROWS)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def counts(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     """Row count per key, over rows where every key is present."""
     present = None
@@ -112,9 +125,13 @@ def value_cell(value: Column) -> Column:
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float],
-              names: Sequence[str]) -> DataFrame:
-    """Exact linear-interpolated quantiles per key, without holding the values of a key in one task."""
-    return tally_quantiles(value_tally(df, keys, value), keys, fractions, names)
+              names: Sequence[str], rows: int = 0) -> DataFrame:
+    """Exact linear-interpolated quantiles per key, without holding the values of a key in one task. ``rows`` is the size of df where
+    it is known; a large table is dealt into tasks by it."""
+    present = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).withColumn(
+        "_cell", value_cell(F.col("_v")))
+    tally = dealt(present, rows, *keys, "_cell").groupBy(*keys, "_cell", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return _tally_quantiles(tally, keys, fractions, names, rows)
 
 
 def value_tally(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -127,10 +144,14 @@ def tally_quantiles(tally: DataFrame, keys: Sequence[str], fractions: Sequence[f
                     names: Sequence[str]) -> DataFrame:
     """Quantiles of counted values. The counts are summed into narrow cells, the cell of each wanted position
     is found from the running cell totals, and only the values of those cells are ordered."""
+    return _tally_quantiles(tally.withColumn("_cell", value_cell(F.col("_v"))), keys, fractions, names)
+
+
+def _tally_quantiles(tally: DataFrame, keys: Sequence[str], fractions: Sequence[float], names: Sequence[str],
+                     rows: int = 0) -> DataFrame:
     keys = list(keys)
-    tally = tally.withColumn("_cell", value_cell(F.col("_v")))
     order = Window.partitionBy(*keys).orderBy("_cell")
-    cells = tally.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_n")).withColumns({
+    cells = dealt(tally.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_n")), rows, *keys).withColumns({
         "_upto": F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)),
         "_rows": F.sum("_n").over(Window.partitionBy(*keys))})
     at = [F.lit(float(f)) * (F.col("_rows") - 1) for f in fractions]
