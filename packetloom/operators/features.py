@@ -9,7 +9,7 @@ from ..functions import (
     flag_class, is_long_query, strip_trailing_dots, tcp_flag_int, tls_version_label, weak_cipher, weak_tls_version,
 )
 from ..functions.names import is_mdns_device_name, is_real_dns
-from .common import counts, first_per_group, members_text, top_per_group
+from .common import counts, dealt, first_per_group, members_text, top_per_group
 
 BY = ("session_id",)
 
@@ -35,7 +35,7 @@ def ip_features(packets: DataFrame, *, by=BY) -> DataFrame:
     rows = packets.where(_has("ip_src")).select(
         *by, F.col("ip_src").alias("ip"), "ip_dst", F.when(_has("ip_dst"), F.col("len")).alias("_size"),
         F.when(_has("tcp_flags"), tcp_flag_int(F.col("tcp_flags"))).alias("_flags"))
-    agg = rows.groupBy(*by, "ip").agg(
+    agg = dealt(rows, packets.count(), *by, "ip", "ip_dst").groupBy(*by, "ip").agg(
         F.count(size).alias("count"),
         F.sum(size).alias("total_bytes"),
         F.avg(size).alias("mean_len"),

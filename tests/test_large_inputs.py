@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from packetloom.operators import common, neighbours, retrieval
+from packetloom.operators import common, features, neighbours, retrieval
 
 
 def test_points_whose_values_differ_when_computed_again_keep_their_rows(spark):
@@ -86,3 +86,22 @@ def test_a_larger_feed_is_several_files_per_part_in_order_of_time(spark, monkeyp
     assert sum(map(len, at)) == rows + 1 and len(at[-1]) == 1
     parts = [[t for x in at[i:i + n] for t in x] for i in range(0, 5 * n, n)]
     assert all(max(a) < min(b) for a, b in zip(parts, parts[1:]))
+
+
+def test_large_tables_are_dealt_into_tasks_of_bounded_size(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [("S1", f"h{rng.randrange(30)}", f"d{rng.randrange(40)}", rng.choice([7, rng.randrange(3000), None]), rng.choice(["0x0002", "0x0004", None])) for _ in range(4000)]
+    frame = spark.createDataFrame(rows, "session_id string, ip_src string, ip_dst string, len bigint, tcp_flags string")
+    plain = sorted(features.ip_features(frame).collect())
+    monkeypatch.setattr(common, "TASK_ROWS", 100)
+    found = features.ip_features(frame)
+    assert [tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in sorted(found.collect())] == [
+        tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in plain]
+    cuts = common.quantiles(frame, ["session_id", "ip_src"], "len", (0.25, 0.5, 0.95), ("a", "b", "c"), rows=len(rows))
+    for r in cuts.collect():
+        assert np.allclose([r.a, r.b, r.c], np.quantile([x[3] for x in rows if x[1] == r.ip_src and x[3] is not None], [0.25, 0.5, 0.95]))
+    assert cuts.count() == 30
+    for df in (found, cuts):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # The first grouping takes the rows as they were dealt, in 40 tasks instead of the session's 8.
+        assert ", 40), REPARTITION_BY_NUM" in plan
