@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import LOWER, WordHashes, batches_of, components, connect, mix, partitions, runs_of, signed, stage, windows
+from packetloom.llm.common import LOWER, WordHashes, batches_of, components, connect, lean, mix, partitions, runs_of, signed, stage, windows
 
 WORDS = 5
 #: Similarity as a fraction, 75 / 100.
@@ -230,9 +230,9 @@ def segments(rows: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
     schema = "sig bigint, frag int, grams binary"
     if wanted.count() <= SENT:
         sent = rows.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).to_numpy()))
-        cut = rows.select("at", "text").mapInArrow(_segments(sent), schema)
+        cut = rows.select("at", "text").mapInArrow(lean(_segments(sent)), schema)
     else:
-        cut = rows.join(wanted, F.col("at") == F.col("n_at"), "left_semi").select("at", "text").mapInArrow(_segments(None), schema)
+        cut = rows.join(wanted, F.col("at") == F.col("n_at"), "left_semi").select("at", "text").mapInArrow(lean(_segments(None)), schema)
     return stage(cut.dropDuplicates(["sig", "frag"]))
 
 
@@ -261,7 +261,7 @@ def verified(pairs: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:
     right = cut.select(F.col("sig").alias("b"), "frag", F.col("grams").alias("grams_b"))
     spread = pairs.select("a", "b", F.explode(F.array(*[F.lit(i) for i in range(PARTS)])).alias("frag"))
     both = spread.join(right, ["b", "frag"]).join(left, ["a", "frag"]).select("a", "b", "grams_a", "grams_b")
-    counts = both.mapInArrow(_overlap, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    counts = both.mapInArrow(lean(_overlap), "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
     good = counts.join(pairs, ["a", "b"]).where(OF * F.col("n") >= NEED * (F.col("size_a") + F.col("size_b") - F.col("n")))
     return good.select("a", "b")
 
@@ -272,13 +272,13 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     The links connect exactly the documents that similar pairs connect; they need not hold each similar pair.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("at"), F.col(text).alias("text"))
-    signed_rows = stage(rows.mapInArrow(_sign, "doc_id bigint, at bigint, n_shingles bigint, sig bigint, piece int, counts binary"))
+    signed_rows = stage(rows.mapInArrow(lean(_sign), "doc_id bigint, at bigint, n_shingles bigint, sig bigint, piece int, counts binary"))
     named = signed_rows.where("sig is not null").select("doc_id", "at", "n_shingles", "sig")
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(frequencies(signed_rows))
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
     n_frag = max(partitions(spark), total // (4 * FRAGMENT))
-    entries = rows.select("text").mapInArrow(_prefixes(common, n_frag), "frag int, n bigint, blob binary")
+    entries = rows.select("text").mapInArrow(lean(_prefixes(common, n_frag)), "frag int, n bigint, blob binary")
     groups = entries.groupBy("frag").applyInPandas(_groups, "gid bigint, sig bigint, size int, weight bigint")
     groups = stage(groups.groupBy("gid", "sig").agg(F.max("size").alias("size"), F.sum("weight").alias("weight")))
     found = connect(groups, lambda pairs: verified(pairs, rows, named), NEED, OF, plausible)

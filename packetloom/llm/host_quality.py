@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import WordHashes, runs_of, stage, windows
+from packetloom.llm.common import WordHashes, lean, runs_of, stage, windows
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -64,7 +64,7 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     """Counts over every whole text: one row per input row with `keep` and the host as `_host`. Null text counts as empty."""
     given = docs.select(*keep, F.col(host).cast("string").alias("_host"), F.col(text).alias("_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "_text"), *(f"{c} bigint" for c in COUNTS)])
-    out = given.mapInArrow(_measure, schema)
+    out = given.mapInArrow(lean(_measure), schema)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import kept_by_worker, stage
+from packetloom.llm.common import kept_by_worker, lean, stage
 
 ROOM = 2048
 #: Words whose ids a worker remembers before it starts anew; bounds its memory.
@@ -92,7 +92,7 @@ def _cut(path: str, room: int, with_ids: bool):
 def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM, with_ids: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents' tokens, an end token 0 after each, cut where a document has more than `room`; ids as bytes if wanted."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_cut(tokenizer, room, with_ids), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary")
+    return rows.mapInArrow(lean(_cut(tokenizer, room, with_ids), keeps=True), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary")
 
 
 def best_fit(lengths: list[int], room: int) -> list[list[int]]:
